@@ -1,7 +1,9 @@
 """The registered queries; importing this package fills the registry."""
 
 from cadastre.plans import (  # noqa: F401
+    q_lint,
     q_registry,
+    q_snapshots,
     q_sources,
     q_symbols,
 )

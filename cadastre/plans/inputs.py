@@ -258,6 +258,77 @@ FROM {part}
 )
 
 
+# Snapshot documents, one per order. The texts use <> for braces, which the
+# shared dialect then translates.
+_SHARED["snapshots"] = (
+    ("orders",),
+    """
+SELECT o_orderkey AS order_id, o_orderstatus AS status, o_orderpriority AS priority,
+       translate('<"providerName":"sample","schemaVersion":"' || o_orderpriority || '","providerSchema":<"schema":<>,"'
+         || CASE WHEN o_orderstatus = 'P' THEN 'dataSources' ELSE 'resources' END || '":<"res_' || CAST(o_orderkey AS STRING)
+         || '":<"schema":<"name":<"type":"TypeString","required":true,"forceNew":true>,'
+         || '"sku":<"type":"TypeList","optional":true,"maxItems":1,"elem":<"schema":<"tier":<"type":"TypeString","optional":true,"default":"'
+         || o_orderpriority || '">,'
+         || CASE WHEN o_orderstatus = 'F' THEN '"limits":<"type":"TypeSet","optional":true,"elem":<"schema":<"cpu":<"type":"TypeInt","computed":true>>>>,' ELSE '' END
+         || '"size":<"type":"TypeInt","required":true>>>>,"tags":<"type":"TypeMap","elem":<"type":"TypeString">>>,'
+         || '"timeouts":<"create":30>>>>>', '<>', chr(123) || chr(125)) AS text
+FROM {orders}
+""",
+)
+
+# Property nodes with fields of a wrong type now and then.
+_SHARED["node_texts"] = (
+    ("part",),
+    """
+SELECT p_partkey AS row_key, p_size AS p_size, p_name AS p_name,
+       translate('<"type":' || CASE WHEN p_size % 5 = 0 THEN '7' ELSE '"TypeList"' END
+         || ',"optional":' || CASE WHEN p_size % 3 = 0 THEN '"yes"' ELSE 'true' END
+         || ',"description":"' || p_name || '","maxItems":' || CASE WHEN p_size % 4 = 0 THEN '"3"' ELSE CAST(p_size AS STRING) END
+         || ',"minItems":2,"default":' || CASE WHEN p_size % 2 = 0 THEN '<"a":1>' ELSE '"' || p_brand || '"' END
+         || CASE WHEN p_size % 6 = 0 THEN ',"elem":<"type":"TypeInt">' WHEN p_size % 6 = 1 THEN ',"elem":<"schema":<"x":<"type":"TypeInt">>>' ELSE '' END
+         || '>', '<>', chr(123) || chr(125)) AS node_json
+FROM {part}
+""",
+)
+
+# Unified diffs: one per document, from its own lines.
+_SHARED["diff_lines"] = (
+    ("text_lines",),
+    """
+SELECT doc_id, line_no,
+       CASE WHEN line_no % 11 = 0 THEN '+++ b/src/f' || CAST(line_no AS STRING) || '.x'
+            WHEN line_no % 11 = 1 THEN '--- a/src/old.x'
+            WHEN line_no % 11 IN (2, 6) THEN '@@ -1,2 +' || CAST(line_no * 3 + doc_id % 7 AS STRING) || CASE WHEN doc_id % 2 = 0 THEN ',4' ELSE '' END || ' @@ ctx'
+            WHEN line_no % 11 = 4 THEN '-' || raw ELSE '+' || raw END AS text
+FROM {text_lines}
+""",
+)
+
+# Changelogs: document lines with headings between them.
+_SHARED["changelog_lines"] = (
+    ("text_lines",),
+    """
+SELECT doc_id, line_no,
+       CASE WHEN line_no % 17 = 0 THEN '## 4.' || CAST(line_no AS STRING) || '.' || CAST(doc_id % 10 AS STRING) || ' (May 0' || CAST(1 + doc_id % 9 AS STRING) || ', 2024)'
+            WHEN line_no % 17 IN (2, 6, 11) THEN split_part('BREAKING CHANGES:,FEATURES:,ENHANCEMENTS:,BUG FIXES:', ',', CAST(1 + line_no % 4 AS INT))
+            ELSE raw END AS text
+FROM {text_lines}
+""",
+)
+
+# API version exceptions, as a table with blanks around the values.
+_SHARED["exception_rows"] = (
+    ("supplier",),
+    """
+SELECT ' example.org/sdk ' AS module, ' svc' || CAST(s_nationkey AS STRING) || ' ' AS service,
+       '2023-0' || CAST(1 + s_suppkey % 9 AS STRING) || '-01-preview ' AS version,
+       CASE WHEN s_suppkey % 3 = 0 THEN NULL WHEN s_suppkey % 3 = 1 THEN ' 2024-02-30' ELSE '2024-02-' || CAST(10 + s_suppkey % 15 AS STRING) || ' ' END AS target_date,
+       CASE s_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ' github.com/user-' || CAST(s_suppkey AS STRING) WHEN 2 THEN 'u' || CAST(s_suppkey AS STRING) || '@example.org' ELSE 'someone' END AS owner
+FROM {supplier}
+""",
+)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a derived input."""
     if name in TABLES:

@@ -1,6 +1,8 @@
 """The registered queries; importing this package fills the registry."""
 
 from cadastre.plans import (  # noqa: F401
+    q_api,
+    q_docs,
     q_lint,
     q_registry,
     q_snapshots,

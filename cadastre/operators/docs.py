@@ -235,24 +235,20 @@ def close_names(left: DataFrame, right: DataFrame, distance: int = MAX_MISSPELLI
     )
     other_lengths = F.sequence(F.greatest(length - distance, F.lit(0)), length + distance)
     shifts = F.sequence(F.lit(-distance), F.lit(distance))
-    shifted = F.flatten(
-        F.transform(
-            other_lengths,
-            lambda n: F.flatten(
-                F.array(
-                    *(
-                        F.transform(
-                            F.filter(shifts, lambda d, i=i: start(n, i) + d >= 0),
-                            lambda d, i=i: F.struct(
-                                n.alias("n"), F.lit(i).alias("i"),
-                                F.substr("leaf", start(n, i) + d + 1, start(n, i + 1) - start(n, i)).alias("piece"),
-                            ),
-                        )
-                        for i in range(pieces)
-                    )
-                )
+
+    def moved(n: Column, i: int) -> Column:
+        """Piece ``i`` of a name of length ``n``, wherever it may stand in this name."""
+        fitting = F.filter(shifts, lambda d: start(n, i) + d >= 0)
+        return F.transform(
+            fitting,
+            lambda d: F.struct(
+                n.alias("n"), F.lit(i).alias("i"),
+                F.substr("leaf", start(n, i) + d + 1, start(n, i + 1) - start(n, i)).alias("piece"),
             ),
         )
+
+    shifted = F.flatten(
+        F.transform(other_lengths, lambda n: F.flatten(F.array(*(moved(n, i) for i in range(pieces)))))
     )
     a = left.select("resource", "leaf").distinct().select("resource", F.col("leaf").alias("l"), F.inline(own))
     b = right.select("resource", "leaf").distinct().select(
@@ -367,12 +363,14 @@ def format_errors(lines: DataFrame) -> DataFrame:
         .when(~field, "format")
     )
     fixed = (
-        F.when(error == "starred_note", F.substr("text", F.lit(3)))
-        .when(error == "incorrect_block_mark", F.regexp_replace("text", px.INCORRECT_MARK, ""))
-        .when(error == "empty_marker", "")
+        F.when(F.col("error") == "starred_note", F.substr("text", F.lit(3)))
+        .when(F.col("error") == "incorrect_block_mark", F.regexp_replace("text", px.INCORRECT_MARK, ""))
+        .when(F.col("error") == "empty_marker", "")
         .otherwise(text)
     )
-    return lines.where(text.startswith("*")).select("*", error.alias("error"), fixed.alias("fixed")).where("error IS NOT NULL")
+    # exploding the one error keeps its patterns from being tested again in a filter
+    found = lines.where(text.startswith("*")).select("*", F.explode(F.array_compact(F.array(error))).alias("error"))
+    return found.withColumn("fixed", fixed)
 
 
 def duplicate_fields(fields: DataFrame) -> DataFrame:

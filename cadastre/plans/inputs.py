@@ -177,7 +177,7 @@ SELECT o_orderkey AS row_key, CAST(o_orderkey % 3 AS INT) AS version, 'order' AS
        '/subscriptions/' || CAST(o_custkey AS STRING) || CASE WHEN o_orderkey % 2 = 0 THEN '/resourcegroups/' ELSE '/resourceGroups/' END
          || 'rg-1/providers/Sample.Org/orders/' || CAST(o_orderkey AS STRING) AS id,
        o_orderpriority AS tier, o_orderstatus AS status,
-       CAST(CAST(o_totalprice AS BIGINT) AS STRING) AS price,
+       CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) AS price,
        CASE WHEN o_orderkey % 5 <> 0 THEN 'v' || CAST(o_custkey % 10 AS STRING) END AS old_name
 FROM {orders}
 """,

@@ -183,8 +183,6 @@ def merge_misspellings(spark, sf):
     return op.merge_misspellings(_misses(spark, sf))
 
 
-_VALUE_ROWS = """SELECT o_orderkey AS row_key, CAST(split('O,F,P', ',') AS {a}) AS want FROM {orders}"""
-
 
 @query(
     "doc10_possible_values_diff",
@@ -451,7 +449,7 @@ def heading_rules(spark, sf):
 @query(
     "doc26_api_section",
     """SELECT l_partkey AS resource, api, '* `' || api || '` - ' || string_agg(DISTINCT v, ', ' ORDER BY v) AS line
-FROM (SELECT l_partkey, 'Sample.S' || (l_suppkey % 10) AS api, '202' || l_linenumber || '-01-01' AS v FROM lineitem) GROUP BY ALL""",
+FROM (SELECT l_partkey, 'Sample.S' || (l_suppkey % 10) AS api, '202' || l_linenumber || '-01-01' AS v FROM lineitem) GROUP BY l_partkey, api""",
 )
 def api_section(spark, sf):
     uses = load(spark, sf, "lineitem").selectExpr(

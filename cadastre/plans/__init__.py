@@ -2,6 +2,7 @@
 
 from cadastre.plans import (  # noqa: F401
     q_api,
+    q_collections,
     q_compare,
     q_docs,
     q_ids,

@@ -11,6 +11,7 @@ from cadastre.plans import (  # noqa: F401
     q_registry,
     q_snapshots,
     q_sources,
+    q_streaming,
     q_symbols,
     q_validate,
 )

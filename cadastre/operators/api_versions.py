@@ -17,6 +17,8 @@ def extract_versions(paths: DataFrame, modules: dict[str, str], column: str = "i
     """Distinct (module, service, version), lower-cased, of paths below known modules.
 
     ``modules`` maps a module to a pattern with two groups, service and version.
+    Paths repeat far more often than they differ, so they are folded before any
+    pattern is tried.
     """
     hits = F.array(
         *(
@@ -31,7 +33,7 @@ def extract_versions(paths: DataFrame, modules: dict[str, str], column: str = "i
             for module, pattern in modules.items()
         )
     )
-    return paths.select(F.inline(F.array_compact(hits))).distinct()
+    return paths.select(column).distinct().select(F.inline(F.array_compact(hits))).distinct()
 
 
 def preview_not_excepted(versions: DataFrame, *exceptions: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ _CHILDREN = (
 )
 
 
-def flatten_properties(resources: DataFrame, max_depth: int = 12) -> DataFrame:
+def flatten_properties(resources: DataFrame, max_depth: int = 8) -> DataFrame:
     """Nested properties as rows (kind, resource, path, name, parent_path, depth, top_level, node).
 
     Each step lets the rows of the deepest level bring forth their children, so

@@ -36,19 +36,21 @@ def explode_imports(symbols: DataFrame) -> DataFrame:
 def used_imports(symbols: DataFrame) -> DataFrame:
     """Imports whose alias, else last path segment, is used in the declaration.
 
-    Works inside each row: the body is reduced to identifier text once, then
-    searched for ``ident.`` at the start of an identifier chain.
+    Works inside each row. A plain search for ``ident.`` rejects most imports;
+    only the rest are matched as the start of an identifier chain.
     """
-    words = F.concat(F.lit(" "), F.regexp_replace("body", r"[^A-Za-z0-9_.]+", " "))
     found = F.arrays_zip(
         F.regexp_extract_all("import_block", F.lit(IMPORT_LINE), F.lit(1)).alias("alias"),
         F.regexp_extract_all("import_block", F.lit(IMPORT_LINE), F.lit(2)).alias("import_path"),
     )
     ident = F.coalesce(F.nullif("i.alias", F.lit("")), F.substring_index("i.import_path", "/", -1))
+    call = F.concat("used_as", F.lit("."))
+    start = F.concat(F.lit(r"(?:^|[^A-Za-z0-9_.])\Q"), F.col("used_as"), F.lit(r"\E\."))
     return (
-        symbols.select("path", words.alias("words"), F.explode(found).alias("i"))
-        .where(F.contains("words", F.concat(F.lit(" "), ident, F.lit("."))))
-        .select("path", "i.import_path", ident.alias("used_as"))
+        symbols.select("path", "body", F.explode(found).alias("i"))
+        .select("path", "body", "i.import_path", ident.alias("used_as"))
+        .where(F.contains("body", call) & F.regexp_like("body", start))
+        .select("path", "import_path", "used_as")
     )
 
 

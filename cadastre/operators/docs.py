@@ -288,11 +288,12 @@ def merge_misspellings(misses: DataFrame) -> DataFrame:
     """Pair page-only with schema-only names of nearly the same spelling.
 
     All pairs are kept. A pair with one leaf and a nested target is in the wrong
-    place. Misses without a partner stay as they are.
+    place. Misses without a partner stay as they are. The misses and the near
+    pairs are each read several times, so they are written once.
     """
-    rows = misses.withColumn("leaf", _leaf("name"))
+    rows = materialise(misses.withColumn("leaf", _leaf("name")), "misses")
     code, doc = rows.where("miss = 'miss_in_code'"), rows.where("miss = 'miss_in_doc'")
-    near = close_names(code, doc)
+    near = materialise(close_names(code, doc), "near")
     pairs = (
         code.select("resource", "name", F.col("leaf").alias("l"))
         .join(near, ["resource", "l"])
@@ -603,10 +604,12 @@ ENTRY_KINDS = {
 NEW_ENTRY_HEADERS = {"[BUG]": "BUG FIXES", "[ENHANCEMENT]": "ENHANCEMENTS", "[FEATURE]": "FEATURES"}
 
 
-def changelog_group(entries: DataFrame, key: str) -> DataFrame:
+def changelog_group(entries: DataFrame, key: str, segment: int = 65_536) -> DataFrame:
     """Entries (key, line_no, section, text) with kind and place after grouping.
 
-    Sections, then kinds, then the old order. A changelog is one file.
+    Sections, then kinds, then the old order. Entries are ranked inside segments
+    of lines, and the sizes of the segments before (one row each) are added, so
+    a changelog of any length is ranked by many tasks.
     """
     text = F.col("text")
     kind, rank = F.lit("general"), F.lit(9)
@@ -615,11 +618,22 @@ def changelog_group(entries: DataFrame, key: str) -> DataFrame:
             hit = (F.col("section") == section) & F.contains(text, F.lit(mark))
             kind, rank = F.when(hit, name).otherwise(kind), F.when(hit, place).otherwise(rank)
     order = F.array_position(F.array(*(F.lit(s) for s in SECTION_ORDER)), F.col("section"))
-    by_place = Window.partitionBy(key).orderBy("section_order", "kind_rank", "line_no")
+    major = ["section_order", "kind_rank", "segment"]
+    rows = entries.select(
+        key, "line_no", "section", "text", kind.alias("kind"), rank.alias("kind_rank"), order.alias("section_order"),
+        F.floor(F.col("line_no") / segment).alias("segment"),
+    )
+    before = Window.partitionBy(key).orderBy(*major).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        rows.groupBy(key, *major).agg(F.count("*").alias("n"))
+        .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .drop("n")
+    )
+    inside = Window.partitionBy(key, *major).orderBy("line_no")
     return (
-        entries.select(key, "line_no", "section", "text", kind.alias("kind"), rank.alias("kind_rank"), order.alias("section_order"))
-        .withColumn("place", F.row_number().over(by_place))
-        .drop("kind_rank", "section_order")
+        rows.withColumn("rank", F.row_number().over(inside))
+        .join(offsets, [key, *major])
+        .select(key, "line_no", "section", "text", "kind", (F.col("offset") + F.col("rank")).cast("int").alias("place"))
     )
 
 

@@ -88,6 +88,11 @@ LOCATION = ["resource", "kind", "path", "file", "line", "end_line", "col"]
 FINDING_KEY = ["rule_id", "file", "line", "col"]
 
 
+_NO_CONTEXT = {
+    "n_sku": 0, "n_children": 0, "child": "", "child_type": "", "child_opaque": False, "constrained": False,
+}
+
+
 def _literals(words) -> Column:
     return F.array(*(F.lit(w) for w in words))
 
@@ -100,30 +105,38 @@ def active_rules(only: str = "", disable: str = "") -> list[str]:
     return [r for r in RULES if r not in dropped and (not chosen or r in chosen)]
 
 
-def with_tree_context(properties: DataFrame) -> DataFrame:
+def with_tree_context(properties: DataFrame, children: bool = True, siblings: bool = True) -> DataFrame:
     """Add what rules need to know of children and of sku siblings.
 
-    One aggregation per level (combined on the map side) serves both; it is
-    joined back by parent and by own path.
+    Both come from aggregates that fold on the map side: children from nested
+    rows only, siblings from ``sku_`` rows only. They are joined back by own
+    path and by parent.
     """
-    level = properties.groupBy("kind", "resource", "parent_path").agg(
-        F.count("*").alias("n"),
-        F.min("name").alias("child"),
-        F.min("type").alias("child_type"),
-        F.bool_or("opaque").alias("child_opaque"),
-        F.bool_or(~F.col("opaque") & (F.col("required") | F.col("at_least_one_of") | F.col("exactly_one_of"))).alias("constrained"),
-        F.count(F.when(F.col("name").startswith("sku_"), 1)).alias("n_sku"),
-    )
-    children = level.select(
-        "kind", "resource", F.col("parent_path").alias("path"),
-        F.col("n").alias("n_children"), "child", "child_type", "child_opaque", "constrained",
-    )
-    siblings = level.select("kind", "resource", "parent_path", "n_sku")
-    return (
-        properties.join(siblings, ["kind", "resource", "parent_path"])
-        .join(children, ["kind", "resource", "path"], "left")
-        .withColumn("n_children", F.coalesce("n_children", F.lit(0)))
-    )
+    out = properties
+    if siblings:
+        counted = (
+            properties.where(F.col("top_level") & F.col("name").startswith("sku_"))
+            .groupBy("kind", "resource", "parent_path")
+            .agg(F.count("*").alias("n_sku"))
+        )
+        out = out.join(counted, ["kind", "resource", "parent_path"], "left")
+    if children:
+        constrained = ~F.col("opaque") & (F.col("required") | F.col("at_least_one_of") | F.col("exactly_one_of"))
+        folded = (
+            properties.where("parent_path <> ''")
+            .groupBy("kind", "resource", F.col("parent_path").alias("path"))
+            .agg(
+                F.count("*").alias("n_children"),
+                F.min("name").alias("child"),
+                F.min("type").alias("child_type"),
+                F.bool_or("opaque").alias("child_opaque"),
+                F.bool_or(constrained).alias("constrained"),
+            )
+        )
+        out = out.join(folded, ["kind", "resource", "path"], "left")
+    for column, zero in _NO_CONTEXT.items():
+        out = out.withColumn(column, F.coalesce(column, F.lit(zero)) if column in out.columns else F.lit(zero))
+    return out
 
 
 def _say(rule: str, *values) -> Column:
@@ -219,13 +232,9 @@ def lint_properties(properties: DataFrame, rules: list[str] | None = None) -> Da
     The tree context is only computed if a rule asks for it.
     """
     chosen = list(RULES) if rules is None else rules
-    if {"SL002", "SL006", "SL008"} & set(chosen):
-        properties = with_tree_context(properties)
-    else:
-        properties = properties.select(
-            "*", F.lit(0).alias("n_children"), F.lit("").alias("child"), F.lit("").alias("child_type"),
-            F.lit(False).alias("child_opaque"), F.lit(False).alias("constrained"), F.lit(0).alias("n_sku"),
-        )
+    properties = with_tree_context(
+        properties, children=bool({"SL002", "SL006"} & set(chosen)), siblings="SL008" in chosen
+    )
     hits = _rule_hits()
     tagged = []
     for rule in chosen:

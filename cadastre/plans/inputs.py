@@ -173,7 +173,7 @@ FROM (SELECT c_custkey, replace(c_name, '#', '-') AS c_name, CAST(c_custkey AS S
 _SHARED["state_rows"] = (
     ("orders",),
     """
-SELECT o_orderkey AS row_key, CAST(o_orderkey % 3 AS INT) AS version, 'order' AS type,
+SELECT o_orderkey AS row_key, CAST(o_orderkey % 3 AS INT) AS version, CASE WHEN o_orderkey % 7 = 0 THEN 'sale' ELSE 'order' END AS type,
        '/subscriptions/' || CAST(o_custkey AS STRING) || CASE WHEN o_orderkey % 2 = 0 THEN '/resourcegroups/' ELSE '/resourceGroups/' END
          || 'rg-1/providers/Sample.Org/orders/' || CAST(o_orderkey AS STRING) AS id,
        o_orderpriority AS tier, o_orderstatus AS status,

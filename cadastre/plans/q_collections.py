@@ -23,21 +23,24 @@ def hash_key(spark, sf):
     )
 
 
+_LISTS = """SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag || ',' || l_linestatus || ',A,' || l_returnflag || ',' || CAST(l_linenumber AS STRING) AS t FROM {lineitem}"""
+
+
 @query(
     "set02_set_from_list",
-    """WITH l AS (SELECT l_orderkey AS k, list(l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) AS v FROM lineitem GROUP BY 1)
-SELECT k, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), ',') AS members, array_to_string(list_filter(v, lambda x: x <> 'A'), ',') AS removed, CASE WHEN k % 5 <> 0 THEN len(list_distinct(v)) END AS nilable, CASE WHEN k % 5 <> 0 THEN len(list_distinct(v)) ELSE 0 END AS plain FROM l""",
+    "WITH l AS (SELECT k, n, string_split(t, ',') AS v FROM (" + _LISTS.replace("{lineitem}", "lineitem") + """))
+SELECT k, n, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), ',') AS members, array_to_string(list_filter(v, lambda x: x <> 'A'), ',') AS removed, CASE WHEN k % 5 <> 0 THEN len(list_distinct(v)) END AS nilable, CASE WHEN k % 5 <> 0 THEN len(list_distinct(v)) ELSE 0 END AS plain FROM l""",
 )
 def set_from_list(spark, sf):
-    rows = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(
-        F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("rows")
-    ).select("k", F.col("rows.l_returnflag").alias("v"), F.when(F.col("k") % 5 != 0, F.col("rows.l_returnflag")).alias("n"))
-    return rows.select(
-        "k",
-        F.array_join(c.set_of(F.col("v")), ",").alias("members"),
-        F.array_join(c.without_member(F.col("v"), "a"), ",").alias("removed"),
-        F.when(F.col("n").isNotNull(), F.size(c.set_of(F.col("n"), nil=True))).cast("long").alias("nilable"),
-        F.size(c.set_of(F.col("n"))).cast("long").alias("plain"),
+    lists = spark.sql(_LISTS, lineitem=load(spark, sf, "lineitem"))
+    members = F.split("t", ",")
+    nilable = F.when(F.col("k") % 5 != 0, members)
+    return lists.select(
+        "k", "n",
+        F.array_join(c.set_of(members), ",").alias("members"),
+        F.array_join(c.without_member(members, "a"), ",").alias("removed"),
+        F.when(nilable.isNotNull(), F.size(c.set_of(nilable, nil=True))).cast("long").alias("nilable"),
+        F.size(c.set_of(nilable)).cast("long").alias("plain"),
     )
 
 

@@ -63,18 +63,18 @@ def replace_or_update(spark, sf):
 
 @query(
     "cmp03_case_and_order",
-    """WITH l AS (SELECT l_orderkey AS k, list(l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) AS old FROM lineitem GROUP BY 1)
-SELECT k, k % 3 <> 2 OR array_to_string(list_sort(old), ',') = array_to_string(list_sort(list_transform(old, lambda f: CASE WHEN f = 'A' THEN 'N' ELSE f END)), ',') AS same_members,
+    """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, [l_returnflag, l_linestatus, CAST(l_linenumber AS VARCHAR), l_returnflag] AS old FROM lineitem)
+SELECT k, n, k % 3 <> 2 OR array_to_string(list_sort(old), ',') = array_to_string(list_sort(list_transform(old, lambda f: CASE WHEN f = 'A' THEN 'N' ELSE f END)), ',') AS same_members,
   k % 2 = 0 AS same_case FROM l""",
 )
 def case_and_order(spark, sf):
-    lists = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(
-        F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("rows")
-    ).select("k", F.col("rows.l_returnflag").alias("old"))
+    lists = load(spark, sf, "lineitem").selectExpr(
+        "l_orderkey AS k", "l_linenumber AS n", "array(l_returnflag, l_linestatus, CAST(l_linenumber AS STRING), l_returnflag) AS old"
+    )
     new = F.when(F.col("k") % 3 == 2, F.transform("old", lambda f: F.when(f == "A", "N").otherwise(f))).otherwise(F.reverse("old"))
     text = F.concat(F.lit("Name"), F.col("k").cast("string"))
     other = F.when(F.col("k") % 2 == 0, F.upper(text)).otherwise(F.concat(text, F.lit("x")))
-    return lists.select("k", c.ignore_order(F.col("old"), new).alias("same_members"), c.ignore_case(text, other).alias("same_case"))
+    return lists.select("k", "n", c.ignore_order(F.col("old"), new).alias("same_members"), c.ignore_case(text, other).alias("same_case"))
 
 
 _TIMES = """SELECT event_id AS k, '2024-03-10T12:' || m || ':30Z' AS old, CASE event_id % 5 WHEN 0 THEN '2024-03-10T14:' || m || ':30+02:00' WHEN 1 THEN '2024-03-10T12:' || m || ':45Z'

@@ -11,15 +11,16 @@ from cadastre.plans.registry import query
 IDS = cte("resource_ids").rstrip() + """,
 seg AS (SELECT row_key, id, string_split(trim(id, '/'), '/') AS s FROM resource_ids)
 """
-TEMPLATE = ("customer", "Sample.Org", ["customers"], ["Customer Name"])
+# Two types with one shape, so that rows are matched to templates by a real join.
+TEMPLATES = [(t, "Sample.Org", ["customers"], ["Customer Name"]) for t in ("customer", "client")]
 
 
 def _templates(spark):
-    return op.templates(spark, [TEMPLATE])
+    return op.templates(spark, TEMPLATES)
 
 
 def _typed_ids(spark, sf):
-    return load(spark, sf, "resource_ids").withColumn("type", F.lit("customer"))
+    return load(spark, sf, "resource_ids").withColumn("type", F.when(F.col("row_key") % 3 == 0, "client").otherwise("customer"))
 
 
 @query(

@@ -44,7 +44,7 @@ _ID = "'/subscriptions/' || split_part(id, '/', 3) || '/resourceGroups/rg-1/prov
 
 @query("mig01_rewrite_id", STATE + f"SELECT row_key, {state_sql(id=_ID)} AS state, NULL AS error FROM state_rows")
 def rewrite_id(spark, sf):
-    templates = ids.templates(spark, [("order", "Sample.Org", ["orders"], ["Order"])])
+    templates = ids.templates(spark, [(t, "Sample.Org", ["orders"], ["Order"]) for t in ("order", "sale")])
     return shown(op.rewrite_id(states(spark, sf), templates)).select("row_key", "state", "error")
 
 
@@ -81,7 +81,7 @@ def string_replace_id(spark, sf):
 )
 def migrate_chain(spark, sf):
     steps = [op.rename_field("old_name", "public_name"), op.conditional_drop("price", "tier", "1-URGENT"), op.set_field("status", "Z")]
-    return shown(op.migrate_chain(states(spark, sf), {"order": steps})).drop("type")
+    return shown(op.migrate_chain(states(spark, sf), {"order": steps, "sale": steps})).drop("type")
 
 
 @query(

@@ -120,8 +120,9 @@ def _verb(action: Column) -> Column:
     return verb
 
 
-def timeout_line(action: Column, value_text: Column, subject: Column) -> Column:
-    return F.format_string("* `%s` - (Defaults to %s) Used when %s the %s.", action, value_text, _verb(action), subject)
+def timeout_line(action: Column, value_text: Column, subject: Column, stop: str = ".") -> Column:
+    text = F.format_string("* `%s` - (Defaults to %s) Used when %s the %s", action, value_text, _verb(action), subject)
+    return F.concat(text, F.lit(stop))
 
 
 def expected_note(line: Column) -> Column:

@@ -154,6 +154,15 @@ def normalise_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("text", px.normalise_line(F.col("text")))
 
 
+def fix_block_heads(lines: DataFrame) -> DataFrame:
+    """Lines that look like block headings but are none, and how they should read."""
+    return (
+        block_heads(lines)
+        .where("NOT is_head")
+        .select("page", "line_no", "text", px.fix_block_head(F.col("text")).alias("fixed"))
+    )
+
+
 def attach_blocks(fields: DataFrame, blocks: DataFrame) -> DataFrame:
     """Line of the block that a block field refers to, else what is wrong with it.
 
@@ -416,7 +425,7 @@ def circular_blocks(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     ``edges`` has (page, block, child). Grows the reach of each block one level
     a round, each pair once, so cycles end by themselves.
     """
-    edges = edges.select("page", "block", "child").distinct()
+    edges = materialise(edges.select("page", "block", "child").distinct(), "blocks")
     frontier = materialise(edges.withColumnRenamed("child", "node"), "blocks")
     reach = frontier
     for _ in range(max_rounds):
@@ -549,6 +558,14 @@ def timeouts_in_crud_order(lines: DataFrame) -> DataFrame:
     )
 
 
+def expected_timeout_lines(timeouts: DataFrame) -> DataFrame:
+    """Line that a page should have for each timeout (page, action, minutes, subject)."""
+    return timeouts.select(
+        "page", "action",
+        px.timeout_line(F.col("action"), px.duration_text(F.col("minutes")), F.col("subject"), stop="").alias("line"),
+    )
+
+
 def heading_rules(section_rows: DataFrame, names: DataFrame) -> DataFrame:
     """Headings that differ from the expected title, arguments and attributes headings.
 

@@ -36,22 +36,27 @@ def explode_imports(symbols: DataFrame) -> DataFrame:
 def used_imports(symbols: DataFrame) -> DataFrame:
     """Imports whose alias, else last path segment, is used in the declaration.
 
-    Works inside each row. A plain search for ``ident.`` rejects most imports;
-    only the rest are matched as the start of an identifier chain.
+    Imports are filtered inside their row, so no body is copied per import. A
+    plain search for ``ident.`` rejects most of them; only the rest are matched
+    as the start of an identifier chain.
     """
     found = F.arrays_zip(
         F.regexp_extract_all("import_block", F.lit(IMPORT_LINE), F.lit(1)).alias("alias"),
         F.regexp_extract_all("import_block", F.lit(IMPORT_LINE), F.lit(2)).alias("import_path"),
     )
-    ident = F.coalesce(F.nullif("i.alias", F.lit("")), F.substring_index("i.import_path", "/", -1))
-    call = F.concat("used_as", F.lit("."))
-    start = F.concat(F.lit(r"(?:^|[^A-Za-z0-9_.])\Q"), F.col("used_as"), F.lit(r"\E\."))
-    return (
-        symbols.select("path", "body", F.explode(found).alias("i"))
-        .select("path", "body", "i.import_path", ident.alias("used_as"))
-        .where(F.contains("body", call) & F.regexp_like("body", start))
-        .select("path", "import_path", "used_as")
+    named = F.transform(
+        found,
+        lambda i: F.struct(
+            i["import_path"].alias("import_path"),
+            F.coalesce(F.nullif(i["alias"], F.lit("")), F.substring_index(i["import_path"], "/", -1)).alias("used_as"),
+        ),
+    )
+    used = F.filter(
+        named,
+        lambda i: F.contains("body", F.concat(i["used_as"], F.lit(".")))
+        & F.regexp_like("body", F.concat(F.lit(r"(?:^|[^A-Za-z0-9_.])\Q"), i["used_as"], F.lit(r"\E\."))),
     )
+    return symbols.select("path", F.inline(used))
 
 
 def dependency_edges(uses: DataFrame, src: str, dst: str) -> DataFrame:
@@ -92,9 +97,11 @@ def reachability(edges: DataFrame, entries: DataFrame, max_rounds: int = 1000) -
     """Every node reached from the entry nodes, with its least depth.
 
     Breadth-first: each round joins the frontier to the edges and drops nodes
-    seen before, which is also the cycle guard. Rounds are written to the shared
-    folder, so a lost executor costs one round at most.
+    seen before, which is also the cycle guard. Edges and rounds are written to
+    the shared folder, so edges are derived once and a lost executor costs one
+    round at most.
     """
+    edges = materialise(edges.select("src", "dst").distinct(), "edges")
     frontier = materialise(entries.select("node").distinct().withColumn("depth", F.lit(0)), "reach")
     seen = frontier
     for depth in range(1, max_rounds + 1):
@@ -133,10 +140,10 @@ def model_tag_check(fields: DataFrame, tag: str = "tfschema_tag", max_rounds: in
     """Fields without a tag, by dotted path from each root type through list fields.
 
     A field is reported before the types inside it are; a type already on the
-    path is not entered again.
+    path is not entered again. Fields are read each round, so they are written once.
     """
+    fields = materialise(fields.select("type_name", "field", "field_type", tag), "fields")
     element = F.regexp_extract("field_type", r"^\[\]\*?(\w+)$", 1)
-    nested = fields.select("type_name", "field", element.alias("inner")).where("inner <> ''")
     level = fields.select(
         F.col("type_name").alias("root"), F.col("field").alias("field_path"), tag,
         element.alias("inner"), F.array("type_name").alias("on_path"),

@@ -121,6 +121,20 @@ def normalise_lines(spark, sf):
     return op.normalise_lines(_lines(spark, sf))
 
 
+_LOOSE_HEADS = """SELECT page, line_no, CASE line_no % 4 WHEN 0 THEN '* `' || word || '` supports the following:' WHEN 1 THEN '`' || word || '` block supports:' WHEN 2 THEN 'supports `' || word || '` and more:' ELSE text END AS text FROM {page_lines}"""
+
+
+@query(
+    "doc05_fix_block_heads",
+    LINES.rstrip() + ", l AS (" + _LOOSE_HEADS.replace("{page_lines}", "page_lines") + f"""),
+h AS (SELECT * FROM l WHERE NOT regexp_matches(text, {q(px.BLOCK_HEAD)}) AND (regexp_matches(text, {q(px.BLOCK_HEAD_TRY)}) OR (contains(text, 'supports') AND suffix(text, ':')))),
+s AS (SELECT *, CASE WHEN starts_with(text, '*') THEN trim(substr(text, 2)) ELSE text END AS t FROM h), a AS (SELECT *, CASE WHEN starts_with(t, '`') THEN 'The ' || t ELSE t END AS u FROM s)
+SELECT page, line_no, text, CASE WHEN contains(u, 'block') THEN u ELSE regexp_replace(u, '^(.+`)([^`]*)$', '\\1 block\\2') END AS fixed FROM a""",
+)
+def fix_block_heads(spark, sf):
+    return op.fix_block_heads(spark.sql(_LOOSE_HEADS, page_lines=load(spark, sf, "page_lines")))
+
+
 @query(
     "doc06_attach_blocks",
     FIELDS.rstrip() + "," + HEADS + """,
@@ -432,6 +446,20 @@ def timeouts_in_crud_order(spark, sf):
     return op.timeouts_in_crud_order(moved)
 
 
+@query(
+    "doc24_expected_timeout_lines",
+    """SELECT user_id AS page, a AS action, '* `' || a || '` - (Defaults to ' || CASE WHEN m % 60 = 0 THEN (m // 60) || CASE WHEN m // 60 > 1 THEN ' hours' ELSE ' hour' END ELSE m || CASE WHEN m > 1 THEN ' minutes' ELSE ' minute' END END
+  || ') Used when ' || CASE a WHEN 'create' THEN 'creating' WHEN 'read' THEN 'retrieving' WHEN 'update' THEN 'updating' ELSE 'deleting' END || ' the ' || event_type AS line
+FROM (SELECT user_id, event_type, split_part('create,read,update,delete', ',', CAST(1 + event_id % 4 AS INT)) AS a, 1 + event_id % 240 AS m FROM events)""",
+)
+def expected_timeout_lines(spark, sf):
+    timeouts = load(spark, sf, "events").selectExpr(
+        "user_id AS page", "split_part('create,read,update,delete', ',', CAST(1 + event_id % 4 AS INT)) AS action",
+        "1 + event_id % 240 AS minutes", "event_type AS subject",
+    )
+    return op.expected_timeout_lines(timeouts)
+
+
 @query(
     "doc25_heading_rules",
     SECTIONED + """SELECT page, line_no, CASE section_type WHEN 'title' THEN 'S003' WHEN 'arguments' THEN 'S004' ELSE 'S005' END AS rule, heading, expected

@@ -65,6 +65,16 @@ def decode_schema_node(spark, sf):
     return snapshots.decode_schema_node(nodes).drop("node_json")
 
 
+@query(
+    "src05_config_mode",
+    "SELECT p_partkey AS row_key, CASE p_size % 6 WHEN 1 THEN 'Auto' WHEN 2 THEN 'Block' WHEN 4 THEN 'Attribute' ELSE '' END AS config_mode FROM part",
+)
+def config_mode(spark, sf):
+    return load(spark, sf, "part").select(
+        F.col("p_partkey").alias("row_key"), snapshots.config_mode_name(F.col("p_size") % 6).alias("config_mode")
+    )
+
+
 @query("src06_read_markdown_pages", cte("text_lines") + "SELECT doc_id, line_no, raw AS text FROM text_lines")
 def read_markdown_pages(spark, sf):
     return text.page_lines(load(spark, sf, "documents"), "doc_id")

@@ -21,7 +21,7 @@ METHODS = {
 }
 MAP_ENTRY = r'"([a-z0-9_]+)":\s*(\w+)\('
 SLICE_ENTRY = r"(?m)^[ \t]+(\w+)\{\},"
-CONSTRUCTOR_ENTRY = r"(?m)^[ \t]+(New\w+),"
+CONSTRUCTOR_ENTRY = r"(?m)^[ \t]+([Nn]ew\w+),"
 SKIPPED_SERVICES = ("devspace", "servicefabricmesh")
 
 
@@ -32,6 +32,23 @@ def _method_value(position: int) -> Column:
     return value
 
 
+def registration_texts(symbols: DataFrame) -> DataFrame:
+    """Registration methods (service, method, body) of a parsed symbol index."""
+    return symbols.where(
+        (F.col("kind") == "method") & (F.col("receiver") == "Registration") & F.col("name").isin(list(METHODS))
+    ).select("service", F.col("name").alias("method"), "body")
+
+
+def resource_type_names(symbols: DataFrame) -> DataFrame:
+    """Type name that each receiver's ``ResourceType`` method returns, one row per receiver."""
+    literal = F.regexp_extract("body", r'return "([^"]+)"', 1)
+    return (
+        symbols.where((F.col("kind") == "method") & (F.col("name") == "ResourceType") & (literal != ""))
+        .groupBy("service", "receiver")
+        .agg(F.min(literal).alias("resource_type"))
+    )
+
+
 def untyped_mappings(texts: DataFrame) -> DataFrame:
     """(service, object_kind, resource_type, registration_method) of map literals."""
     entries = F.arrays_zip(
@@ -82,6 +99,24 @@ def all_registrations(*parts: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def registrations_from_texts(texts: DataFrame, type_names: DataFrame) -> DataFrame:
+    """Every registration with its style, as the statistics take them.
+
+    A typed receiver whose type name is unknown counts under its own name, and
+    so does a constructor.
+    """
+    untyped = untyped_mappings(texts).withColumn("style", F.lit("legacy"))
+    typed = resolve_typed_names(typed_registrations(texts), type_names).select(
+        "service", "object_kind", F.coalesce("resource_type", "receiver").alias("resource_type"),
+        F.col("receiver").alias("registration_method"), F.lit("modern").alias("style"),
+    )
+    other = other_registrations(texts).select(
+        "service", "object_kind", F.col("constructor").alias("resource_type"), F.col("constructor").alias("registration_method"),
+        F.when(F.col("object_kind") == "ephemeral", "ephemeral").otherwise("modern").alias("style"),
+    )
+    return untyped.unionByName(typed).unionByName(other)
+
+
 def _flags() -> list[Column]:
     resource = F.col("object_kind") == "resource"
     return [

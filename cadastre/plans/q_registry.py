@@ -95,6 +95,22 @@ def provider_statistics(spark, sf):
     return op.provider_statistics(load(spark, sf, "registrations"))
 
 
+@query(
+    "reg06_statistics_from_texts",
+    TEXTS.rstrip() + "," + MAP_SQL + "," + SLICE_SQL + "," + NAMES_SQL + """,
+others AS (SELECT service, method, unnest(list_concat(regexp_extract_all(body, '(?m)^[ \\t]+([Nn]ew\\w+),', 1), regexp_extract_all(body, '(?m)^[ \\t]+(\\w+)\\{\\},', 1))) AS c
+  FROM registration_texts WHERE method NOT IN ('SupportedResources', 'SupportedDataSources', 'Resources', 'DataSources')),
+r AS (SELECT service, object_kind, resource_type, 'legacy' AS style FROM maps
+  UNION ALL SELECT service, object_kind, coalesce(resource_type, receiver), 'modern' FROM slices LEFT JOIN type_names USING (service, receiver)
+  UNION ALL SELECT service, CASE method WHEN 'FrameworkResources' THEN 'resource' WHEN 'FrameworkDataSources' THEN 'data_source' ELSE method END, c, CASE WHEN method = 'EphemeralResources' THEN 'ephemeral' ELSE 'modern' END FROM others)
+"""
+    + f"SELECT count(DISTINCT service) AS service_count, {_SIX} FROM r",
+)
+def statistics_from_texts(spark, sf):
+    found = op.registrations_from_texts(load(spark, sf, "registration_texts"), _type_names(spark, sf))
+    return op.provider_statistics(found)
+
+
 @query(
     "reg07_service_rollup",
     cte("registrations") + f"SELECT service, {_SIX} FROM registrations GROUP BY GROUPING SETS ((service), ())",

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cadastre.operators import symbols
+from cadastre.operators import registry, symbols
 from cadastre.operators.snapshots import flatten_properties
 from cadastre.sources import snapshots, text
 from cadastre.sources.symbol_index import parse_symbol_path, parse_symbol_text, scan_symbol_index
@@ -126,3 +126,23 @@ def test_struct_fields(spark):
 def test_config_modes(spark):
     rows = spark.range(5).select(snapshots.config_mode_name(F.col("id")).alias("m")).collect()
     assert [r["m"] for r in rows] == ["", "Auto", "Block", "", "Attribute"]
+
+
+def test_statistics_from_an_index(spark, tmp_path):
+    """The whole way from files to the six counts."""
+    def method(service, receiver, name, body):
+        target = tmp_path / f"internal/services/{service}/method.{receiver}.{name}.goindex"
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(f"package {service}\nfunc (r {receiver}) {name}() X {{\n{body}\n}}\n")
+
+    method("lake", "Registration", "SupportedResources", '\treturn map[string]*R{\n\t\t"s_lake":  resourceLake(),\n\t\t"s_old": resourceOld(),\n\t}')
+    method("lake", "Registration", "SupportedDataSources", '\treturn map[string]*R{\n\t\t"s_lake": dataSourceLake(),\n\t}')
+    method("pond", "Registration", "Resources", "\treturn []R{\n\t\tPondResource{},\n\t\tFrogResource{},\n\t}")
+    method("pond", "Registration", "EphemeralResources", "\treturn []E{\n\t\tNewPondKey,\n\t\tnewPondSecret,\n\t}")
+    method("pond", "PondResource", "ResourceType", '\treturn "s_old"')
+    parsed = parse_symbol_text(parse_symbol_path(scan_symbol_index(spark, str(tmp_path)))).cache()
+    found = registry.registrations_from_texts(registry.registration_texts(parsed), registry.resource_type_names(parsed))
+    assert registry.provider_statistics(found).collect()[0].asDict() == {
+        "service_count": 2, "total_data_sources": 1, "total_resources": 3, "legacy_resources": 2, "modern_resources": 2, "ephemeral_resources": 2,
+    }
+    assert {(r["resource_type"], r["services"]) for r in registry.duplicate_registrations(found.where("object_kind = 'resource'")).collect()} == {("s_old", 2)}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadastre.llm import html_extract, pieces, quality, rules, topk
 from cadastre.llm.jaccard_join import jaccard_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +24,48 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The piece vocabulary: ``LLM_PIECES`` if set, else that of the installed package."""
+    if named := os.environ.get("LLM_PIECES"):
+        return named
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@_query
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+@_query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every document, and whether they decode to its text."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, tokenizer_path())
+    return coded.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.size("pieces").cast("long").alias("n_pieces"), "pieces", F.col("pieces_lossless").alias("lossless"))
+
+
+@_query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return rules.judge(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by linked component, at four words and 0.85."""
     return jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
+
+
+@_query
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)

@@ -10,11 +10,11 @@ narrows in three exact levels:
    same shingles of both. A document therefore goes into the region of each of its
    cells' contents; linked documents always meet in a region.
 2. **Documents as pivots.** Documents that meet form a district. A district that is too
-   large is cut by pivots into Voronoi regions: a document lives in the region of its
+   large is cut again by other cells of the universe, where few meet twice, or by
+   documents as pivots into Voronoi regions: a document lives in the region of its
    nearest pivot and, by the triangle inequality, visits every region in which a linked
    document could live (distance at most that of the nearest pivot plus 2t, and at most
-   the region's radius plus t). Regions that are still too large and that shrank are cut
-   again.
+   the region's radius plus t). That goes on while it halves the comparisons.
 3. **Rings.** A region that no pivot can cut is put in the order of distance to its pivot
    and split into blocks; two blocks meet only if their distances are within t.
 
@@ -33,6 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,11 +45,12 @@ SEEDS = 3
 
 
 @functools.cache
-def _classes(percent: int, most: int) -> tuple[list[int], list[tuple[int, int]]]:
-    """Size classes: their least sizes, and per class the number of cells and spare cells.
+def _classes(percent: int, most: int) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Size classes: their least sizes, and per class the number of cells, how many of them linked sets share at
+    least, and how many shingles a cell must hold to count.
 
-    Linked sets fall in the same or in neighbouring classes. Spare cells make up for
-    cells that hold nothing of either set.
+    Linked sets fall in the same or in neighbouring classes. Light cells say little and
+    are not used: there are so many cells that, as a rule, linked sets share a heavy one.
     """
     lows, cells = [1], []
     while lows[-1] <= most:
@@ -56,12 +58,22 @@ def _classes(percent: int, most: int) -> tuple[list[int], list[tuple[int, int]]]
         high = max(low + 1, -(-low * 100 // percent))
         a, b = high - 1, (high - 1) * 100 // percent
         differ = (100 - percent) * (a + b) // (100 + percent)
-        spare = 0
+        m, heavy = differ + 1, 1
         if differ:
-            for _ in range(4):
-                empty = (differ + 1 + spare) * math.exp(-low / (differ + 1 + spare))
-                spare = math.ceil(min(empty, 4 * differ) + 3 * math.sqrt(min(empty, 4 * differ))) + 1
-        cells.append((differ + 1 + spare, spare))
+            for heavy in (3, 2, 1):
+                m = differ + 1
+                for _ in range(60):
+                    load = low / m
+                    light = m * sum(math.exp(-load) * load**k / math.factorial(k) for k in range(heavy))
+                    want = differ + 1 + math.ceil(light + 2.5 * math.sqrt(light))
+                    if want <= m:
+                        break
+                    m += max(1, (want - m) // 4)
+                if want <= m <= max(1.4 * (differ + 1), differ + 4):
+                    break
+            else:
+                m, heavy = differ + 2, 1
+        cells.append((m, m - differ, heavy))
         lows.append(high)
     return lows, cells
 
@@ -71,8 +83,8 @@ def _edges(m: int) -> np.ndarray:
     return np.array([(k << 64) // m for k in range(m)], dtype=U)
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the regions that a set of shingles (sorted, distinct) belongs to."""
+def signatures(s: np.ndarray, percent: int, salt: int = 0) -> np.ndarray:
+    """Keys of the regions that a set of shingles (sorted, distinct) belongs to; each ``salt`` cuts the universe anew."""
     n = len(s)
     if n == 0:
         return s
@@ -81,17 +93,17 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     out = []
     with np.errstate(over="ignore"):
         for c in {own, max(own - 1, 0)}:
-            m, spare = cells[c]
+            m, shared, heavy = cells[c]
             for seed in range(SEEDS):
-                v = s if seed == 0 else np.sort(mix(s ^ U(mix_int(seed + 77))))
+                v = s if seed + salt == 0 else np.sort(mix(s ^ U(mix_int(seed + salt * SEEDS + 77))))
                 sums = np.zeros(n + 1, dtype=U)
                 np.cumsum(mix(v), out=sums[1:])
                 at = np.append(np.searchsorted(v, _edges(m)), n)
-                full = at[1:] > at[:-1]
-                key = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(np.arange(m, dtype=U) + U(mix_int(c * SEEDS + seed))))
+                full = at[1:] - at[:-1] >= heavy
+                key = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(np.arange(m, dtype=U) + U(mix_int((c * SEEDS + seed) * 64 + salt))))
                 out.append(key[full])
-                # a set with so many empty cells may agree with a linked one in those alone
-                if m - int(full.sum()) <= spare:
+                # a set with so many light cells may share only those with a linked one
+                if m - int(full.sum()) < shared:
                     break
             else:
                 out.append(key[~full])
@@ -225,13 +237,43 @@ def _distance(a: str, b: str):
     return 1 - common / (F.size(a) + F.size(b) - common)
 
 
-def _weights(members: DataFrame) -> DataFrame:
-    """Per region the shingles that comparing it takes; a pair is never cut."""
-    return members.groupBy("region").agg(
-        F.when(F.count("*") > 2, F.sum(F.size("s").cast("long"))).otherwise(0).alias("weight")
+def _weights(members: DataFrame, piece: int, piece_docs: int) -> DataFrame:
+    """Per region its documents, and whether one task may compare them; a pair is never cut."""
+    n, weight = F.count("*"), F.sum(F.size("s").cast("long"))
+    return members.groupBy("region").agg(n.alias("n_docs"), ((n <= 2) | (n <= piece_docs) & (weight <= piece)).alias("fits"))
+
+
+def _by_cells(large: DataFrame, percent: int, salt: int) -> DataFrame:
+    """Cut regions by a new set of cells: ``(region, cell, doc_id)``; of cells with the same documents one is kept."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("s")
+            flat, at = np.asarray(lists.flatten()).view(U), np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
+            keys = [signatures(flat[a:b], percent, salt) for a, b in zip(at[:-1], at[1:])]
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))), pa.int32())
+            values = pa.array(_signed(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("doc_id"), pa.ListArray.from_arrays(offsets, values)], names=["region", "doc_id", "keys"])
+
+    keyed = materialise(large.select("region", "doc_id", "s").mapInArrow(run, "region long, doc_id long, keys array<long>"), "keyed")
+    rows = keyed.select("region", "doc_id", F.explode("keys").alias("key"))
+    mark = lambda n: F.sum(F.xxhash64("doc_id", F.lit(n)).cast("decimal(20,0)"))
+    groups = rows.groupBy("region", "key").agg(F.count("*").alias("n"), mark(1).alias("x"), mark(2).alias("y")).where("n > 1")
+    kept = groups.groupBy("region", "n", "x", "y").agg(F.min("key").alias("key"))
+    return materialise(
+        rows.join(kept.select("region", "key"), ["region", "key"]).select("region", F.xxhash64("region", "key", F.lit(salt)).alias("cell"), "doc_id"), "cells"
     )
 
 
+def _worthwhile(large: DataFrame, cells: DataFrame) -> DataFrame:
+    """Regions whose cells need at most half the comparisons of the region itself."""
+    square = F.col("n").cast("double") * F.col("n")
+    cost = cells.groupBy("region", "cell").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum(square).alias("cost"))
+    n_docs = large.groupBy("region").agg(F.first("n_docs").cast("double").alias("n"))
+    judged = n_docs.join(cost, "region", "left").where(F.coalesce("cost", F.lit(0.0)) <= 0.5 * square).select("region")
+    return materialise(judged, "judged")
+
+
 def _to_pivots(large: DataFrame, pivots_per_region: int, salt: int) -> DataFrame:
     """Distances ``(region, doc_id, cell, far)`` of every member to every pivot of its region."""
     slot = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(pivots_per_region))
@@ -257,22 +299,24 @@ def _voronoi(large: DataFrame, far: DataFrame, t: float) -> DataFrame:
     )
 
 
-def _rings(stuck: DataFrame, far: DataFrame, piece: int, t: float) -> DataFrame:
+def _rings(stuck: DataFrame, far: DataFrame, piece: int, piece_docs: int, t: float) -> DataFrame:
     """Blocks of a region in the order of distance to its most central pivot; blocks within ``t`` of each other meet.
 
     Rows ``(piece, side, doc_id, s)``. A block is a stretch of distances, or, where many
     documents have one distance, a share of them by hash.
     """
-    half, bins = piece // 2, 512
+    # a document weighs its share of what a block may hold
+    share_of = F.greatest(F.size("s") / F.lit(piece / 2), F.lit(2 / piece_docs))
+    bins = 512
     centre = far.groupBy("region", "cell").agg(F.avg("far").alias("mean")).groupBy("region").agg(F.min_by("cell", F.struct("mean", "cell")).alias("cell"))
     placed = (
         stuck.join(far.join(centre, ["region", "cell"]).select("region", "doc_id", "far"), ["region", "doc_id"])
         .withColumn("bin", F.floor(F.col("far") * bins))
     )
-    weights = placed.groupBy("region", "bin").agg(F.sum(F.size("s").cast("long")).alias("w"))
+    weights = placed.groupBy("region", "bin").agg(F.sum(share_of).alias("w"))
     before = weights.withColumn("c", F.sum("w").over(Window.partitionBy("region").orderBy("bin")) - F.col("w"))
     share = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / (1 << 20)
-    blocked = placed.join(before, ["region", "bin"]).withColumn("block", F.floor((F.col("c") + share * F.col("w")) / half))
+    blocked = placed.join(before, ["region", "bin"]).withColumn("block", F.floor(F.col("c") + share * F.col("w")))
     blocked = materialise(blocked.select("region", "block", "doc_id", "s", "far"), "blocks")
     span = blocked.groupBy("region", "block").agg(F.min("far").alias("low"), F.max("far").alias("high"))
     right = span.select("region", F.col("block").alias("other"), F.col("low").alias("low2"))
@@ -288,47 +332,45 @@ def _rings(stuck: DataFrame, far: DataFrame, piece: int, t: float) -> DataFrame:
     return blocked.join(use, ["region", "block"]).select("piece", "side", "doc_id", "s")
 
 
-def _pieces(members: DataFrame, piece: int, pivots_per_region: int, t: float) -> DataFrame:
+def _pieces(members: DataFrame, percent: int, piece: int, piece_docs: int, pivots_per_region: int) -> DataFrame:
     """Pieces ``(piece, side, doc_id, s)`` that together hold every linked pair of a region.
 
-    A region goes on being cut as long as its cells need at most half the comparisons
-    that it would need itself.
+    A region is cut by new cells of the universe, else by pivots, as long as that halves
+    the comparisons; what cannot be cut so is split into rings.
     """
+    t = 1 - percent / 100
     out, salt = None, 0
     while True:
-        sized = members.join(_weights(members), "region")
-        small = sized.where(F.col("weight") <= piece).select(F.xxhash64("region", F.lit(salt)).alias("piece"), F.lit(0).alias("side"), "doc_id", "s")
+        salt += 1
+        sized = members.join(_weights(members, piece, piece_docs), "region")
+        small = sized.where("fits").select(F.xxhash64("region", F.lit(salt)).alias("piece"), F.lit(0).alias("side"), "doc_id", "s")
         out = small if out is None else out.union(small)
-        large = sized.where(F.col("weight") > piece)
+        large = materialise(sized.where("not fits"), "large")
         if large.limit(1).count() == 0:
             return out
-        large = materialise(large, "large")
-        far = _to_pivots(large, pivots_per_region, salt)
-        cells = materialise(_voronoi(large, far, t), "cells")
-        cost = (
-            cells.join(large, ["region", "doc_id"]).groupBy("region", "cell").agg(F.sum(F.size("s").cast("double")).alias("w"))
-            .groupBy("region").agg(F.sum(F.col("w") * F.col("w")).alias("cost"))
-        )
-        judged = large.select("region", "weight").distinct().join(cost, "region")
-        judged = materialise(judged.select("region", (F.col("cost") <= 0.5 * F.col("weight") * F.col("weight")).alias("cut")), "judged")
-        out = out.union(_rings(large.join(judged.where("not cut"), "region", "left_semi"), far, piece, t))
-        members = materialise(
-            large.join(cells.join(judged.where("cut"), "region", "left_semi"), ["region", "doc_id"]).select(F.col("cell").alias("region"), "doc_id", "s"),
-            "members",
-        )
-        salt += 2
+        inside = lambda cells, chosen, rows: rows.join(cells.join(chosen, "region", "left_semi"), ["region", "doc_id"]).select(F.col("cell").alias("region"), "doc_id", "s")
+        by_cells = _by_cells(large, percent, salt)
+        good = _worthwhile(large, by_cells)
+        parts = inside(by_cells, good, large)
+        rest = large.join(good, "region", "left_anti")
+        far = _to_pivots(rest, pivots_per_region, salt)
+        by_pivots = materialise(_voronoi(rest, far, t), "cells")
+        good = _worthwhile(rest, by_pivots)
+        parts = parts.union(inside(by_pivots, good, rest))
+        out = out.union(_rings(rest.join(good, "region", "left_anti"), far, piece, piece_docs, t))
+        members = materialise(parts, "members")
 
 
 def jaccard_links(
-    docs: DataFrame, n: int = 4, percent: int = 85, lower: bool = True, piece: int = 32_000, pivots_per_region: int = 8
+    docs: DataFrame, n: int = 4, percent: int = 85, lower: bool = True, piece: int = 32_000, piece_docs: int = 128, pivots_per_region: int = 8
 ) -> tuple[DataFrame, DataFrame]:
     """Links ``(a, b)`` between documents of different sets, and ``(doc_id, n_shingles, set_key)`` of every row.
 
     ``percent`` is the least similarity, ``n`` the words of a shingle. ``piece`` bounds the
-    shingles that a task compares at a time (two long documents are still compared whole).
+    shingles, ``piece_docs`` the documents that a task compares at a time (two long documents
+    are still compared whole).
     Of documents with equal sets the smallest id stands for all.
     """
-    t = 1 - percent / 100
     keyed = materialise(keyed_documents(docs, n, percent, lower), "keyed")
     rows = keyed.select("doc_id", "n_shingles", "set_key")
     met = (
@@ -352,7 +394,7 @@ def jaccard_links(
     members = _shingled(chosen.join(texts, "doc_id"), n, lower).where("size(s) > 0")
     # rows that repeat an id: the set of the chosen one may come twice
     members = materialise(members.groupBy("region", "doc_id", F.xxhash64("s").alias("h")).agg(F.first("s").alias("s")).drop("h"), "members")
-    pieces = _pieces(members, piece, pivots_per_region, t)
+    pieces = _pieces(members, percent, piece, piece_docs, pivots_per_region)
     return materialise(pieces.groupBy("piece").applyInArrow(_links_within(percent), "a long, b long").distinct(), "found"), rows
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastre.llm import html_extract, pieces, quality, rules, topk
+from cadastre.llm import html_extract, line_dedup, mixing, pieces, quality, rules, sharding, topk
 from cadastre.llm.jaccard_join import jaccard_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,13 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+@_query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
+    return mixed.taken.join(mixed.sources, "k").select("doc_id", "size", "source_size", "target", "taken")
+
+
 @_query
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
@@ -53,12 +60,25 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.size("pieces").cast("long").alias("n_pieces"), "pieces", F.col("pieces_lossless").alias("lossless"))
 
 
+@_query
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, equal texts together, counts at most one apart."""
+    return sharding.shard(_table(spark, sf_dir, "documents"), shards=8)
+
+
 @_query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     return rules.judge(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document with a line: its lines, and the places of those within two edits of an earlier one."""
+    out = line_dedup.removed_lines(_table(spark, sf_dir, "documents"), tau=2, least=16)
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
 @_query
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by linked component, at four words and 0.85."""

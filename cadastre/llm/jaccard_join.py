@@ -42,6 +42,7 @@ from cadastre.llm.words import U, Words, blocks, mix, mix_int, shingle_sets
 from cadastre.session import materialise
 
 SEEDS = 3
+BROADCAST_ROWS = 1_000_000
 
 
 @functools.cache
@@ -381,6 +382,9 @@ def jaccard_links(
         .union(keyed.select(F.col("doc_id").alias("a"), F.explode("peers").alias("b")))
         .distinct()
     )
+    # whom a document meets hangs on the smallest of them: far fewer links, the same districts
+    hung = met.withColumn("least", F.min("b").over(Window.partitionBy("a")))
+    met = hung.select(F.col("a"), F.col("least").alias("b")).union(hung.select(F.col("b").alias("a"), F.col("least").alias("b"))).where("a <> b").distinct()
     district = connected_components(met)
     sets = (
         rows.where("n_shingles > 0").join(district, F.col("doc_id") == F.col("node"))
@@ -389,7 +393,10 @@ def jaccard_links(
     )
     sets = materialise(sets, "sets")
     several = sets.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region")
-    chosen = sets.join(several, "region", "left_semi")
+    chosen = materialise(sets.join(several, "region", "left_semi").select("region", "doc_id"), "chosen")
+    # a list of ids of checked size spares the texts a shuffle; a longer one is joined
+    if chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = _shingled(chosen.join(texts, "doc_id"), n, lower).where("size(s) > 0")
     # rows that repeat an id: the set of the chosen one may come twice

@@ -424,3 +424,19 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
         .join(degree, "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "n_links")
     )
+
+
+def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with the document of smallest id of each component; rows without an id stay, of rows that repeat an id one stays."""
+    found = jaccard_components(docs, **options)
+    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    # a list of ids of checked size spares the texts a shuffle; a longer one is joined
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    twice = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__twice"))
+    twice = materialise(twice, "twice")
+    if twice.limit(1).count() == 0:
+        return kept
+    once = kept.join(twice, F.col("doc_id") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(twice, F.col("doc_id") == F.col("__twice"), "left_anti").unionByName(once)

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastre.llm.ranks import running, unit
@@ -31,6 +31,7 @@ from cadastre.session import materialise
 
 GOLDEN = 2654435769
 CELLS = 4096
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -38,7 +39,7 @@ class Mix:
     """What a mix consists of.
 
     ``sources``: k, source_size, target; ``slots``: slot, k, rank, first, n (words of the
-    stream); ``taken``: doc_id, k, size, taken, one row for each document.
+    stream); ``taken``: doc_id, k, size, tie, taken, one row for each document.
     """
 
     sources: DataFrame
@@ -46,16 +47,20 @@ class Mix:
     taken: DataFrame
 
 
-def sized(docs: DataFrame, *extra: str) -> DataFrame:
-    """``(doc_id, k, size, tie)`` and extra columns; k is the source, ``n`` for null, else after an ``s``."""
+def _identity() -> list[Column]:
+    """Id, source (``t`` for null, else after an ``s``), words and hash of the text."""
     text = F.col("text").cast("string")
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t")).alias("k"),
-        F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(text).alias("tie"),
-        *extra,
-    )
+    return [
+        F.col("doc_id").cast("long"),
+        F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t")),
+        F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"),
+        F.xxhash64(text),
+    ]
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """``(doc_id, k, size, tie)``: what a row is known by."""
+    return docs.select(*(c.alias(n) for c, n in zip(_identity(), ("doc_id", "k", "size", "tie"))))
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -111,7 +116,7 @@ def mix(
     slots = materialise(schedule(sources, block), "slots")
     h = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed))
     stream = running(rows.where("size > 0"), ["k"], unit(h), [F.col("doc_id"), F.col("size"), F.col("tie")], F.col("size"), count, "begin")
-    stream = materialise(stream.select("doc_id", "k", "size", "begin"), "stream")
+    stream = materialise(stream.select("doc_id", "k", "size", "tie", "begin"), "stream")
     passes = (
         stream.join(sources.select("k", "source_size", "target"), "k")
         # a stream is run through as often as the target needs; each pass puts the document further on
@@ -122,6 +127,29 @@ def mix(
     )
     overlap = F.least(F.col("at") + F.col("size"), F.col("first") + F.col("n")) - F.greatest("at", "first")
     taken = passes.join(slots.select("k", "rank", "first", "n"), ["k", "rank"]).groupBy("k", "begin").agg(F.sum(F.greatest(overlap, F.lit(0).cast("long"))).alias("taken"))
-    out = stream.join(taken, ["k", "begin"], "left").select("doc_id", "k", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    none = rows.where("size = 0").select("doc_id", "k", "size", F.lit(0).cast("long").alias("taken"))
+    out = stream.join(taken, ["k", "begin"], "left").select("doc_id", "k", "size", "tie", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    none = rows.where("size = 0").select("doc_id", "k", "size", "tie", F.lit(0).cast("long").alias("taken"))
     return Mix(sources, slots, out.union(none))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` as the mix holds them: each row as often as its words are taken, a part of half or more as a whole.
+
+    Only the two ends of what a source gives are parts of a document. A row is found by its
+    id, source, size and text; equal rows are taken alike, as often as the first of them.
+    """
+    times = F.round(F.col("taken") / F.col("size")).cast("int")
+    names = ["doc_id", "k", "size", "tie"]
+    marks = [f"__{n}" for n in names]
+    taken = (
+        mix(docs, **options).taken.where("size > 0").groupBy(*names).agg(F.max(times).alias("__times")).where("__times > 0")
+        .select(*(F.col(n).alias(m) for n, m in zip(names, marks)), "__times")
+    )
+    taken = materialise(taken, "taken")
+    # a table of checked size spares the texts a shuffle; a longer one is joined
+    if taken.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        taken = F.broadcast(taken)
+    marked = docs.select("*", *(c.alias(m) for c, m in zip(_identity(), marks)))
+    same = [F.col(f"d.{m}").eqNullSafe(F.col(f"t.{m}")) for m in marks]
+    joined = marked.alias("d").join(taken.alias("t"), same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return joined.select(*(F.col(f"d.`{c}`") for c in docs.columns))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastre.llm import html_extract, line_dedup, mixing, pieces, quality, rules, sharding, topk
+from cadastre.llm import html_extract, line_dedup, mixing, paragraph_dedup, pieces, quality, rules, sharding, topk
 from cadastre.llm.jaccard_join import jaccard_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,12 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
 
 
+@_query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that documents share, and which copy stays."""
+    return paragraph_dedup.repeated_passages(_table(spark, sf_dir, "documents"), percent=80)
+
+
 @_query
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every fiftieth vector."""

@@ -8,48 +8,47 @@ from pyspark.sql import functions as F
 from cadastre.session import materialise
 
 
+def _to_roots(up: DataFrame) -> DataFrame:
+    """``(node, up)`` with every ``up`` the root of its tree, by pointer jumping; an up that is no node is a root."""
+    while True:
+        over = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        jumped = materialise(up.join(over, "up", "left").select("node", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved")), "roots")
+        up = jumped.select("node", "up")
+        if jumped.where("moved").limit(1).count() == 0:
+            return up
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows ``(node, component)``: the smallest node reachable, for every node that has a link.
 
-    Large-star and small-star rounds (Kiveris and others, 2014): every node hangs its
-    neighbours on the smallest of them until nothing moves. A round folds by node on
-    the map side before it shuffles, so a node with very many links is no hot key, and
-    is written to the shared folder. Null ends and loops are no links; no link gives
-    an empty table.
+    Each round hangs every node on its smallest neighbour if that is smaller than itself,
+    follows these pointers to the roots, and contracts the links to links between roots,
+    of which far fewer are left. Sums fold by node on the map side before they shuffle, so a
+    node with very many links is no hot key there, and each step is written to the shared
+    folder. Null ends and loops are no links; no link gives an empty table.
     """
-    # (node, up): up < node
     edges = materialise(
-        links.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("up"))
+        links.select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .distinct(),
         "links",
     )
-    while True:
-        # large star: neighbours above a node hang on the smallest around it
-        least = edges.groupBy("node").agg(F.min("up").alias("least"))
-        large = (
-            edges.withColumnRenamed("node", "over").withColumnRenamed("up", "node")
-            .join(least, "node", "left")
-            .select(F.col("over").alias("node"), F.coalesce("least", "node").alias("up"))
-            .distinct()
-        )
-        # small star: everything below a node hangs on the smallest below it
-        low = large.groupBy("node").agg(F.min("up").alias("least"))
-        small = (
-            large.join(low, "node")
-            .select(F.explode(F.array("node", "up")).alias("node"), F.col("least").alias("up"))
-            .where("node <> up")
-            .distinct()
-        )
-        after = materialise(small, "links")
-        if after.groupBy("node").count().where("count > 1").limit(1).count() == 0 and _roots_done(after):
-            return after.select("node", F.col("up").alias("component")).union(
-                after.select(F.col("up").alias("node"), F.col("up").alias("component")).distinct()
+    known = None
+    while edges.limit(1).count():
+        # nodes without a smaller neighbour are the roots of this round
+        up = _to_roots(materialise(edges.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("up")), "up"))
+        if known is None:
+            known = up
+        else:
+            over = up.select(F.col("node").alias("up"), F.col("up").alias("root"))
+            known = known.join(over, "up", "left").select("node", F.coalesce("root", "up").alias("up")).union(
+                up.join(known.select("node"), "node", "left_anti")
             )
-        edges = after
-
-
-def _roots_done(edges: DataFrame) -> bool:
-    """No node hangs on one that hangs itself."""
-    hung = edges.select(F.col("node").alias("up"))
-    return edges.join(hung, "up", "left_semi").limit(1).count() == 0
+        known = materialise(known, "known")
+        high, low = up.select(F.col("node").alias("high"), F.col("up").alias("x")), up.select(F.col("node").alias("low"), F.col("up").alias("y"))
+        ends = edges.join(high, "high").join(low, "low", "left").select("x", F.coalesce("y", "low").alias("y")).where("x <> y")
+        edges = materialise(ends.select(F.greatest("x", "y").alias("high"), F.least("x", "y").alias("low")).distinct(), "links")
+    if known is None:
+        return edges.select(F.col("high").alias("node"), F.col("low").alias("component"))
+    roots = known.select(F.col("up").alias("node")).distinct()
+    return known.select("node", F.col("up").alias("component")).union(roots.select("node", F.col("node").alias("component")))

@@ -194,12 +194,13 @@ def removed_lines(docs: DataFrame, **options) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without its repeated lines; documents of which no line with a word is left go, unless they had none."""
-    gone = removed_lines(docs, **options).where("size(removed) > 0").withColumn("all_gone", F.size("removed") == F.col("n_lines"))
-    keyed = docs.withColumn("__key", document_key())
-    joined = keyed.join(gone.select(F.col("key").alias("__key"), "removed", "all_gone"), "__key", "left")
-    kept = F.array_join(F.filter(F.split(F.col("text").cast("string"), "\n"), lambda line, i: ~F.coalesce(F.array_contains("removed", i), F.lit(False))), "\n")
-    text = F.when(F.col("removed").isNull(), F.col("text").cast("string")).otherwise(kept)
-    out = joined.where(~F.coalesce("all_gone", F.lit(False))).withColumn("text", text)
+    gone = removed_lines(docs, **options).where("size(removed) > 0").select(
+        F.col("key").alias("__key"), F.col("removed").alias("__removed"), (F.size("removed") == F.col("n_lines")).alias("__all")
+    )
+    joined = docs.withColumn("__key", document_key()).join(gone, "__key", "left")
+    kept = F.array_join(F.filter(F.split(F.col("text").cast("string"), "\n"), lambda line, i: ~F.array_contains("__removed", i)), "\n")
+    text = F.when(F.col("__removed").isNull(), F.col("text").cast("string")).otherwise(kept)
+    out = joined.where(~F.coalesce("__all", F.lit(False))).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*(f"`{c}`" for c in docs.columns))

@@ -4,7 +4,8 @@ Documents of equal text are linked. They are interchangeable, so the propagation
 one row a text: how many of its documents each shard holds. A round lets every text ask
 to move its smaller parts to the open shard that holds most of it; requests are summed per
 pair of shards, and the quota of a pair is what comes back the other way: requests first,
-then documents without a link. Rows of a pair are served in hash order up to its quota
+then documents without a link. A part in a full shard may also follow a smaller part out of
+it, if it can go whole. Rows of a pair are served in hash order up to its quota
 (running sums, never a list), so every shard keeps its count, at most one apart from
 the others (law ``rows``). Rounds end when nothing moves. Cut links can only fall.
 
@@ -50,26 +51,49 @@ def _quotas(wants: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[in
     return allowed
 
 
+def _sums(moves: DataFrame, amount: str) -> dict[tuple[int, int], int]:
+    """Sums per pair of shards, shards * shards rows at most."""
+    return {(r["from"], r["to"]): r.n for r in moves.groupBy("from", "to").agg(F.sum(amount).alias("n")).collect()}
+
+
 def propagate(groups: DataFrame, shards: int, total: int, free: list[int], rounds: int) -> tuple[DataFrame, list[int]]:
     """``(g1, g2, parts)`` after the rounds, and the unlinked documents of each shard."""
     spark = groups.sparkSession
-    state = groups
+    state, whole = groups, False
     for _ in range(rounds):
-        open_shards = F.array(*(F.lit(j) for j in range(shards) if free[j] > 0)) if any(free) else F.sequence(F.lit(0), F.lit(shards - 1))
+        open_now = [j for j in range(shards) if free[j] > 0] or list(range(shards))
+        open_shards = F.array(*(F.lit(j) for j in open_now))
         best = F.array_max(F.transform(open_shards, lambda j: F.struct(F.get("parts", j).alias("n"), (-j).alias("j"))))
+        if whole:
+            room = F.element_at(F.array(*(F.lit(n) for n in free)), F.col("to") + 1)
+            wanted = ~F.col("from").isin(open_now) & (F.col("there") > 0) & (F.col("m") > F.col("there")) & (F.col("m") <= room)
+        else:
+            wanted = F.col("m") <= F.col("there")
         asks = (
             state.withColumn("best", best).withColumn("to", -F.col("best.j"))
             .select("g1", "g2", "to", F.col("best.n").alias("there"), F.posexplode("parts").alias("from", "m"))
-            .where((F.col("m") > 0) & (F.col("from") != F.col("to")) & (F.col("m") <= F.col("there")))
+            .where((F.col("m") > 0) & (F.col("from") != F.col("to")) & wanted)
         )
         asks = materialise(asks.select("g1", "g2", "from", "to", "m"), "asks")
-        wants = {(r["from"], r["to"]): r.n for r in asks.groupBy("from", "to").agg(F.sum("m").alias("n")).collect()}  # shards * shards rows
-        allowed = {k: v for k, v in _quotas(wants, free).items() if v > 0}
+        wants = _sums(asks, "m")
+        left = list(free)
+        allowed = {k: v for k, v in _quotas(wants, left).items() if v > 0}
         if not allowed:
-            break
+            if whole:
+                break
+            whole = True
+            continue
         quota = spark.createDataFrame([(a, b, n) for (a, b), n in allowed.items()], "from int, to int, quota long")
         served = running(asks, ["from", "to"], unit(F.xxhash64("g1", "g2")), [F.col("g1"), F.col("g2")], F.col("m"), total, "before").join(quota, ["from", "to"])
-        moved = served.withColumn("x", F.least(F.col("m"), F.col("quota") - F.col("before"))).where("x > 0")
+        moved = served.withColumn("x", F.least(F.col("m"), F.col("quota") - F.col("before"))).where("x = m" if whole else "x > 0")
+        moved = materialise(moved.select("g1", "g2", "from", "to", "x"), "moved")
+        after = list(free)
+        for (x, y), n in _sums(moved, "x").items():
+            after[x] += n
+            after[y] -= n
+        if min(after) < 0:
+            break  # parts that had to go whole found no room, and what was to go against them is too much
+        free, whole = after, False
         change = moved.groupBy("g1", "g2").agg(F.collect_list(F.struct("from", "to", "x")).alias("moves"))  # at most one a shard
         state = materialise(
             state.join(change, ["g1", "g2"], "left").select(
@@ -84,7 +108,7 @@ def propagate(groups: DataFrame, shards: int, total: int, free: list[int], round
     return state, free
 
 
-def shard(docs: DataFrame, shards: int = 8, rounds: int = 8) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, rounds: int = 12) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.col("text").cast("string")
     rows = materialise(

@@ -37,18 +37,17 @@ def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``(doc_id, key, pos, line)`` of every line with a word."""
+    """``(row, doc_id, key, pos, line)`` of every line with a word; ``row`` tells rows apart."""
     text = F.col("text").cast("string")
-    return (
-        docs.where(text.isNotNull())
-        .select(F.col("doc_id").cast("long").alias("doc_id"), document_key().alias("key"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-        .where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    )
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    texts = docs.where(text.isNotNull()).select(F.monotonically_increasing_id().alias("row"), doc_id, document_key().alias("key"), text.alias("text"))
+    lines = texts.select("row", "doc_id", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _hash(line: Column) -> Column:
-    """Name of a line: two hashes and its length, together far beyond chance."""
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line, F.octet_length(line)).alias("b"))
+def _name(line: Column) -> list[Column]:
+    """Name of a line: two hashes, together far beyond chance."""
+    return [F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line, F.octet_length(line)).alias("b")]
 
 
 def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
@@ -81,7 +80,7 @@ def _probe_keys(tau: int, delta: int) -> Column:
         for off in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1):
             inside = (start + off >= 1) & (start + off + size - 1 <= F.col("n"))
             out.append(F.when(inside, _key(n, i, F.substring("line", start + off, size))))
-    return F.array_distinct(F.filter(F.array(*out), lambda k: k.isNotNull()))
+    return F.array(*out)
 
 
 def _letters() -> Column:
@@ -109,51 +108,64 @@ def within_edits(a: Column, b: Column, tau: int) -> Column:
     edge of the band to the pattern's end, then the last row.
     """
     width = 2 * tau + 1
-    full = (1 << width) - 1
-    pattern, text = F.split(a, ""), F.split(b, "")
+    ones = F.lit((1 << width) - 1).cast("long")
+    top = F.lit(1 << (width - 1)).cast("long")
+
+    def score_of(z):
+        pattern, text = z["p"], z["t"]
+        rows, cols = F.size(pattern), F.size(text)
+
+        def column(state, j):
+            # j from 0; letters of the pattern in the band of this column
+            letter = F.get(text, j)
+            x = F.lit(0).cast("long")
+            for k in range(width):
+                x = x + F.when(F.get(pattern, j - tau + k) == letter, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+            p, m = state["p"], state["m"]
+            d0 = ((x.bitwiseAND(p) + p).bitwiseXOR(p)).bitwiseOR(x).bitwiseOR(m).bitwiseAND(ones)
+            return F.struct(p.alias("p"), m.alias("m"), state["s"].alias("s"), d0.alias("d0"))
+
+        def advance(c, j):
+            p, m, score, d0 = c["p"], c["m"], c["s"], c["d0"]
+            hp = m.bitwiseOR(ones - d0.bitwiseOR(p).bitwiseAND(ones))
+            hn = d0.bitwiseAND(p)
+            down = F.when(d0.bitwiseAND(top) == 0, 1).otherwise(0)
+            # below the pattern's end the score follows the last row: bit rows - 1 - (j - tau)
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(rows - 1 - j + tau, F.lit(0)))
+            along = F.when(hp.bitwiseAND(bit) != 0, 1).when(hn.bitwiseAND(bit) != 0, -1).otherwise(0)
+            s = score + F.when(j < rows - tau, down).otherwise(along)
+            half = F.shiftright(d0, 1)
+            p2 = hn.bitwiseOR(ones - half.bitwiseOR(hp).bitwiseAND(ones)).bitwiseAND(ones)
+            return F.struct(p2.alias("p"), half.bitwiseAND(hp).bitwiseAND(ones).alias("m"), s.cast("int").alias("s"))
+
+        def step(state, j):
+            # a score beyond 3 tau cannot come back to tau: diagonals never fall, and the last row has 2 tau columns left
+            bound = F.transform(F.array(column(state, j)), lambda c: advance(c, j))
+            return F.when(state["s"] > 3 * tau, state).otherwise(F.element_at(bound, 1))
+
+        begin = F.struct(
+            F.lit(((1 << (tau + 1)) - 1) << (width - tau - 1)).cast("long").alias("p"), F.lit(0).cast("long").alias("m"), F.lit(tau).alias("s")
+        )
+        return F.aggregate(F.sequence(F.lit(0), cols - 1), begin, step, lambda s: s["s"])
+
+    # the letters are bound to a lambda's variable, so they are split once for a pair and not once for a column
+    letters = F.array(F.struct(F.split(a, "").alias("p"), F.split(b, "").alias("t")))
     rows, cols = F.length(a), F.length(b)
-
-    def column(state, j):
-        # j from 0; letters of the pattern in the band of this column
-        letter = F.get(text, j)
-        hit = F.lit(0).cast("long")
-        for k in range(width):
-            hit = hit + F.when(F.get(pattern, j - tau + k) == letter, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
-        p, m, score, x = state["p"], state["m"], state["s"], hit
-        d0 = ((x.bitwiseAND(p) + p).bitwiseXOR(p)).bitwiseOR(x).bitwiseOR(m).bitwiseAND(F.lit(full).cast("long"))
-        return d0, p, m, score
-
-    def step(state, j):
-        d0, p, m, score = column(state, j)
-        ones = F.lit(full).cast("long")
-        hp = m.bitwiseOR(ones - d0.bitwiseOR(p).bitwiseAND(ones))
-        hn = d0.bitwiseAND(p)
-        top = F.lit(1 << (width - 1)).cast("long")
-        down = F.when(d0.bitwiseAND(top) == 0, 1).otherwise(0)
-        # below the pattern's end the score follows the last row: bit rows - 1 - (j - tau)
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(rows - 1 - j + tau, F.lit(0)))
-        along = F.when(hp.bitwiseAND(bit) != 0, 1).when(hn.bitwiseAND(bit) != 0, -1).otherwise(0)
-        s = score + F.when(j < rows - tau, down).otherwise(along)
-        half = F.shiftright(d0, 1)
-        p2 = hn.bitwiseOR(ones - half.bitwiseOR(hp).bitwiseAND(ones))
-        m2 = half.bitwiseAND(hp)
-        return F.struct(p2.bitwiseAND(ones).alias("p"), m2.bitwiseAND(ones).alias("m"), s.cast("int").alias("s"))
-
-    begin = F.struct(
-        F.lit(((1 << (tau + 1)) - 1) << (width - tau - 1)).cast("long").alias("p"), F.lit(0).cast("long").alias("m"), F.lit(tau).alias("s")
-    )
-    ran = F.aggregate(F.sequence(F.lit(0), cols - 1), begin, step, lambda s: s["s"])
-    return F.when(F.abs(rows - cols) > tau, False).when((rows <= tau) | (cols == 0), F.levenshtein(a, b) <= tau).otherwise(ran <= tau)
+    near = F.when((rows <= tau) | (cols == 0), F.levenshtein(a, b) <= tau).otherwise(F.element_at(F.transform(letters, score_of), 1) <= tau)
+    return F.when(F.abs(rows - cols) > tau, False).otherwise(near)
 
 
 def near_lines(distinct: DataFrame, tau: int, least: int) -> DataFrame:
-    """Pairs ``(x, y)`` of names of lines that may be within tau edits; ``distinct`` has ``h`` and ``line``."""
+    """Pairs ``(x, y)`` of hashes of lines that may be within tau edits; ``distinct`` has ``line``."""
     base = distinct.withColumn("n", F.length("line")).where(F.col("n") >= max(least, tau + 1))
-    known = base.select("line", "n", F.col("h.a").alias("id"), _letters().alias("letters"))
-    index = known.select(F.explode(_index_keys(tau)).alias("key"), "id", "letters")
-    probes = known.select(
-        F.explode(F.array_distinct(F.concat(*(_probe_keys(tau, d) for d in range(tau + 1))))).alias("key"), "id", "letters"
+    probed = F.concat(*(_probe_keys(tau, d) for d in range(tau + 1)))
+    # keys are made once from the texts; the join works on numbers only
+    known = materialise(
+        base.select(F.xxhash64("line").alias("id"), _letters().alias("letters"), _index_keys(tau).alias("held"), F.array_distinct(probed).alias("probed")),
+        "keys",
     )
+    index = known.select(F.explode("held").alias("key"), "id", "letters")
+    probes = known.select(F.explode("probed").alias("key"), "id", "letters").where("key is not null")
     x, y = index.alias("x"), probes.alias("y")
     return (
         x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & (_letter_gap(F.col("x.letters"), F.col("y.letters")) <= 2 * tau))
@@ -162,34 +174,49 @@ def near_lines(distinct: DataFrame, tau: int, least: int) -> DataFrame:
     )
 
 
-def line_classes(docs: DataFrame, tau: int = 2, least: int = 16) -> DataFrame:
-    """``(doc_id, key, pos, first)``: of every line with a word, the place ``(doc_id, key, pos)`` of its class's first line."""
+def _classes(docs: DataFrame, tau: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """All lines by name, and ``(doc_id, key, pos, first)`` of the lines of classes of more than one."""
     lines = lines_of(docs)
-    named = materialise(lines.select("doc_id", "key", "pos", _hash(F.col("line")).alias("h")), "lines")
-    distinct = lines.select(_hash(F.col("line")).alias("h"), "line").dropDuplicates(["h"])
-    pairs = materialise(near_lines(distinct, tau, least), "pairs")
+    named = materialise(lines.select("row", "doc_id", "key", "pos", *_name(F.col("line"))), "lines")
+    pairs = materialise(near_lines(lines.select("line").distinct(), tau, least), "pairs")
     asked = materialise(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "asked")
     # a list of ids of checked size spares the texts a shuffle; a longer one is joined
     few = F.broadcast(asked) if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else asked
-    texts = lines.select(F.xxhash64("line").alias("id"), "line").join(few, "id").dropDuplicates(["id", "line"])
-    texts = materialise(texts, "texts")
+    texts = materialise(lines.select(F.xxhash64("line").alias("id"), "line").join(few, "id").distinct(), "texts")
     a, b = texts.select(F.col("id").alias("x"), F.col("line").alias("xl")), texts.select(F.col("id").alias("y"), F.col("line").alias("yl"))
     close = pairs.join(a, "x").join(b, "y").where(within_edits(F.col("xl"), F.col("yl"), tau)).select("x", "y")
-    component = connected_components(materialise(close, "close"), "x", "y").select(F.col("node").alias("id"), "component")
-    place = F.struct("doc_id", "key", "pos")
-    folded = named.groupBy("h").agg(F.min(place).alias("p")).withColumn("id", F.col("h.a"))
-    classed = folded.join(component, "id", "left").withColumn("class", F.when(F.col("component").isNotNull(), F.struct(F.col("component").alias("a"), F.lit(0).cast("long").alias("b"))).otherwise(F.col("h")))
-    firsts = materialise(classed.select("h", "class", "p"), "classes")
-    first = firsts.groupBy("class").agg(F.min("p").alias("first"))
-    known = firsts.join(first, "class").select("h", "first")
-    return named.join(known, "h").select("doc_id", "key", "pos", "first")
+    component = connected_components(materialise(close, "close"), "x", "y").select(F.col("node").alias("a"), "component")
+    folded = named.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "key", "pos")).alias("p")).join(component, "a", "left")
+    alone = F.col("component").isNull()
+    firsts = materialise(
+        folded.where(~alone | (F.col("c") > 1)).select(
+            "a", "b", "c", "p", F.coalesce("component", "a").alias("class"), F.when(alone, F.col("b")).otherwise(0).alias("rest")
+        ),
+        "classes",
+    )
+    first = firsts.groupBy("class", "rest").agg(F.min("p").alias("first"))
+    known = materialise(firsts.join(first, ["class", "rest"]).select("a", "b", "c", "first"), "firsts")
+    # a name of more than a thousandth of all lines is one of a thousand at most; those are broadcast, so none of them is a hot key
+    hot = F.col("c") * 1000 > named.count()
+    places = named.select("doc_id", "key", "pos", "a", "b")
+    of_hot = places.join(F.broadcast(known.where(hot).drop("c")), ["a", "b"])
+    return named, of_hot.union(places.join(known.where(~hot).drop("c"), ["a", "b"])).select("doc_id", "key", "pos", "first")
+
 
+def line_classes(docs: DataFrame, tau: int = 2, least: int = 16) -> DataFrame:
+    """``(doc_id, key, pos, first)`` of every line whose class has more than one: its place, and that of its class's first line."""
+    return _classes(docs, tau, least)[1]
 
-def removed_lines(docs: DataFrame, **options) -> DataFrame:
+
+def removed_lines(docs: DataFrame, tau: int = 2, least: int = 16) -> DataFrame:
     """``(doc_id, key, n_lines, removed)``: per document with a line, the places of the lines to take out, in order."""
-    away = F.when(F.col("first") != F.struct("doc_id", "key", "pos"), F.col("pos"))
-    classed = line_classes(docs, **options)
-    return classed.groupBy("doc_id", "key").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_list(away)).alias("removed"))
+    named, classed = _classes(docs, tau, least)
+    counts = named.groupBy("row", "doc_id", "key").agg(F.count("*").alias("n_lines")).groupBy("doc_id", "key").agg(F.max("n_lines").alias("n_lines"))
+    gone = classed.where(F.col("first") != F.struct("doc_id", "key", "pos")).groupBy("key", "doc_id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+    same = (F.col("n.key") == F.col("g.key")) & F.col("n.doc_id").eqNullSafe(F.col("g.doc_id"))
+    return counts.alias("n").join(gone.alias("g"), same, "left").select(
+        "n.doc_id", "n.key", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed")
+    )
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
@@ -198,7 +225,10 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
         F.col("key").alias("__key"), F.col("removed").alias("__removed"), (F.size("removed") == F.col("n_lines")).alias("__all")
     )
     joined = docs.withColumn("__key", document_key()).join(gone, "__key", "left")
-    kept = F.array_join(F.filter(F.split(F.col("text").cast("string"), "\n"), lambda line, i: ~F.array_contains("__removed", i)), "\n")
+    lines = F.split(F.col("text").cast("string"), "\n")
+    # the lines are bound to a lambda's variable, so a text is split once and not once for a line
+    places = lambda z: F.array_except(F.sequence(F.lit(0), F.size(z) - 1), F.col("__removed"))
+    kept = F.element_at(F.transform(F.array(lines), lambda z: F.array_join(F.transform(places(z), lambda i: F.get(z, i)), "\n")), 1)
     text = F.when(F.col("__removed").isNull(), F.col("text").cast("string")).otherwise(kept)
     out = joined.where(~F.coalesce("__all", F.lit(False))).withColumn("text", text)
     if "n_chars" in docs.columns:

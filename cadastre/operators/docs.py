@@ -219,37 +219,10 @@ def _leaf(name: str) -> Column:
     return F.substring_index(name, ".", -1)
 
 
-def close_names(
-    left: DataFrame, right: DataFrame, distance: int = MAX_MISSPELLING, direct: int = 10_000
-) -> DataFrame:
+def close_names(left: DataFrame, right: DataFrame, distance: int = MAX_MISSPELLING) -> DataFrame:
     """Pairs (resource, l, r) of leaf names within an edit distance, inside one resource.
 
-    Resources with up to ``direct`` possible pairs are compared name by name.
-    In larger ones that would be quadratic, so there names meet by their pieces
-    (``_close_by_pieces``). Both ways find every pair.
-    """
-    a = left.select("resource", F.col("leaf").alias("l")).distinct()
-    b = right.select("resource", F.col("leaf").alias("r")).distinct()
-    sizes = (
-        a.groupBy("resource").agg(F.count("*").alias("n"))
-        .join(b.groupBy("resource").agg(F.count("*").alias("m")), "resource")
-        .select("resource", (F.col("n") * F.col("m") > direct).alias("large"))
-    )
-    a, b = a.join(sizes, "resource"), b.join(sizes, "resource")
-    small = (
-        a.where("NOT large").drop("large").join(b.where("NOT large").drop("large"), "resource")
-        .where(F.levenshtein("l", "r", distance) >= 0)
-    )
-    large = _close_by_pieces(
-        a.where("large").select("resource", F.col("l").alias("leaf")),
-        b.where("large").select("resource", F.col("r").alias("leaf")),
-        distance,
-    )
-    return small.select("resource", "l", "r").unionByName(large)
-
-
-def _close_by_pieces(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
-    """By the pigeonhole principle, of ``distance + 1`` pieces of one name at least one
+    By the pigeonhole principle, of ``distance + 1`` pieces of one name at least one
     stands in the other, shifted by no more than ``distance``. So pieces are
     joined by equality, and only what meets there is measured.
     """
@@ -419,7 +392,7 @@ def duplicate_fields(fields: DataFrame) -> DataFrame:
     )
 
 
-def circular_blocks(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def circular_blocks(edges: DataFrame) -> DataFrame:
     """First block (least name) of each page that contains itself at any depth.
 
     ``edges`` has (page, block, child). Grows the reach of each block one level
@@ -428,7 +401,7 @@ def circular_blocks(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     edges = materialise(edges.select("page", "block", "child").distinct(), "blocks")
     frontier = materialise(edges.withColumnRenamed("child", "node"), "blocks")
     reach = frontier
-    for _ in range(max_rounds):
+    while True:
         grown = (
             frontier.where("node <> block")
             .join(edges.select("page", F.col("block").alias("node"), "child"), ["page", "node"])
@@ -440,7 +413,6 @@ def circular_blocks(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         if frontier.isEmpty():
             return reach.where("node = block").groupBy("page").agg(F.min("block").alias("block"))
         reach = reach.unionByName(frontier)
-    raise ValueError(f"blocks are nested deeper than {max_rounds}")
 
 
 def missing_pages(resources: DataFrame, pages: DataFrame) -> DataFrame:

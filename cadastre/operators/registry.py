@@ -156,8 +156,8 @@ def service_rollup(registrations: DataFrame) -> DataFrame:
     per_type = registrations.groupBy("service", "resource_type").agg(*_flags())
     per_service = per_type.groupBy("service").agg(*(F.sum(f).alias(n) for f, n in _FLAG_NAMES.items()))
     total = (
-        registrations.groupBy("resource_type")
-        .agg(*_flags())
+        per_type.groupBy("resource_type")
+        .agg(*(F.max(f).alias(f) for f in _FLAG_NAMES))
         .agg(*(F.coalesce(F.sum(f), F.lit(0)).alias(n) for f, n in _FLAG_NAMES.items()))
         .withColumn("service", F.lit(None).cast("string"))
     )

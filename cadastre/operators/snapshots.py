@@ -5,48 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadastre.session import materialise
 from cadastre.sources.snapshots import property_columns
 
 KEY = ["kind", "resource", "path"]
 ATTRIBUTES = ["type", "optional", "required", "computed", "force_new", "default_value", "max_items", "min_items"]
 COLLECTIONS = ("TypeList", "TypeSet")
 
-_CHILDREN = (
-    "transform(map_entries(variant_get(p.node, '$.elem.schema', 'map<string,variant>')), e -> struct("
-    "concat(p.path, '.', e.key) AS path, e.key AS name, p.path AS parent_path, p.depth + 1 AS depth, e.value AS node))"
-)
-
-
-def flatten_properties(resources: DataFrame, max_depth: int = 8) -> DataFrame:
+def flatten_properties(resources: DataFrame) -> DataFrame:
     """Nested properties as rows (kind, resource, path, name, parent_path, depth, top_level, node).
 
-    Each step lets the rows of the deepest level bring forth their children, so
-    the whole tree is flattened in one narrow pass without a shuffle. A tree
-    deeper than ``max_depth`` is an error, never cut off.
+    Level by level: the rows of the deepest level that hold a schema bring forth
+    their children, without a shuffle, until no row does. Each level is written to
+    the shared folder, so a shallow row is read once however deep others go.
     """
-    rows = resources.select(
-        "kind",
-        "resource",
-        F.explode(F.expr("variant_get(node, '$.schema', 'map<string,variant>')")).alias("name", "node"),
-    ).select(
-        "kind",
-        "resource",
-        F.struct(
-            F.col("name").alias("path"), "name", F.lit("").alias("parent_path"), F.lit(1).alias("depth"), "node"
-        ).alias("p"),
+
+    def inner(schema: str, *columns) -> list:
+        return [*columns, F.explode(F.expr(f"variant_get(node, '{schema}', 'map<string,variant>')")).alias("name", "node")]
+
+    level = resources.select(*inner("$.schema", "kind", "resource")).select(
+        "kind", "resource", F.col("name").alias("path"), "name", F.lit("").alias("parent_path"), F.lit(1).alias("depth"), "node"
     )
-    for depth in range(1, max_depth):
-        family = F.expr(
-            f"CASE WHEN p.depth = {depth} AND variant_get(p.node, '$.elem.schema') IS NOT NULL"
-            f" THEN concat(array(p), {_CHILDREN}) ELSE array(p) END"
+    level = materialise(level, "properties")
+    out = level
+    while True:
+        children = level.where("variant_get(node, '$.elem.schema') IS NOT NULL").select(
+            *inner("$.elem.schema", "kind", "resource", F.col("path").alias("parent_path"), (F.col("depth") + 1).alias("depth"))
         )
-        rows = rows.select("kind", "resource", F.explode(family).alias("p"))
-    deeper = F.expr(f"p.depth = {max_depth} AND variant_get(p.node, '$.elem.schema') IS NOT NULL")
-    checked = F.when(deeper, F.raise_error(F.lit("schema is nested deeper than max_depth"))).otherwise(F.col("p.path"))
-    return rows.select(
-        "kind", "resource", checked.alias("path"), "p.name", "p.parent_path", "p.depth",
-        (F.col("p.depth") == 1).alias("top_level"), "p.node",
-    )
+        level = materialise(
+            children.select("kind", "resource", F.concat_ws(".", "parent_path", "name").alias("path"), "name", "parent_path", "depth", "node"), "properties"
+        )
+        if level.isEmpty():
+            return out.select("kind", "resource", "path", "name", "parent_path", "depth", (F.col("depth") == 1).alias("top_level"), "node")
+        out = out.unionByName(level)
 
 
 def property_attributes(flat: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ def local_call_graph(symbols: DataFrame) -> DataFrame:
     return calls.join(functions, ["package_dir", "name"]).select("caller", "callee")
 
 
-def reachability(edges: DataFrame, entries: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def reachability(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """Every node reached from the entry nodes, with its least depth.
 
     Breadth-first: each round joins the frontier to the edges and drops nodes
@@ -104,7 +104,9 @@ def reachability(edges: DataFrame, entries: DataFrame, max_rounds: int = 1000) -
     edges = materialise(edges.select("src", "dst").distinct(), "edges")
     frontier = materialise(entries.select("node").distinct().withColumn("depth", F.lit(0)), "reach")
     seen = frontier
-    for depth in range(1, max_rounds + 1):
+    depth = 0
+    while True:
+        depth += 1
         found = (
             edges.join(frontier, edges.src == frontier.node)
             .select(F.col("dst").alias("node"))
@@ -116,7 +118,6 @@ def reachability(edges: DataFrame, entries: DataFrame, max_rounds: int = 1000) -
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
-    raise ValueError(f"graph is deeper than {max_rounds} rounds")
 
 
 def struct_fields(types: DataFrame) -> DataFrame:
@@ -136,7 +137,7 @@ def struct_fields(types: DataFrame) -> DataFrame:
     )
 
 
-def model_tag_check(fields: DataFrame, tag: str = "tfschema_tag", max_rounds: int = 1000) -> DataFrame:
+def model_tag_check(fields: DataFrame, tag: str = "tfschema_tag") -> DataFrame:
     """Fields without a tag, by dotted path from each root type through list fields.
 
     A field is reported before the types inside it are; a type already on the
@@ -150,7 +151,7 @@ def model_tag_check(fields: DataFrame, tag: str = "tfschema_tag", max_rounds: in
     )
     out = level
     inner_fields = fields.select("type_name", "field", F.col(tag).alias("inner_tag"), element.alias("next_inner"))
-    for _ in range(max_rounds):
+    while True:
         level = materialise(
             level.where("inner <> ''")
             .join(inner_fields, F.col("inner") == inner_fields.type_name)

@@ -129,11 +129,10 @@ def reference_list_check(rows: DataFrame, key: str, column: str, reference: Data
     )
     if reference is None:
         return empty
-    known = reference.select(F.col("name").alias(column)).distinct()
-    unknown = rows.where(value != "").join(known, column, "left_anti").select(
-        key, value.alias("value"), F.lit("was not found in the list of supported names").alias("error")
-    )
-    return empty.unionByName(unknown)
+    known = reference.select(F.col("name").alias("__known")).distinct()
+    error = F.when(F.coalesce(value, F.lit("")) == "", "must not be empty").otherwise("was not found in the list of supported names")
+    # an empty value is an error even if the table lists it, so it meets nothing
+    return rows.join(known, (value == F.col("__known")) & (value != ""), "left_anti").select(key, value.alias("value"), error.alias("error"))
 
 
 # Expectations on a column: name -> condition(column, argument).

@@ -97,7 +97,7 @@ SELECT kind, resource, order_id, n, name, parent_path,
        p % 2 = 0 AS enum_literal,
        s % 11 = 0 AS at_least_one_of, s % 17 = 0 AS exactly_one_of, p % 13 = 0 AS opaque,
        'src_' || CAST(order_id % 100 AS STRING) || '.x' AS file,
-       CAST(order_id * 10 + n AS INT) AS line, CAST(order_id * 10 + n + q % 5 AS INT) AS end_line,
+       CAST(order_id * 10 + n AS BIGINT) AS line, CAST(order_id * 10 + n + q % 5 AS BIGINT) AS end_line,
        CAST(1 + p % 7 AS INT) AS col
 FROM (SELECT l_orderkey AS order_id, l_linenumber AS n,
              CASE WHEN l_orderkey % 4 = 0 THEN 'data source' ELSE 'resource' END AS kind,

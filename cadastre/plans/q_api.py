@@ -79,12 +79,12 @@ def rewrite_api_version(spark, sf):
 
 
 _ID_PATHS = """SELECT l_orderkey AS resource, '/subscriptions/x/providers/Sample.S' || CAST(l_suppkey % 7 AS STRING) || '/kinds/202' || CAST(l_linenumber AS STRING) || '-01-01'
-  || CASE WHEN l_returnflag = 'R' THEN '-preview' ELSE '' END || '/items' AS path FROM {lineitem} WHERE l_linestatus = 'O'"""
+  || CASE WHEN l_returnflag = 'R' THEN '-preview' ELSE '' END || '/items' AS path FROM {lineitem}"""
 
 
 @query(
     "api06_apis_by_resource",
-    """SELECT DISTINCT l_orderkey AS resource, 'Sample.S' || (l_suppkey % 7) AS api, '202' || l_linenumber || '-01-01' || CASE WHEN l_returnflag = 'R' THEN '-preview' ELSE '' END AS version FROM lineitem WHERE l_linestatus = 'O'""",
+    """SELECT DISTINCT l_orderkey AS resource, 'Sample.S' || (l_suppkey % 7) AS api, '202' || l_linenumber || '-01-01' || CASE WHEN l_returnflag = 'R' THEN '-preview' ELSE '' END AS version FROM lineitem""",
 )
 def apis_by_resource(spark, sf):
     return op.apis_by_resource(spark.sql(_ID_PATHS, lineitem=load(spark, sf, "lineitem")))

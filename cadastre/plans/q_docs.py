@@ -165,7 +165,7 @@ def merge_args_attrs(spark, sf):
 
 
 # Schema side: the words of a page two lines further down; page side: its fields.
-_SCHEMA_NAMES = "SELECT page AS resource, CASE WHEN line_no % 2 = 0 THEN word ELSE 'deep.' || word END AS name FROM {page_lines} WHERE line_no % 9 IN (0, 4, 8)"
+_SCHEMA_NAMES = "SELECT page AS resource, CASE WHEN line_no % 9 NOT IN (0, 4, 8) THEN word || CAST(line_no % 7 AS STRING) WHEN line_no % 2 = 0 THEN word ELSE 'deep.' || word END AS name FROM {page_lines}"
 CROSS = FIELDS + ", sch AS (SELECT DISTINCT * FROM (" + _SCHEMA_NAMES.replace("{page_lines}", "page_lines") + """)),
 doc AS (SELECT DISTINCT page AS resource, name FROM fields),
 misses AS (SELECT resource, name, CASE WHEN doc.name IS NULL THEN 'miss_in_doc' ELSE 'miss_in_code' END AS miss

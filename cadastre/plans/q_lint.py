@@ -155,7 +155,7 @@ def select_rules(spark, sf):
     return chosen.groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
-_ADDED = """SELECT DISTINCT 'src_' || CAST(o_custkey % 100 AS STRING) || '.x' AS file, CAST(o_orderkey * 10 + o_custkey % 40 AS INT) AS line FROM {orders}"""
+_ADDED = """SELECT DISTINCT 'src_' || CAST(o_custkey % 100 AS STRING) || '.x' AS file, CAST(o_orderkey * 10 + o_custkey % 40 AS BIGINT) AS line FROM {orders}"""
 
 
 @query(

@@ -81,7 +81,7 @@ def read_markdown_pages(spark, sf):
 
 
 _RESOURCES = """
-SELECT 'sample_' || CAST(p_partkey AS STRING) AS resource, '/docs/' || CAST(p_partkey AS STRING) AS convention_path FROM {part} WHERE p_size % 2 = 0
+SELECT 'sample_' || CAST(p_partkey AS STRING) AS resource, '/docs/' || CAST(p_partkey AS STRING) AS convention_path FROM {part}
 UNION ALL SELECT regexp_extract(html, '<title>([^<]*)</title>', 1), '/docs/none' FROM {pages}
 """
 _PAGES = """

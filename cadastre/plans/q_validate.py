@@ -238,12 +238,12 @@ def map_rules(spark, sf):
 @query(
     "val10_block_combinations",
     """WITH c AS (SELECT u.user_id, count(e.event_id) AS total, count(*) FILTER (event_type = 'click') AS k, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type = 'view') AS v
-  FROM (SELECT c_custkey AS user_id FROM customer) u LEFT JOIN (SELECT * FROM events WHERE value > 100) e USING (user_id) GROUP BY u.user_id)
+  FROM (SELECT c_custkey AS user_id FROM customer) u LEFT JOIN events e USING (user_id) GROUP BY u.user_id)
 SELECT user_id, total, CASE WHEN total = 0 THEN 'the block must define at least one action' WHEN k > 0 AND e > 0 THEN 'cannot specify both `click` and `error` in the block'
   WHEN k > 0 AND v > 0 THEN 'cannot specify both `click` and `view` in the block' WHEN total > 5 THEN 'the block may only contain up to 5 actions, got ' || total END AS error FROM c""",
 )
 def block_combinations(spark, sf):
-    blocks = load(spark, sf, "events").where("value > 100").select("user_id", F.col("event_type").alias("kind"))
+    blocks = load(spark, sf, "events").select("user_id", F.col("event_type").alias("kind"))
     parents = load(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
     return op.block_combinations(blocks, "user_id", [("click", "error"), ("click", "view")], parents=parents)
 

@@ -120,15 +120,13 @@ def _distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("direct", [0, 10_000])
-def test_close_names_both_ways(spark, direct):
-    """With ``direct=0`` every resource is paired by pieces."""
+def test_close_names(spark):
     rng = random.Random(7)
     words = lambda n: ["".join(rng.choice("ab_") for _ in range(rng.randint(0, 9))) for _ in range(n)]
     left = [(r, w) for r in ("r", "s") for w in words(40)]
     right = [(r, w) for r in ("r", "s", "t") for w in words(40)]
     frames = [spark.createDataFrame(rows, "resource string, leaf string") for rows in (left, right)]
-    got = {tuple(r) for r in docs.close_names(*frames, direct=direct).collect()}
+    got = {tuple(r) for r in docs.close_names(*frames).collect()}
     assert got == {(r, a, b) for r, a in left for q, b in right if r == q and _distance(a, b) <= 3}
 
 

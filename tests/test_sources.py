@@ -68,19 +68,18 @@ def test_snapshot_merges_documents(spark, tmp_path):
     }
 
 
-def test_too_deep_is_an_error(spark, tmp_path):
+def test_no_level_is_cut_off(spark, tmp_path):
     path = str(tmp_path / "snap")
-    node = '{"elem":{"schema":{"b":{"elem":{"schema":{"c":{}}}}}}}'
-    rows = [("resource", "r", "a", node)]
+    node = "{}"
+    for depth in range(11, 0, -1):
+        node = '{"elem":{"schema":{"p%d":%s}}}' % (depth, node)
+    rows = [("resource", "r", "p0", node), ("resource", "r", "q", "{}")]
     snapshots.write_schema_snapshot(spark.createDataFrame(rows, "kind string, resource string, name string, node_json string"), path)
-    read = snapshots.read_schema_snapshot(spark, path)
-    assert flatten_properties(read, max_depth=3).count() == 3
-    try:
-        flatten_properties(read, max_depth=2).select("path").collect()
-    except Exception as error:  # noqa: BLE001
-        assert "nested deeper" in str(error)
-    else:
-        raise AssertionError("a tree that is cut off must be an error")
+    flat = flatten_properties(snapshots.read_schema_snapshot(spark, path))
+    assert flat.count() == 13
+    paths = {(r["path"], r["depth"], r["parent_path"]) for r in flat.select("path", "depth", "parent_path").collect()}
+    chain = [".".join(f"p{i}" for i in range(d)) for d in range(13)]
+    assert paths == {(chain[d], d, chain[d - 1]) for d in range(1, 13)} | {("q", 1, "")}
 
 
 def test_unified_diff(spark):

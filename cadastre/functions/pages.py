@@ -11,7 +11,7 @@ DEFAULT = "[.,?;](?: *[Tt]he)? *[Dd]efaults?[^`'\".]+(?:to|is) ('[^']+'|`[^`]+`|
 FORCE_NEW = r" ?Changing.*forces? a [^.]*(\.|$)"
 FORCE_NEW_WHEN = r" ?Changing.*forces? a [^.]* created when [^.]*(\.|$)"
 BLOCK_FIELD = "(?:[Oo]ne|[Ee]ach|more(?: \\(.*\\))?|[Tt]he|as|of|[Aa]n?) ['\"`]([^ ]+)['\"`] (?:block|object)[^.]+(?:below|above)"
-BLOCK_FIELD_ANY_CASE = "(?i)(?:one|each|more(?: \\(.*\\))?|the|as|of|an?) ['\"`]([^ ]+)['\"`] (?:block|object)[^.]+(?:below|above)"
+BLOCK_FIELD_ANY_CASE = "(?i)" + BLOCK_FIELD
 BLOCK_HEAD = "^(an?|An?|The)[^`]+(`[a-zA-Z0-9_]+`[, and]*)+.*blocks?.*$"
 BLOCK_HEAD_TRY = "^([*] )?(An?|The) +(`[a-zA-Z0-9_]+`[, and]*)+blocks?.*$"
 CODE = "`([^`]+)`"
@@ -156,10 +156,10 @@ def values_text(values: Column) -> Column:
 
 def fix_required(line: Column, miss: Column) -> Column:
     """Mend the (Required)/(Optional) mark of a line; ``miss`` names what it should be."""
-    required, optional = F.contains(line, F.lit("(Required)")), F.contains(line, F.lit("(Optional)"))
+    required, optional = F.instr(line, "(Required)") > 1, F.instr(line, "(Optional)") > 1
     want = F.when(miss == "should_be_required", "(Required)").otherwise("(Optional)")
     other = F.when(miss == "should_be_required", "(Optional)").otherwise("(Required)")
-    # a mark at the very start of a line is left alone when it is to be removed
+    # a mark whose first place is the very start of a line is left alone when it is to be removed
     removed = F.when(
         required, F.regexp_replace(line, r"^(.+?)(?: \(Required\)(?= )|\(Required\))", "$1")
     ).when(optional, F.regexp_replace(line, r"^(.+?)(?: \(Optional\)(?= )|\(Optional\))", "$1")).otherwise(line)

@@ -22,7 +22,6 @@ METHODS = {
 MAP_ENTRY = r'"([a-z0-9_]+)":\s*(\w+)\('
 SLICE_ENTRY = r"(?m)^[ \t]+(\w+)\{\},"
 CONSTRUCTOR_ENTRY = r"(?m)^[ \t]+([Nn]ew\w+),"
-SKIPPED_SERVICES = ("devspace", "servicefabricmesh")
 
 
 def _method_value(position: int) -> Column:

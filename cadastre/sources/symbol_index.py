@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # The layout of an index file name and of its text.
 SYMBOL_SUFFIX = ".goindex"
 TEST_SUFFIX = "_test.go"
-KINDS = ("func", "method", "type", "var")
 HEADER = r"(?s)^package [^\n]*\n(?:import \(.*?\n\)\n|import [^\n]*\n)?(.*)$"
 
 

@@ -25,6 +25,8 @@ def one(spark, expression, *values):
         ("* `a` - (Required) text", "should_be_computed", "* `a` - text"),
         ("* `a` - (Optional)text", "should_be_computed", "* `a` - text"),
         ("* `a` - text", "should_be_computed", "* `a` - text"),
+        ("(Required) a (Optional) b", "should_be_computed", "(Required) a b"),
+        ("(Required) a", "should_be_computed", "(Required) a"),
         ("* `a` - (Required) text", "ok", "* `a` - (Required) text"),
     ],
 )

@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastre.llm import html_extract, line_dedup, mixing, paragraph_dedup, pieces, quality, rules, sharding, topk
+from cadastre.llm import codes, html_extract, line_dedup, mixing, negatives, paragraph_dedup, pieces, quality, rules, setsketch, sharding, topk
 from cadastre.llm.jaccard_join import jaccard_components
+from cadastre.llm.twins import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def _query(fn):
@@ -95,3 +95,22 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every fiftieth vector."""
     return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+@_query
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by linked component and whether each stays, at two words and 0.8."""
+    return setsketch.near_duplicates(_table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
+@_query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector: 16 parts, 64 entries, two rounds."""
+    return codes.compress(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+@_query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of the five positives of every fiftieth vector; every seventh label is moved on by one."""
+    moved = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", moved), every=50, positives=5, negatives=3, least=50, most=95)

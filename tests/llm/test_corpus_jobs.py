@@ -258,4 +258,4 @@ def test_queries_are_registered():
 
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
     assert sorted(names) == sorted([f"op{i}_{n}" for i, n in enumerate(
-        "html_extraction mixing quality_classifier sentencepiece sharding quality_rules line_dedup ngram_jaccard_join substring_dedup exact_top_k".split(), 1)] + ["pipeline"])
+        "html_extraction mixing quality_classifier sentencepiece sharding quality_rules line_dedup ngram_jaccard_join substring_dedup exact_top_k minhash_near_dedup vector_codes hard_negatives".split(), 1)] + ["pipeline"])

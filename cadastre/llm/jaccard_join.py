@@ -152,7 +152,7 @@ def _folded(ids, sizes, sets, keys) -> pa.RecordBatch:
     )
 
 
-def keyed_documents(docs: DataFrame, n: int, percent: int, lower: bool, fold: int = 1 << 21) -> DataFrame:
+def keyed_documents(docs: DataFrame, n: int, percent: int, lower: bool, fold: int = 1 << 18) -> DataFrame:
     """One row per document: size and key of its set, its region keys, and documents of the same task that it meets."""
 
     def run(batches):

@@ -9,9 +9,11 @@ The join: every distinct line is split into tau + 1 segments. Of two lines withi
 edits the longer one holds a segment of the shorter one, shifted only as far as the edits
 allow (the multi-match-aware windows of Pass-Join). So each line is indexed under its
 segments with length and number, and probes the index of every length from its own down
-to tau less. A pair that meets is compared by how often each holds eight common letters,
-which tau edits can change by 2 tau at most, before it goes on to a banded bit-parallel
-computation of the edit distance (Hyyrö 2003). Every step is exact.
+to tau less. Lines without a partner under any key, nearly all, end there, known by numbers only. Those
+that meet are split again into ``FINE`` segments, of which tau edits spare all but tau; a pair
+that holds fewer in common goes no further. So of many variants of one line that all share a
+third of it, few pairs are left. They go on to a banded bit-parallel computation of the edit
+distance (Hyyrö 2003). Every step is exact.
 
 Equal lines are folded before anything is paired, so a line of very many documents is one
 row. Null ids are ids of their own; null and empty texts have no lines; rows that repeat
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 from cadastre.llm.graph import connected_components
 from cadastre.session import materialise
 
-LETTERS = "enatirso"
-BROADCAST_ROWS = 1_000_000
+FINE = 12
+#: Ids are broadcast up to this many bytes; beyond, texts are joined by shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -59,7 +62,7 @@ def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
 
 
 def _key(length: Column, i: int, part: Column) -> Column:
-    return F.hash(F.lit(i), length, part)
+    return F.xxhash64(F.lit(i), length, part)
 
 
 def _index_keys(tau: int) -> Column:
@@ -68,7 +71,7 @@ def _index_keys(tau: int) -> Column:
     for i in range(tau + 1):
         start, size = _segment(n, i, tau)
         out.append(_key(n, i, F.substring("line", start, size)))
-    return F.array_distinct(F.array(*out))
+    return F.array(*out)
 
 
 def _probe_keys(tau: int, delta: int) -> Column:
@@ -83,21 +86,21 @@ def _probe_keys(tau: int, delta: int) -> Column:
     return F.array(*out)
 
 
-def _letters() -> Column:
-    """Counts of eight letters, a byte each (mod 128)."""
-    out = F.lit(0).cast("long")
-    for k, letter in enumerate(LETTERS):
-        count = F.length("line") - F.length(F.replace("line", F.lit(letter), F.lit("")))
-        out = out + F.shiftleft(F.pmod(count, F.lit(128)).cast("long"), 7 * k)
-    return out
+def shared_segments(short: Column, long: Column, tau: int) -> Column:
+    """Whether all but tau of the fine segments of the shorter line stand in the longer one, shifted by tau at most; true for lines too short to split so."""
+    n = F.length(short)
+    shifts = F.array(*(F.lit(k) for k in range(-tau, tau + 1)))
 
+    def missing(i):
+        # the first segments have length // FINE letters, the last takes the rest
+        size = F.floor(n / FINE).cast("int")
+        start = i * size + 1
+        part = short.substr(start, F.when(i == FINE - 1, n).otherwise(size))
+        there = lambda k: (start + k >= 1) & (long.substr(start + k, F.length(part)) == part)
+        return F.when(F.exists(shifts, there), 0).otherwise(1)
 
-def _letter_gap(a: Column, b: Column) -> Column:
-    gap = F.lit(0).cast("long")
-    for k in range(len(LETTERS)):
-        d = F.abs(F.shiftright(a, 7 * k).bitwiseAND(F.lit(127)) - F.shiftright(b, 7 * k).bitwiseAND(F.lit(127)))
-        gap = gap + F.least(d, F.lit(128) - d)
-    return gap
+    lost = F.aggregate(F.sequence(F.lit(0), F.lit(FINE - 1)), F.lit(0), lambda s, i: F.when(s > tau, s).otherwise(s + missing(i)))
+    return F.when(n < 2 * FINE, True).otherwise(lost <= tau)
 
 
 def within_edits(a: Column, b: Column, tau: int) -> Column:
@@ -155,37 +158,40 @@ def within_edits(a: Column, b: Column, tau: int) -> Column:
     return F.when(F.abs(rows - cols) > tau, False).otherwise(near)
 
 
-def near_lines(distinct: DataFrame, tau: int, least: int) -> DataFrame:
-    """Pairs ``(x, y)`` of hashes of lines that may be within tau edits; ``distinct`` has ``line``."""
-    base = distinct.withColumn("n", F.length("line")).where(F.col("n") >= max(least, tau + 1))
+def _of_ids(lines: DataFrame, ids: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """``(id, line)`` of the distinct lines with these ids."""
+    named = lines.select(F.xxhash64("line").alias("id"), "line")
+    if ids.count() * 8 <= broadcast_bytes:
+        return materialise(named.join(F.broadcast(ids), "id", "left_semi").distinct(), "texts")
+    # lines are folded before they are dealt by id, so a line of very many documents is no hot key
+    return materialise(named.distinct().join(ids, "id", "left_semi"), "texts")
+
+
+def near_lines(lines: DataFrame, tau: int, least: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Pairs ``(x, y)`` of hashes of lines within tau edits; ``lines`` has ``line``."""
+    base = lines.select("line").distinct().withColumn("n", F.length("line")).where(F.col("n") >= max(least, tau + 1))
     probed = F.concat(*(_probe_keys(tau, d) for d in range(tau + 1)))
-    # keys are made once from the texts; the join works on numbers only
-    known = materialise(
-        base.select(F.xxhash64("line").alias("id"), _letters().alias("letters"), _index_keys(tau).alias("held"), F.array_distinct(probed).alias("probed")),
-        "keys",
-    )
-    index = known.select(F.explode("held").alias("key"), "id", "letters")
-    probes = known.select(F.explode("probed").alias("key"), "id", "letters").where("key is not null")
-    x, y = index.alias("x"), probes.alias("y")
-    return (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & (_letter_gap(F.col("x.letters"), F.col("y.letters")) <= 2 * tau))
-        .select(F.least("x.id", "y.id").alias("x"), F.greatest("x.id", "y.id").alias("y"))
-        .distinct()
-    )
+    # keys are made once from the texts; who meets is found on numbers only
+    known = materialise(base.select(F.xxhash64("line").alias("id"), _index_keys(tau).alias("held"), probed.alias("probed")), "keys")
+    index = known.select(F.explode("held").alias("key"), F.col("id").alias("x"))
+    probes = known.select(F.explode("probed").alias("key"), F.col("id").alias("y")).where("key is not null")
+    probing = materialise(probes.join(index, (probes.key == index.key) & (F.col("x") != F.col("y")), "left_semi").distinct(), "probing")
+    probed_keys = materialise(probing.select("key").distinct(), "met")
+    held = materialise(index.join(probed_keys, "key", "left_semi"), "held")
+    ids = materialise(held.select(F.col("x").alias("id")).union(probing.select("y")).distinct(), "asked")
+    texts = _of_ids(lines, ids, broadcast_bytes)
+    a, b = texts.select(F.col("id").alias("x"), F.col("line").alias("xl")), texts.select(F.col("id").alias("y"), F.col("line").alias("yl"))
+    met = held.join(a, "x").join(probing.join(b, "y"), "key").where((F.col("x") != F.col("y")) & shared_segments(F.col("xl"), F.col("yl"), tau))
+    pairs = materialise(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+    return materialise(pairs.join(a, "x").join(b, "y").where(within_edits(F.col("xl"), F.col("yl"), tau)).select("x", "y"), "close")
 
 
 def _classes(docs: DataFrame, tau: int, least: int) -> tuple[DataFrame, DataFrame]:
     """All lines by name, and ``(doc_id, key, pos, first)`` of the lines of classes of more than one."""
     lines = lines_of(docs)
     named = materialise(lines.select("row", "doc_id", "key", "pos", *_name(F.col("line"))), "lines")
-    pairs = materialise(near_lines(lines.select("line").distinct(), tau, least), "pairs")
-    asked = materialise(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "asked")
-    # a list of ids of checked size spares the texts a shuffle; a longer one is joined
-    few = F.broadcast(asked) if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else asked
-    texts = materialise(lines.select(F.xxhash64("line").alias("id"), "line").join(few, "id").distinct(), "texts")
-    a, b = texts.select(F.col("id").alias("x"), F.col("line").alias("xl")), texts.select(F.col("id").alias("y"), F.col("line").alias("yl"))
-    close = pairs.join(a, "x").join(b, "y").where(within_edits(F.col("xl"), F.col("yl"), tau)).select("x", "y")
-    component = connected_components(materialise(close, "close"), "x", "y").select(F.col("node").alias("a"), "component")
+    close = near_lines(lines, tau, least)
+    component = connected_components(close, "x", "y").select(F.col("node").alias("a"), "component")
     folded = named.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "key", "pos")).alias("p")).join(component, "a", "left")
     alone = F.col("component").isNull()
     firsts = materialise(

@@ -21,6 +21,8 @@ so a passage of very many documents is never gathered.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,13 +40,17 @@ BROADCAST_ROWS = 1_000_000
 
 
 def tune_bands(percent: int, recall: float = 0.99, most: int = 32) -> tuple[int, int]:
-    """``(rows, bands)``: the most rows a band with which at most ``most`` hashes reach the recall at the threshold."""
-    s, best = percent / 100, (1, 1)
+    """``(rows, bands)``: the most rows a band with which the recall at the threshold is reached, and the fewest bands for it.
+
+    Of ``rows`` equal hashes a band agrees with a chance of s ** rows, so the bands follow
+    from the recall. ``most`` bounds the hashes; where not even bands of one row fit it, it is
+    widened to what they need, so the recall is reached at every threshold.
+    """
+    s, best = percent / 100, None
     for rows in range(1, most + 1):
-        bands = 1
-        while 1 - (1 - s**rows) ** bands < recall:
-            bands += 1
-        if rows * bands <= most:
+        chance = s**rows
+        bands = 1 if chance >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log1p(-chance) - 1e-9))
+        if best is None or rows * bands <= most:
             best = (rows, bands)
     return best
 

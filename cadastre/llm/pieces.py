@@ -262,7 +262,7 @@ def encode(docs: DataFrame, path: str, theta: float = 1.0, seed: int = 0, key: s
     def run(batches):
         lattice = _lattice(shared.value, theta)
         for batch in batches:
-            for part in blocks(batch, text, 5 << 20):
+            for part in blocks(batch, text):
                 column = part.column(text)
                 data, at = buffers(_blank_before(column))
                 with np.errstate(over="ignore"):

@@ -20,11 +20,13 @@ estimate by a factor of e**-``SLACK``.
 
 Pairs of a bucket are never listed. (1) Each document is held against the least of all first
 documents of its buckets; (2) buckets whose documents are not yet all in one component
-hold their first document against those of other components; (3) what then still has
-several components is cut into blocks of bounded size, and blocks meet block by block within tasks,
-but never two blocks of one component: there every link is known to change nothing. So a
-group of n near copies costs n comparisons, and every pair that meets in a band is either
-compared or already in one component. Tasks give back spanning links only.
+hold two documents, the first and one by hash, which differs from bucket to bucket, against those of other components; (3) what then still has
+several components is cut into blocks of bounded size, and blocks meet block by block within tasks:
+the blocks of the largest component of a bucket (its hub) with those of all documents that share any
+bucket with it, and the others of a bucket with one another. Two blocks of one component never meet: there
+every link is known to change nothing. So a group of n near copies that hangs together costs about n
+comparisons, and every pair that meets in a band is either compared or already in one
+component. Tasks give back spanning links only.
 
 - Texts that are null, empty or without words have no shingle and no link; a text of fewer words than a
   shingle has one, of all its words.
@@ -113,14 +115,18 @@ def likelihoods(above: np.ndarray, below: np.ndarray, n_a: np.ndarray, n_b: np.n
 
 
 def estimate(above: np.ndarray, below: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Likeliest similarity of each pair, and whether ``percent`` or more is likely enough to verify."""
-    n_a, n_b = n_a.astype(np.float64), n_b.astype(np.float64)
-    grid = np.sort(np.append(_grid(), percent / 100))
-    level = likelihoods(above, below, n_a, n_b, grid)
-    high = grid >= percent / 100
-    good = level[:, high].max(axis=1) >= level.max(axis=1) - SLACK
-    good &= 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-    return grid[level.argmax(axis=1)], good
+    """Likeliest similarity of each pair (where it is far off, the share of equal registers), and whether ``percent`` or more is likely enough to verify."""
+    t, equal = percent / 100, M - above - below
+    value = equal / M
+    # far fewer equal registers than the threshold gives (9 deviations) need no likelihood
+    good = (equal >= M * t - 9 * math.sqrt(M * t * (1 - t))) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+    near = np.flatnonzero(good)
+    if len(near):
+        grid = np.sort(np.append(_grid(), t))
+        level = likelihoods(above[near], below[near], n_a[near].astype(np.float64), n_b[near].astype(np.float64), grid)
+        good[near] = level[:, grid >= t].max(axis=1) >= level.max(axis=1) - SLACK
+        value[near] = grid[level.argmax(axis=1)]
+    return value, good
 
 
 def _set_key(s: np.ndarray) -> int:
@@ -252,13 +258,31 @@ def _with_component(rows: DataFrame, components: DataFrame) -> DataFrame:
     return rows.join(components, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
 
 
-def _rest(met: DataFrame, components: DataFrame, reps: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """Links inside buckets that still hold several components besides that of their first document."""
-    placed = materialise(_with_component(met.where("rid <> first"), components), "placed")
-    several = placed.groupBy("key", "mark").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    # buckets of the same documents are searched once
-    keys = several.groupBy("mark").agg(F.min("key").alias("key")).select("key")
-    rows = materialise(placed.join(keys, "key", "left_semi").select("key", "rid", "component"), "rest")
+def _dealt(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``rows`` with a block of about ``TOGETHER`` rows inside each group ``by``."""
+    counts = rows.groupBy(*by).agg(F.count("*").alias("__many"))
+    return rows.join(counts, by).withColumn(name, F.pmod(F.xxhash64("rid"), F.ceil(F.col("__many") / TOGETHER))).drop("__many")
+
+
+def _searched(use: DataFrame, reps: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """Links inside pieces ``(piece, side, rid, component)``."""
+    pieces = use.join(reps.select("rid", "registers"), "rid").join(shingles, "rid").select("piece", "side", "rid", "component", "registers", "s")
+    return pieces.groupBy("piece").applyInArrow(_linked_blocks(percent), "a long, b long").distinct()
+
+
+def _against_hubs(placed: DataFrame, reps: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """Links between the largest component of a bucket, its hub, and the others: each pair of blocks once, however many buckets it shares."""
+    hub = _dealt(placed.where("component = hub").select("hub", "rid", "component").distinct(), ["hub"], "x")
+    others = _dealt(placed.where("component <> hub").select("hub", "rid", "component").distinct(), ["hub"], "y")
+    pairs = hub.select("hub", "x").distinct().join(others.select("hub", "y").distinct(), "hub").withColumn("piece", F.xxhash64("hub", "x", "y"))
+    use = hub.join(pairs, ["hub", "x"]).select("piece", F.lit(1).alias("side"), "rid", "component").union(
+        others.join(pairs, ["hub", "y"]).select("piece", F.lit(2).alias("side"), "rid", "component")
+    )
+    return _searched(use, reps, shingles, percent)
+
+
+def _besides_hubs(rows: DataFrame, reps: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """Links inside buckets ``(key, rid, component)``, block by block, but for two blocks of one component."""
     counts = rows.groupBy("key", "component").agg(F.count("*").alias("many"))
     small = counts.where(F.col("many") < TOGETHER).groupBy("key").agg(F.sum("many").alias("rest"))
     pure = F.col("many") >= TOGETHER
@@ -272,15 +296,24 @@ def _rest(met: DataFrame, components: DataFrame, reps: DataFrame, shingles: Data
     spans = blocked.select("key", "block", "pure").distinct()
     others = spans.select("key", F.col("block").alias("other"), F.col("pure").alias("other_pure"))
     same = F.col("block") == F.col("other")
-    # two blocks of one component have no link that changes anything
     pairs = spans.join(others, "key").where((F.col("block") <= F.col("other")) & ~F.coalesce(F.col("pure") == F.col("other_pure"), F.lit(False)))
     pairs = pairs.withColumn("piece", F.xxhash64("key", "block", "other"))
     use = pairs.select("key", "block", "piece", F.when(same, 0).otherwise(1).alias("side")).union(
         pairs.where(~same).select("key", F.col("other").alias("block"), "piece", F.lit(2).alias("side"))
     )
-    sketch = reps.select("rid", "registers")
-    pieces = blocked.join(sketch, "rid").join(shingles, "rid").join(use, ["key", "block"]).select("piece", "side", "rid", "component", "registers", "s")
-    return materialise(pieces.groupBy("piece").applyInArrow(_linked_blocks(percent), "a long, b long").distinct(), "links")
+    return _searched(blocked.join(use, ["key", "block"]).select("piece", "side", "rid", "component"), reps, shingles, percent)
+
+
+def _rest(met: DataFrame, components: DataFrame, reps: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """Links inside buckets that still hold several components besides that of their first document."""
+    placed = materialise(_with_component(met.where("rid <> first"), components), "placed")
+    sizes = placed.groupBy("key", "mark", "component").agg(F.count("*").alias("many"))
+    several = sizes.groupBy("key", "mark").agg(F.count("*").alias("n"), F.max(F.struct("many", "component"))["component"].alias("hub")).where("n > 1")
+    # buckets of the same documents are searched once
+    keys = several.groupBy("mark").agg(F.min(F.struct("key", "hub")).alias("k")).select("k.key", "k.hub")
+    rest = materialise(placed.join(keys, "key").select("key", "rid", "component", "hub"), "rest")
+    besides = _besides_hubs(rest.where("component <> hub").drop("hub"), reps, shingles, percent)
+    return materialise(_against_hubs(rest, reps, shingles, percent).union(besides), "links")
 
 
 def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -295,8 +328,9 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, broadcast_by
     )
     keyed = reps.select("rid", F.explode("bands").alias("key"))
     mark = lambda i: F.sum(F.xxhash64("rid", F.lit(i)).cast("decimal(20,0)"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("many"), F.min("rid").alias("first")).where("many > 1")
-    met = keyed.join(buckets, "key").select("key", "rid", "first")
+    by_hash = F.min(F.struct(F.xxhash64("rid", "key").alias("h"), "rid"))["rid"]
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("many"), F.min("rid").alias("first"), by_hash.alias("other")).where("many > 1")
+    met = keyed.join(buckets, "key").select("key", "rid", "first", "other")
     met = materialise(met, "met")
     marks = met.groupBy("key").agg(F.xxhash64(F.count("*"), mark(1), mark(2)).alias("mark"))
     shingles = _shingles(docs, materialise(met.select("rid").distinct(), "chosen"), n, broadcast_bytes)
@@ -305,10 +339,11 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, broadcast_by
     once = materialise(stars.groupBy("rid").agg(F.min("first").alias("b")).select(F.col("rid").alias("a"), "b"), "pairs")
     links = verified(once, reps, shingles, percent)
     components = _components(links)
-    # (2) first documents against those of other components
-    heads = components.select(F.col("rid").alias("first"), F.col("component").alias("c"))
-    apart = _with_component(stars, components).join(heads, "first", "left").where(F.col("component") != F.coalesce("c", "first"))
-    more = apart.select(F.col("rid").alias("a"), F.col("first").alias("b")).distinct().join(once, ["a", "b"], "left_anti")
+    # (2) two documents of a bucket against those of other components
+    heads = components.select(F.col("rid").alias("b"), F.col("component").alias("c"))
+    held = met.select("rid", F.explode(F.array("first", "other")).alias("b")).where("rid <> b").distinct()
+    apart = _with_component(held, components).join(heads, "b", "left").where(F.col("component") != F.coalesce("c", "b"))
+    more = apart.select(F.col("rid").alias("a"), "b").join(once, ["a", "b"], "left_anti")
     links = links.union(verified(more, reps, shingles, percent))
     # (3) the rest, block by block
     links = links.union(_rest(met.join(marks, "key"), _components(links), reps, shingles, percent))

@@ -63,7 +63,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def blocks(batch: pa.RecordBatch, column: str, size: int = 4 << 20):
+def blocks(batch: pa.RecordBatch, column: str, size: int = 1 << 20):
     """The batch cut into slices whose texts hold about ``size`` bytes; one text is never cut."""
     _, at = buffers(batch.column(column))
     begin = 0

@@ -129,6 +129,34 @@ def test_banded_edit_distance(spark, tau):
     assert [r for r in df.withColumn("w", line_dedup.within_edits(F.col("a"), F.col("b"), tau)).collect() if r.w != (r.d <= tau)] == []
 
 
+def test_shared_segments_lose_no_pair(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(500):
+        a = "".join(rng.choice("abcé ") for _ in range(rng.randint(10, 120)))
+        b = typo(a, rng.randint(0, 2), rng)
+        rows.append((a, b) if len(a) <= len(b) else (b, a))
+    far = [("".join(rng.choice("abc") for _ in range(90)), "".join(rng.choice("abc") for _ in range(90))) for _ in range(50)]
+    df = spark.createDataFrame(rows + far, "a string, b string").withColumn("s", line_dedup.shared_segments(F.col("a"), F.col("b"), 2))
+    got = [r.s for r in df.collect()]
+    assert all(got[: len(rows)]) and not any(got[len(rows) :])
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_variants_of_one_line_that_share_a_third(spark, broadcast_bytes):
+    """All meet under the key of the part they share; only those within the edits come out."""
+    rng = random.Random(13)
+    some = lambda k: "".join(rng.choice("abcdefghijklmnop") for _ in range(k))
+    head = some(60)
+    lines = [head + some(120) for _ in range(150)]
+    lines += [typo(x, 2, rng) for x in lines[:20]]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    ids = {r.id: r.line for r in df.select("line", F.xxhash64("line").alias("id")).collect()}
+    got = {tuple(sorted((ids[r.x], ids[r.y]))) for r in line_dedup.near_lines(df, 2, 16, broadcast_bytes).collect()}
+    want = {tuple(sorted((a, b))) for i, a in enumerate(lines) for b in lines[:i] if a != b and abs(len(a) - len(b)) <= 2 and (i >= 150) and levenshtein(a, b) <= 2}
+    assert got == want
+
+
 def test_line_classes_against_all_pairs(spark):
     rng = random.Random(9)
     docs = []
@@ -205,9 +233,11 @@ def test_passages(spark, cluttered, nothing):
 
 
 def test_bands_reach_the_recall():
-    for percent in (50, 80, 95):
+    for percent in range(10, 100):
         rows, bands = paragraph_dedup.tune_bands(percent)
         assert 1 - (1 - (percent / 100) ** rows) ** bands >= 0.99
+        assert rows * bands <= 32 or rows == 1
+    assert paragraph_dedup.tune_bands(80) == (3, 7)
 
 
 def best(vectors, every, k):

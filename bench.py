@@ -12,6 +12,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from cadastre.plans import QUERIES
@@ -37,7 +38,7 @@ def seconds(spark, name: str, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
-    spark = local_session(cores, shuffle_partitions=cores)
+    spark = local_session(cores, shuffle_partitions=cores, shared=f"file://{tempfile.mkdtemp(prefix='bench-')}")
     spark.sparkContext.setLogLevel("ERROR")
     names = list(QUERIES) if "--all" in sys.argv else HEADLINE
     times = {}

@@ -54,29 +54,32 @@ def consecutive_target(events: DataFrame, target: str, times: int, segment: str
     )
 
 
-def retry_budget(events: DataFrame, target: str, max_retries: int) -> DataFrame:
+def retry_budget(events: DataFrame, target: str, max_retries: int, segment: str = "hour") -> DataFrame:
     """succeeded, cancelled or in_progress per operation.
 
     Success must come before ``max_retries`` other states; an event after the
-    last retry cancels. Only counts are shuffled.
+    last retry cancels. Events are counted by time segment on the map side; only those of the
+    segment of an operation's first hit are looked at one by one.
     """
     hit = F.lower("state") == target.lower()
     place = F.struct("ts", "seq")
-    first = events.groupBy("op").agg(F.min(F.when(hit, place)).alias("first_hit"), F.count("*").alias("polls"))
-    # misses before the first hit, or all of them if there is none
-    misses = (
-        events.join(first, "op")
-        .where(F.col("first_hit").isNull() | (place < F.col("first_hit")))
-        .groupBy("op")
-        .agg(F.count("*").alias("misses"))
+    cut = events.withColumn("segment", F.date_trunc(segment, "ts"))
+    sums = cut.groupBy("op", "segment").agg(F.count("*").alias("n"), F.min(F.when(hit, place)).alias("hit"))
+    before = Window.partitionBy("op").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    first = F.min(F.when(F.col("hit").isNotNull(), F.struct("segment", "offset", "hit")))
+    counted = sums.groupBy("op").agg(F.sum("n").alias("polls"), first.alias("first"))
+    inside = (
+        cut.join(counted.where("first IS NOT NULL").select("op", F.col("first.segment").alias("segment"), F.col("first.hit").alias("hit")), ["op", "segment"])
+        .where(place < F.col("hit")).groupBy("op").agg(F.count("*").alias("inside"))
     )
-    counted = first.join(misses, "op", "left").withColumn("misses", F.coalesce("misses", F.lit(0)))
+    misses = F.when(F.col("first").isNotNull(), F.col("first.offset") + F.coalesce("inside", F.lit(0))).otherwise(F.col("polls"))
     status = (
-        F.when(F.col("first_hit").isNotNull() & (F.col("misses") < max_retries), "succeeded")
+        F.when(F.col("first").isNotNull() & (F.col("misses") < max_retries), "succeeded")
         .when(F.col("polls") > max_retries, "cancelled")
         .otherwise("in_progress")
     )
-    return counted.select("op", "misses", status.alias("status"))
+    return counted.join(inside, "op", "left").withColumn("misses", misses).select("op", "misses", status.alias("status"))
 
 
 def operation_timeout(events: DataFrame, end_states: list[str], seconds: int) -> DataFrame:

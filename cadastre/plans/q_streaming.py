@@ -28,8 +28,8 @@ STATUS = EVENTS + """ SELECT op, arg_max(seq, (ts, seq)) AS seq, CASE arg_max(st
 
 @query("str01_operation_status", STATUS)
 def operation_status(spark, sf):
-    updates = stream.run_to_end(stream.operation_status(_stream(spark, sf), OUTCOMES), "update", "status")
-    return stream.last_update(updates, "op")
+    updates = stream.run_to_end(stream.operation_status(_stream(spark, sf)), "update", "status")
+    return stream.operation_status_of(updates, OUTCOMES)
 
 
 @query("str01_operation_status_batch", STATUS)
@@ -44,7 +44,8 @@ SELECT op, arg_min(seq, (ts, seq)) AS seq FROM r WHERE state = 'click' AND run =
 
 @query("str02_consecutive_target", RUNS)
 def consecutive_target(spark, sf):
-    return stream.run_to_end(stream.consecutive_target(_stream(spark, sf), "Click", 2), "append", "runs").drop("batch_id")
+    updates = stream.run_to_end(stream.consecutive_target(_stream(spark, sf), "Click", 2), "update", "runs")
+    return stream.consecutive_target_of(updates, 2)
 
 
 @query("str02_consecutive_target_batch", RUNS)
@@ -59,8 +60,8 @@ SELECT op, coalesce(first_hit - 1, polls) AS misses, CASE WHEN first_hit <= 4 TH
 
 @query("str03_retry_budget", BUDGET)
 def retry_budget(spark, sf):
-    updates = stream.run_to_end(stream.retry_budget(_stream(spark, sf), "SignUp", 4), "update", "budget")
-    return stream.last_update(updates, "op")
+    updates = stream.run_to_end(stream.retry_budget(_stream(spark, sf), "SignUp"), "update", "budget")
+    return stream.retry_budget_of(updates, 4)
 
 
 @query("str03_retry_budget_batch", BUDGET)
@@ -76,8 +77,8 @@ TIMEOUT = EVENTS + """, s AS (SELECT op, min(ts) AS started, min(ts) FILTER (sta
     TIMEOUT + " SELECT op, TRUE AS timed_out FROM s WHERE (ended IS NULL OR ended > started + INTERVAL 12 HOUR) AND started + INTERVAL 12 HOUR < now - INTERVAL 10 MINUTE",
 )
 def operation_timeout(spark, sf):
-    found = stream.operation_timeout(_stream(spark, sf), ["purchase", "error"], 12 * 3600)
-    return stream.run_to_end(found, "append", "timeout").drop("batch_id")
+    updates = stream.run_to_end(stream.operation_timeout(_stream(spark, sf), ["purchase", "error"]), "update", "timeout")
+    return stream.operation_timeout_of(updates, 12 * 3600)
 
 
 @query("str04_operation_timeout_batch", TIMEOUT + " SELECT op, ended IS NULL OR ended > started + INTERVAL 12 HOUR AS timed_out FROM s")
@@ -90,8 +91,8 @@ ARRIVED = EVENTS + " SELECT op, CAST(count(DISTINCT state) FILTER (state IN ('cl
 
 @query("str05_expected_set_stream", ARRIVED)
 def expected_set(spark, sf):
-    updates = stream.run_to_end(stream.expected_set(_stream(spark, sf), ["click", "view", "purchase"]), "update", "expected")
-    return stream.last_update(updates, "op")
+    expected = ["click", "view", "purchase"]
+    return stream.expected_set_of(stream.run_to_end(stream.expected_set(_stream(spark, sf), expected), "update", "expected"), expected)
 
 
 @query("str05_expected_set_batch", ARRIVED)

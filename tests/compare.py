@@ -10,6 +10,7 @@ import datetime
 import decimal
 import math
 import sys
+import tempfile
 import time
 import traceback
 
@@ -76,7 +77,7 @@ def main() -> int:
     parser.add_argument("--sf", default="/root/testdata/sf0.001")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
-    spark = local_session()
+    spark = local_session(shared=f"file://{tempfile.mkdtemp(prefix='compare-')}")
     spark.sparkContext.setLogLevel("ERROR")
     con = oracle(args.sf)
     bad = 0

@@ -1,5 +1,7 @@
-"""Page checks: line expressions, fixes, and name pairing against brute force."""
+"""Page checks: line expressions, fixes, and name pairing against brute force; status feeds."""
 
+import datetime
+import os
 import random
 
 import pytest
@@ -179,17 +181,75 @@ def test_consecutive_target_over_segments(spark, times):
     assert got == _first_run(events.collect(), times)
 
 
-def test_state_goes_on_over_micro_batches(spark, tmp_path):
-    """Files are taken one at a time, so runs and budgets span micro-batches."""
+def _feed(spark, events, folder, parts):
+    """One file for each part of the events, taken one at a time in this order."""
+    for at, part in enumerate(parts):
+        events.where(part).coalesce(1).write.parquet(f"{folder}/w{at}")
+        (file,) = (folder / f"w{at}").glob("*.parquet")
+        moved = folder / f"e{at:03d}.parquet"
+        file.rename(moved)
+        os.utime(moved, (1_700_000_000 + at, 1_700_000_000 + at))
+    return stream.event_stream(spark, str(folder), events.schema, "e*.parquet", files_per_trigger=1)
+
+
+def _results(spark, feed, late, progress=None):
+    run = lambda name, found: stream.run_to_end(found, "update", name, progress)
+    return {
+        "status": stream.operation_status_of(run("status", stream.operation_status(feed, late=late)), {"HIT": "succeeded"}),
+        "runs": stream.consecutive_target_of(run("runs", stream.consecutive_target(feed, "hit", 3, "6 hours", late)), 3),
+        "budget": stream.retry_budget_of(run("budget", stream.retry_budget(feed, "hit", "6 hours", late)), 2),
+        "expected": stream.expected_set_of(run("expected", stream.expected_set(feed, ["hit", "other", "never"], late=late)), ["hit", "other", "never"]),
+    }
+
+
+def _twins(events):
+    return {
+        "status": status.operation_status(events, {"HIT": "succeeded"}),
+        "runs": status.consecutive_target(events, "hit", 3),
+        "budget": status.retry_budget(events, "hit", 2, "day"),
+        "expected": status.expected_set_arrived(events, ["hit", "other", "never"]),
+    }
+
+
+def _rows(frames):
+    return {k: sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect()) for k, df in frames.items()}
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2, 3], [2, 0, 3, 1], [3, 2, 1, 0]])
+def test_files_in_any_order_equal_the_batch_form(spark, tmp_path, order):
+    """Runs and budgets span files, and files come out of the order of time."""
+    events = _events(spark, 3).cache()
+    feed = _feed(spark, events, tmp_path, [f"seq BETWEEN {i * 100} AND {i * 100 + 99}" for i in order])
+    assert _rows(_results(spark, feed, "30 days")) == _rows(_twins(events))
+
+
+def test_late_and_early_events_are_mixed_inside_files(spark, tmp_path):
+    events = _events(spark, 5).cache()
+    feed = _feed(spark, events, tmp_path, [f"pmod(hash(seq), 5) = {i}" for i in range(5)])
+    got = _rows(_results(spark, feed, "30 days"))
+    assert got == _rows(_twins(events))
+    assert dict((op, seq) for op, seq in got["runs"]) == _first_run(events.collect(), 3)
+
+
+def test_state_leaves(spark, tmp_path):
+    """Files in the order of time: the state is that of the last segments only, and results stay the same."""
     events = _events(spark, 3).cache()
-    for i in range(4):
-        events.where(f"seq BETWEEN {i * 100} AND {i * 100 + 99}").coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
-    feed = stream.event_stream(spark, str(tmp_path / "e"), events.schema, "*.parquet", files_per_trigger=1)
-    runs = stream.run_to_end(stream.consecutive_target(feed, "hit", 3), "append", "runs")
-    assert {r["op"]: r["seq"] for r in runs.collect()} == _first_run(events.collect(), 3)
-    budget = stream.last_update(stream.run_to_end(stream.retry_budget(feed, "hit", 2), "update", "budget"), "op")
-    wanted = {r["op"]: (r["misses"], r["status"]) for r in status.retry_budget(events, "hit", 2).collect()}
-    assert {r["op"]: (r["misses"], r["status"]) for r in budget.collect()} == wanted
+    span = events.agg((F.max("seq") - F.min("seq")).alias("n")).first().n // 8 + 1
+    feed = _feed(spark, events, tmp_path, [f"seq DIV {span} = {i}" for i in range(9)])
+    progress = []
+    updates = stream.run_to_end(stream.consecutive_target(feed, "hit", 3, "1 minute", "1 second"), "update", "runs", progress)
+    assert _rows({"runs": stream.consecutive_target_of(updates, 3)}) == _rows({"runs": _twins(events)["runs"]})
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    written = updates.select("op", "segment").distinct().count()
+    assert held[-1] < max(held) and max(held) < written
+
+
+def test_timeouts_follow_the_watermark(spark, tmp_path):
+    rows = [(1, 0, "open"), (1, 500, "end"), (2, 0, "open"), (2, 4000, "end"), (3, 10, "open"), (4, 9000, "open"), (5, 9999, "x")]
+    events = spark.createDataFrame([(op, datetime.datetime(2024, 5, 1) + datetime.timedelta(seconds=s), i, st) for i, (op, s, st) in enumerate(rows)], "op long, ts timestamp, seq long, state string")
+    feed = _feed(spark, events, tmp_path, [f"pmod(seq, 3) = {i}" for i in (2, 0, 1)])
+    updates = stream.run_to_end(stream.operation_timeout(feed, ["END"], late="5 hours"), "update", "timeout")
+    assert {r.op for r in stream.operation_timeout_of(updates, 3600, "10 minutes").collect()} == {2, 3}
 
 
 def test_changelog_ranks_over_segments(spark):

@@ -219,51 +219,74 @@ def _leaf(name: str) -> Column:
     return F.substring_index(name, ".", -1)
 
 
+def _piece_keys(distance: int, kind: str, shorter_by: range, own: bool = False) -> Column:
+    """Keys under which names shorter by so many letters may stand; ``own``: the keys of the name's own pieces.
+
+    A name of n letters has ``distance`` + 1 pieces; the later ones take what does not divide. Piece
+    i of the shorter name stands in the longer one, moved by no more than the edits before it
+    (at most i) and after it (at most ``distance`` - i) allow. The ways to look are one
+    constant list, so a name costs one short loop.
+    """
+    ways = [
+        (delta, i, moved)
+        for delta in shorter_by for i in range(distance + 1)
+        for moved in range(max(-i, delta - (distance - i)), min(i, delta + distance - i) + 1)
+        if not own or moved == 0
+    ]
+    listed = F.array(*(F.struct(F.lit(d).alias("delta"), F.lit(i).alias("i"), F.lit(m).alias("moved")) for d, i, m in ways))
+    length, pieces = F.length("leaf"), distance + 1
+
+    def start(way: Column, more: int) -> Column:
+        return F.floor((length - way["delta"]) * (way["i"] + more) / pieces).cast("int")
+
+    def fits(way: Column) -> Column:
+        return (length - way["delta"] > distance) & (start(way, 0) + way["moved"] >= 0) & (start(way, 1) + way["moved"] <= length)
+
+    def key(way: Column) -> Column:
+        part = F.substr("leaf", start(way, 0) + way["moved"] + 1, start(way, 1) - start(way, 0))
+        return F.xxhash64("resource", F.lit(kind), length - way["delta"], way["i"], part)
+
+    return F.transform(F.filter(listed, fits), key)
+
+
+def _short_keys(distance: int, one: str, other: str) -> Column:
+    """Keys by which short names, of up to ``distance`` letters, meet each other and longer ones.
+
+    Two short names are always within the distance. Of a short name and a longer one of m
+    letters, both hold the same m - distance letters in the same order. A short name has the keys of its
+    subsequences under ``one``, a longer one those of this length under ``other``.
+    """
+    def grown(texts: Column, letter: Column) -> Column:
+        longer = F.transform(F.filter(texts, lambda t: F.length(t) < distance), lambda t: F.concat(t, letter))
+        return F.array_distinct(F.concat(texts, longer))
+
+    n = F.length("leaf")
+    every = F.aggregate(F.split("leaf", ""), F.array(F.lit("")), grown)
+    key = lambda kind, t: F.xxhash64("resource", F.lit(kind), F.length(t), t)
+    of_short = F.transform(F.filter(every, lambda t: t != ""), lambda t: key(one, t))
+    of_longer = F.transform(F.filter(every, lambda t: F.length(t) == n - distance), lambda t: key(other, t))
+    return F.when(n <= distance, F.array_append(of_short, F.xxhash64("resource", F.lit("short")))).when(n <= 2 * distance, of_longer).otherwise(F.array())
+
+
 def close_names(left: DataFrame, right: DataFrame, distance: int = MAX_MISSPELLING) -> DataFrame:
     """Pairs (resource, l, r) of leaf names within an edit distance, inside one resource.
 
-    By the pigeonhole principle, of ``distance + 1`` pieces of one name at least one
-    stands in the other, shifted by no more than ``distance``. So pieces are
-    joined by equality, and only what meets there is measured.
+    Of two names of more than ``distance`` letters the longer one holds one of the
+    ``distance`` + 1 pieces of the shorter one, shifted as far as their lengths and the edits
+    allow; a shorter name meets others by its subsequences. All ways are one join by
+    64-bit keys, none of them of an empty piece, and only what meets is measured.
     """
-    pieces = distance + 1
-    length = F.length("leaf")
-
-    def start(n: Column, i: int) -> Column:
-        return F.floor(n * i / pieces).cast("int")
-
-    own = F.array(
-        *(
-            F.struct(
-                length.alias("n"), F.lit(i).alias("i"),
-                F.substr("leaf", start(length, i) + 1, start(length, i + 1) - start(length, i)).alias("piece"),
-            )
-            for i in range(pieces)
-        )
-    )
-    other_lengths = F.sequence(F.greatest(length - distance, F.lit(0)), length + distance)
-    shifts = F.sequence(F.lit(-distance), F.lit(distance))
-
-    def moved(n: Column, i: int) -> Column:
-        """Piece ``i`` of a name of length ``n``, wherever it may stand in this name."""
-        fitting = F.filter(shifts, lambda d: start(n, i) + d >= 0)
-        return F.transform(
-            fitting,
-            lambda d: F.struct(
-                n.alias("n"), F.lit(i).alias("i"),
-                F.substr("leaf", start(n, i) + d + 1, start(n, i + 1) - start(n, i)).alias("piece"),
-            ),
-        )
-
-    shifted = F.flatten(
-        F.transform(other_lengths, lambda n: F.flatten(F.array(*(moved(n, i) for i in range(pieces)))))
-    )
-    a = left.select("resource", "leaf").distinct().select("resource", F.col("leaf").alias("l"), F.inline(own))
-    b = right.select("resource", "leaf").distinct().select(
-        "resource", F.col("leaf").alias("r"), F.inline(F.array_distinct(shifted))
-    )
-    near = F.levenshtein("l", "r", distance)
-    return a.join(b, ["resource", "n", "i", "piece"]).where(near >= 0).select("resource", "l", "r").distinct()
+    def keyed(df: DataFrame, alias: str, *keys: Column) -> DataFrame:
+        # keys take far more time than names take space, so names are dealt over all tasks before they are folded
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        names = df.select("resource", "leaf").repartition(parts, "resource", "leaf").distinct()
+        return names.select("resource", F.col("leaf").alias(alias), F.explode(F.concat(*keys)).alias("key"))
+
+    every, longer = range(distance + 1), range(1, distance + 1)
+    a = keyed(left, "l", _piece_keys(distance, "left", range(1), True), _piece_keys(distance, "right", longer), _short_keys(distance, "left short", "right short"))
+    b = keyed(right, "r", _piece_keys(distance, "right", range(1), True), _piece_keys(distance, "left", every), _short_keys(distance, "right short", "left short"))
+    near = F.levenshtein("l", "r", distance) >= 0
+    return a.join(b, ["resource", "key"]).where(near).select("resource", "l", "r").distinct()
 
 
 def merge_misspellings(misses: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastre.session import materialise
@@ -10,7 +10,9 @@ from cadastre.session import materialise
 # What an import line, a call, and a struct field look like.
 IMPORT_LINE = r'(?m)^[ \t(]*(?:([\w.]+)[ \t]+)?"([^"]+)"'
 CALL = r"(?:^|[^.\w])([A-Za-z_]\w*)\("
-STRUCT_FIELD = r"(?m)^[ \t]+([A-Z]\w*)[ \t]+([^\s`]+)(?:[ \t]+`([^`]*)`)?$"
+# tokens of a declaration: raw and quoted texts, comments, words with their dots, line ends, marks
+TOKEN = r'`[^`]*`|"(?:[^"\\\n]|\\.)*"|//[^\n]*|/\*(?s:.*?)\*/|[\w.]+|\n|[^\s\w]'
+STRUCT = r"^\s*(?:type\s+)?\w+(?:\[[^\]]*\])?\s+struct\s*\{"
 
 
 def symbol_counts(symbols: DataFrame, *keys: str) -> DataFrame:
@@ -120,18 +122,68 @@ def reachability(edges: DataFrame, entries: DataFrame) -> DataFrame:
         seen = seen.unionByName(frontier)
 
 
-def struct_fields(types: DataFrame) -> DataFrame:
-    """Fields of struct declarations (type_name, pos, field, field_type, tags)."""
-    found = F.arrays_zip(
-        *(
-            F.regexp_extract_all("body", F.lit(STRUCT_FIELD), F.lit(group)).alias(alias)
-            for group, alias in ((1, "field"), (2, "field_type"), (3, "tag"))
+def _statements(body: Column) -> Column:
+    """The statements of a struct declaration, each a list of tokens: one fold that counts open brackets.
+
+    Depth 0 is before the struct, -1 behind it. A statement ends with its line only at depth
+    1, so inline types, functions and their brackets stay in one piece; line ends inside them become
+    semicolons. Comments are left out.
+    """
+    tokens = F.filter(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0)), lambda t: ~t.startswith("//") & ~t.startswith("/*"))
+    none = F.array().cast("array<string>")
+
+    def step(s, t):
+        depth, words = s["depth"], s["words"]
+        opens, closes, line = t.isin("{", "(", "["), t.isin("}", ")", "]"), t == "\n"
+        ends = (depth == 1) & (line | closes | (t == ";"))
+        deeper = (
+            F.when(depth == 0, F.when(t == "{", 1).otherwise(0)).when(depth < 0, depth)
+            .when(opens, depth + 1).when(closes, F.when(depth == 1, -1).otherwise(depth - 1)).otherwise(depth)
         )
-    )
+        last = F.element_at(words, -1)
+        words_next = (
+            F.when(ends, none).when(depth < 1, words)
+            .when(line, F.when(last.isin("{", "(", ";", ","), words).otherwise(F.array_append(words, F.lit(";"))))
+            .otherwise(F.array_append(words, t))
+        )
+        out = F.when(ends & (F.size(words) > 0), F.array_append(s["out"], words)).otherwise(s["out"])
+        return F.struct(deeper.cast("int").alias("depth"), words_next.alias("words"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("depth"), none.alias("words"), F.array().cast("array<array<string>>").alias("out"))
+    return F.when(body.rlike(r"(?m)" + STRUCT), F.aggregate(tokens, start, step, lambda s: s["out"])).otherwise(F.array().cast("array<array<string>>"))
 
-    def tag(name: str):
+
+def _type_text(tokens: Column) -> Column:
+    """Tokens of a type as it is written."""
+    out = F.regexp_replace(tokens, r" ?([\[\]{*]) ?", "$1")
+    for pattern, text in ((r" ?;? ?\}", "}"), (r" ([,;)])", "$1"), (r"(?<!\)) \(", "("), (r"\( ", "("), (r"< - ?", "<-")):
+        out = F.regexp_replace(out, pattern, text)
+    return out
+
+
+def struct_fields(types: DataFrame) -> DataFrame:
+    """Fields of struct declarations (type_name, pos, field, field_type, tags).
+
+    A line of several names is a field each; an embedded type is a field of its own name
+    without package, pointer and type arguments; unexported fields are fields as well. A body that
+    declares no struct has none.
+    """
+    def fields(w: Column) -> Column:
+        last = F.element_at(w, -1)
+        tagged = F.substring(last, 1, 1).isin("`", '"')
+        plain = F.array_join(F.when(tagged, F.slice(w, F.lit(1), F.size(w) - 1)).otherwise(w), " ")
+        tag = F.when(tagged, F.replace(last.substr(F.lit(2), F.length(last) - 2), F.lit('\\"'), F.lit('"')))
+        names, rest = (F.regexp_extract(plain, r"^((?:\w+ , )*\w+) (.+)$", i) for i in (1, 2))
+        embedded = (names == "") | rest.rlike(r"^\[ [^\]]+ \]$") & ~rest.rlike(r"^\[ \d* \]$")
+        own_name = F.regexp_extract(plain, r"^(?:\* )?(?:\w+\.)*(\w+)", 1)
+        of_type = _type_text(F.when(embedded, plain).otherwise(rest))
+        listed = F.when(embedded, F.array(own_name)).otherwise(F.split(names, " , "))
+        return F.transform(listed, lambda name: F.struct(name.alias("field"), of_type.alias("field_type"), tag.alias("tag")))
+
+    def tag(name: str) -> Column:
         return F.nullif(F.regexp_extract("f.tag", name + r':"([^",]*)', 1), F.lit("")).alias(name + "_tag")
 
+    found = F.flatten(F.transform(_statements(F.col("body")), fields))
     return types.select("type_name", F.posexplode(found).alias("pos", "f")).select(
         "type_name", "pos", "f.field", "f.field_type", tag("json"), tag("tfschema"), tag("tfsdk")
     )

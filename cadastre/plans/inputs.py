@@ -252,6 +252,8 @@ SELECT p_partkey AS row_key, 'type_' || CAST(p_partkey AS STRING) AS type_name,
          || '    Size int64 `json:"size,omitempty"`' || chr(10)
          || CASE WHEN p_size % 3 = 0 THEN '    Items []T' || CAST(p_partkey + 1 AS STRING) || ' `tfschema:"items"`' || chr(10) ELSE '' END
          || CASE WHEN p_size % 2 = 0 THEN '    Brand string' || chr(10) ELSE '' END
+         || CASE WHEN p_size % 5 = 0 THEN '    low, High float64 `tfsdk:"span"`' || chr(10) ELSE '' END
+         || CASE WHEN p_size % 7 = 0 THEN '    lib.Embedded' || chr(10) ELSE '' END
          || '}' AS body
 FROM {part}
 """,

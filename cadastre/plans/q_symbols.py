@@ -141,12 +141,14 @@ def reachability(spark, sf):
 
 FIELDS = cte("struct_fields_raw").rstrip() + """,
 lines AS (SELECT type_name, unnest(string_split(body, chr(10))) AS line, unnest([0,1,2,3,4,5,6,7,8,9][1:len(string_split(body, chr(10)))]) AS i FROM struct_fields_raw),
-fields AS (SELECT type_name, CAST(row_number() OVER (PARTITION BY type_name ORDER BY i) - 1 AS INT) AS pos,
-   split_part(ltrim(line), ' ', 1) AS field, split_part(ltrim(line), ' ', 2) AS field_type,
+named AS (SELECT type_name, line, i, unnest(n) AS field, unnest(range(len(n))) AS k FROM (SELECT *, CASE WHEN contains(ltrim(line), ' ')
+   THEN string_split(regexp_extract(ltrim(line), '^((?:\\w+, )*\\w+) ', 1), ', ') ELSE [split_part(ltrim(line), '.', -1)] END AS n FROM lines WHERE line LIKE '    %') t),
+fields AS (SELECT type_name, CAST(row_number() OVER (PARTITION BY type_name ORDER BY i, k) - 1 AS INT) AS pos, field,
+   regexp_extract(ltrim(line), '^(?:\\w+, )*(?:\\w+ )?([^ ]+)', 1) AS field_type,
    nullif(regexp_extract(line, 'json:"([^",]*)', 1), '') AS json_tag,
    nullif(regexp_extract(line, 'tfschema:"([^",]*)', 1), '') AS tfschema_tag,
    nullif(regexp_extract(line, 'tfsdk:"([^",]*)', 1), '') AS tfsdk_tag
-  FROM lines WHERE line LIKE '    %')
+  FROM named)
 """
 
 

@@ -1,8 +1,11 @@
 """Readers and writers on small files."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from cadastre.operators import registry, symbols
+from cadastre.operators import snapshots as schema_ops
 from cadastre.operators.snapshots import flatten_properties
 from cadastre.sources import snapshots, text
 from cadastre.sources.symbol_index import parse_symbol_path, parse_symbol_text, scan_symbol_index
@@ -117,9 +120,46 @@ def test_struct_fields(spark):
     inner = "type U struct {\n    E string\n}"
     fields = symbols.struct_fields(spark.createDataFrame([("T", body), ("U", inner)], "type_name string, body string"))
     got = {(r["type_name"], r["field"]): r for r in fields.collect()}
-    assert got["T", "A"]["json_tag"] == "a" and got["T", "C"]["tfschema_tag"] == "c" and ("T", "b") not in got
+    assert got["T", "A"]["json_tag"] == "a" and got["T", "C"]["tfschema_tag"] == "c" and got["T", "b"]["field_type"] == "int"
     missing = {(r["root"], r["field_path"]) for r in symbols.model_tag_check(fields).collect()}
-    assert missing == {("T", "A"), ("T", "D"), ("T", "C.E"), ("U", "E")}
+    assert missing == {("T", "A"), ("T", "b"), ("T", "D"), ("T", "C.E"), ("U", "E")}
+
+
+SHAPES = """package example.org/x
+import (
+    "fmt"
+)
+type Shapes[K comparable] struct {
+\tName, Tier, Family string // several names
+\tlib.Meta
+\t*lib.Base `json:"base"`
+\tGeneric[lib.T, int]
+\tsize int64 "tfschema:\\"size\\""
+\tInner struct {
+\t\tA int `json:"a"`
+\t\tB, C map[string][]lib.X
+\t} `json:"inner,omitempty"`
+\tRun func(ctx lib.Context, n ...int) (string, error)
+\tMaps map[string]map[int]*lib.Y; Wait <-chan struct{}
+\tData [16]byte /* a
+\tcomment */
+\tAny interface{ Get(k string) int }
+}
+func after() { x := T{a: 1} }
+"""
+
+
+def test_struct_fields_of_all_shapes(spark):
+    rows = [("Shapes", SHAPES), ("F", "type F func(a int) error"), ("I", "type I interface {\n    Get() string\n}"), ("E", "type E struct{}"), ("N", None)]
+    got = symbols.struct_fields(spark.createDataFrame(rows, "type_name string, body string")).orderBy("type_name", "pos").collect()
+    assert {r["type_name"] for r in got} == {"Shapes"} and [r["pos"] for r in got] == list(range(len(got)))
+    assert [(r["field"], r["field_type"]) for r in got] == [
+        ("Name", "string"), ("Tier", "string"), ("Family", "string"), ("Meta", "lib.Meta"), ("Base", "*lib.Base"), ("Generic", "Generic[lib.T, int]"),
+        ("size", "int64"), ("Inner", 'struct{A int `json:"a"`; B, C map[string][]lib.X}'), ("Run", "func(ctx lib.Context, n ...int) (string, error)"),
+        ("Maps", "map[string]map[int]*lib.Y"), ("Wait", "<-chan struct{}"), ("Data", "[16]byte"), ("Any", "interface{Get(k string) int}"),
+    ]
+    by = {r["field"]: r for r in got}
+    assert (by["Base"]["json_tag"], by["size"]["tfschema_tag"], by["Inner"]["json_tag"], by["Name"]["json_tag"]) == ("base", "size", "inner", None)
 
 
 def test_config_modes(spark):
@@ -145,3 +185,28 @@ def test_statistics_from_an_index(spark, tmp_path):
         "service_count": 2, "total_data_sources": 1, "total_resources": 3, "legacy_resources": 2, "modern_resources": 2, "ephemeral_resources": 2,
     }
     assert {(r["resource_type"], r["services"]) for r in registry.duplicate_registrations(found.where("object_kind = 'resource'")).collect()} == {("s_old", 2)}
+
+
+def test_snapshot_round_trip(spark, tmp_path):
+    """Properties, timeouts and provider schema come back as one node a resource, however many documents hold them."""
+    properties = spark.createDataFrame(
+        [("resource", "a", "x", '{"type":"TypeString","optional":true}'), ("resource", "a", "y", '{"type":"TypeInt"}'), ("data source", "a", "x", '{"type":"TypeBool"}'),
+         ("resource", "b", "z", '{"type":"TypeList","elem":{"schema":{"q":{"type":"TypeInt"}}}}'), ("resource", "bare", None, None)],
+        "kind string, resource string, name string, node_json string",
+    )
+    timeouts = spark.createDataFrame([("resource", "a", 30, 5, None, 60), ("resource", "bare", None, 1, None, None)], "kind string, resource string, `create` int, `read` int, `update` int, `delete` int")
+    provider = spark.createDataFrame([("features", '{"type":"TypeList"}'), ("token", '{"type":"TypeString"}')], "name string, node_json string")
+    path = f"file://{tmp_path}/s"
+    snapshots.write_schema_snapshot(properties, path, "sample", "7", timeouts=timeouts, provider_schema=provider)
+    snapshots.write_schema_snapshot(properties.where("resource = 'b'"), path, "sample", "8", mode="append")
+    back = snapshots.read_schema_snapshot(spark, path)
+    got = {(r["version"], r["kind"], r["resource"]): json.loads(r["node"]) for r in back.withColumn("node", F.to_json("node")).collect()}
+    assert len(got) == back.count() == 6
+    assert got["7", "resource", "a"] == {"schema": {"x": {"type": "TypeString", "optional": True}, "y": {"type": "TypeInt"}}, "timeouts": {"create": 30, "read": 5, "delete": 60}}
+    assert got["7", "data source", "a"]["schema"] == {"x": {"type": "TypeBool"}}
+    assert got["7", "resource", "bare"] == {"schema": {}, "timeouts": {"read": 1}}
+    assert set(got["7", "provider", "sample"]["schema"]) == {"features", "token"}
+    assert got["8", "resource", "b"]["schema"]["z"]["elem"]["schema"]["q"] == {"type": "TypeInt"}
+    wanted = spark.createDataFrame([("resource", "a"), ("resource", "nope")], "kind string, resource string")
+    found = schema_ops.lookup_schema(back.where("version = '7'"), wanted).collect()
+    assert sorted((r["resource"], r["error"]) for r in found) == [("a", None), ("nope", "resource not found")]

@@ -58,8 +58,7 @@ def scratch_scope(spark: SparkSession) -> Iterator[str]:
         yield folder
     finally:
         _scope.reset(token)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, folder)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -73,4 +72,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables from ``materialise`` that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._written)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

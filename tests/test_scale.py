@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from cadastre import session
 from cadastre.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +43,29 @@ def test_code_keeps_to_the_rules():
         text = path.read_text()
         for word in ("localCheckpoint", "crossJoin", ".rdd", "toPandas", ".collect()"):
             assert word not in text, f"{word} in {path}"
+
+
+def test_scratch_is_released_and_scoped(spark):
+    import pathlib as pl
+
+    folder = pl.Path(session.shared_dir(spark).removeprefix("file://"))
+    kept = session.materialise(spark.range(5), "kept")
+    gone = session.materialise(spark.range(5), "gone")
+    session.release(gone)
+    assert kept.count() == 5 and not list(folder.glob("gone-*"))
+    with session.scratch_scope(spark) as scope:
+        assert session.materialise(spark.range(7), "inside").count() == 7
+        assert pl.Path(scope.removeprefix("file://")).exists()
+    assert not pl.Path(scope.removeprefix("file://")).exists() and kept.count() == 5
+
+
+def test_a_session_without_shared_folder_is_told_so():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())

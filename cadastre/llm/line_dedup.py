@@ -10,7 +10,8 @@ edits the longer one holds a segment of the shorter one, shifted only as far as
 allow (the multi-match-aware windows of Pass-Join). So each line is indexed under its
 segments with length and number, and probes the index of every length from its own down
 to tau less. Lines without a partner under any key, nearly all, end there, known by numbers only. Those
-that meet are split again into ``FINE`` segments, of which tau edits spare all but tau; a pair
+that meet are compared by how often each holds eight common letters, which tau edits change by 2 tau
+at most, and split again into ``FINE`` segments, of which tau edits spare all but tau; a pair
 that holds fewer in common goes no further. So of many variants of one line that all share a
 third of it, few pairs are left. They go on to a banded bit-parallel computation of the edit
 distance (Hyyrö 2003). Every step is exact.
@@ -27,9 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastre.llm.graph import connected_components
-from cadastre.session import materialise
+from cadastre.session import materialise, release
 
 FINE = 12
+LETTERS = "enatirso"
 #: Ids are broadcast up to this many bytes; beyond, texts are joined by shuffle.
 BROADCAST_BYTES = 8 << 20
 
@@ -86,21 +88,36 @@ def _probe_keys(tau: int, delta: int) -> Column:
     return F.array(*out)
 
 
+def _letters(line: Column) -> Column:
+    """Counts of eight letters, seven bits each."""
+    out = F.lit(0).cast("long")
+    for k, letter in enumerate(LETTERS):
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+        out = out + F.shiftleft(count.bitwiseAND(F.lit(127)).cast("long"), 7 * k)
+    return out
+
+
+def _letter_gap(a: Column, b: Column) -> Column:
+    gap = F.lit(0).cast("long")
+    for k in range(len(LETTERS)):
+        d = F.abs(F.shiftright(a, 7 * k).bitwiseAND(F.lit(127)) - F.shiftright(b, 7 * k).bitwiseAND(F.lit(127)))
+        gap = gap + F.least(d, F.lit(128) - d)
+    return gap
+
+
 def shared_segments(short: Column, long: Column, tau: int) -> Column:
     """Whether all but tau of the fine segments of the shorter line stand in the longer one, shifted by tau at most; true for lines too short to split so."""
     n = F.length(short)
-    shifts = F.array(*(F.lit(k) for k in range(-tau, tau + 1)))
+    size = F.floor(n / FINE).cast("int")
 
-    def missing(i):
-        # the first segments have length // FINE letters, the last takes the rest
-        size = F.floor(n / FINE).cast("int")
-        start = i * size + 1
-        part = short.substr(start, F.when(i == FINE - 1, n).otherwise(size))
-        there = lambda k: (start + k >= 1) & (long.substr(start + k, F.length(part)) == part)
-        return F.when(F.exists(shifts, there), 0).otherwise(1)
+    def lost(state, i):
+        # the first segments have n // FINE letters, the last takes the rest
+        start, length = i * size + 1, F.when(i == FINE - 1, n - size * (FINE - 1)).otherwise(size)
+        low = F.greatest(start - tau, F.lit(1))
+        there = F.contains(long.substr(low, start + tau + length - low), short.substr(start, length))
+        return F.when(state > tau, state).when(there, state).otherwise(state + 1)
 
-    lost = F.aggregate(F.sequence(F.lit(0), F.lit(FINE - 1)), F.lit(0), lambda s, i: F.when(s > tau, s).otherwise(s + missing(i)))
-    return F.when(n < 2 * FINE, True).otherwise(lost <= tau)
+    return F.when(n < FINE, True).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(FINE - 1)), F.lit(0), lost) <= tau)
 
 
 def within_edits(a: Column, b: Column, tau: int) -> Column:
@@ -180,10 +197,14 @@ def near_lines(lines: DataFrame, tau: int, least: int, broadcast_bytes: int = BR
     held = materialise(index.join(probed_keys, "key", "left_semi"), "held")
     ids = materialise(held.select(F.col("x").alias("id")).union(probing.select("y")).distinct(), "asked")
     texts = _of_ids(lines, ids, broadcast_bytes)
-    a, b = texts.select(F.col("id").alias("x"), F.col("line").alias("xl")), texts.select(F.col("id").alias("y"), F.col("line").alias("yl"))
-    met = held.join(a, "x").join(probing.join(b, "y"), "key").where((F.col("x") != F.col("y")) & shared_segments(F.col("xl"), F.col("yl"), tau))
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"{c}l"), _letters(F.col("line")).alias(f"{c}n"))
+    alike = (F.col("x") != F.col("y")) & (_letter_gap(F.col("xn"), F.col("yn")) <= 2 * tau) & shared_segments(F.col("xl"), F.col("yl"), tau)
+    met = held.join(side("x"), "x").join(probing.join(side("y"), "y"), "key").where(alike)
     pairs = materialise(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
-    return materialise(pairs.join(a, "x").join(b, "y").where(within_edits(F.col("xl"), F.col("yl"), tau)).select("x", "y"), "close")
+    both = pairs.join(side("x").drop("xn"), "x").join(side("y").drop("yn"), "y")
+    close = materialise(both.where(within_edits(F.col("xl"), F.col("yl"), tau)).select("x", "y"), "close")
+    release(known, probing, probed_keys, held, ids, texts, pairs)
+    return close
 
 
 def _classes(docs: DataFrame, tau: int, least: int) -> tuple[DataFrame, DataFrame]:

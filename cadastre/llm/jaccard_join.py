@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from cadastre.llm.graph import connected_components
 from cadastre.llm.words import U, Words, blocks, mix, mix_int, shingle_sets
-from cadastre.session import materialise
+from cadastre.session import materialise, release
 
 SEEDS = 3
 BROADCAST_ROWS = 1_000_000
@@ -240,7 +240,7 @@ def _distance(a: str, b: str):
 
 def _weights(members: DataFrame, piece: int, piece_docs: int) -> DataFrame:
     """Per region its documents, and whether one task may compare them; a pair is never cut."""
-    n, weight = F.count("*"), F.sum(F.size("s").cast("long"))
+    n, weight = F.count("*"), F.sum(F.col("w").cast("long"))
     return members.groupBy("region").agg(n.alias("n_docs"), ((n <= 2) | (n <= piece_docs) & (weight <= piece)).alias("fits"))
 
 
@@ -261,9 +261,11 @@ def _by_cells(large: DataFrame, percent: int, salt: int) -> DataFrame:
     mark = lambda n: F.sum(F.xxhash64("doc_id", F.lit(n)).cast("decimal(20,0)"))
     groups = rows.groupBy("region", "key").agg(F.count("*").alias("n"), mark(1).alias("x"), mark(2).alias("y")).where("n > 1")
     kept = groups.groupBy("region", "n", "x", "y").agg(F.min("key").alias("key"))
-    return materialise(
+    cells = materialise(
         rows.join(kept.select("region", "key"), ["region", "key"]).select("region", F.xxhash64("region", "key", F.lit(salt)).alias("cell"), "doc_id"), "cells"
     )
+    release(keyed)
+    return cells
 
 
 def _worthwhile(large: DataFrame, cells: DataFrame) -> DataFrame:
@@ -303,22 +305,22 @@ def _voronoi(large: DataFrame, far: DataFrame, t: float) -> DataFrame:
 def _rings(stuck: DataFrame, far: DataFrame, piece: int, piece_docs: int, t: float) -> DataFrame:
     """Blocks of a region in the order of distance to its most central pivot; blocks within ``t`` of each other meet.
 
-    Rows ``(piece, side, doc_id, s)``. A block is a stretch of distances, or, where many
+    Rows ``(piece, side, doc_id)``. A block is a stretch of distances, or, where many
     documents have one distance, a share of them by hash.
     """
     # a document weighs its share of what a block may hold
-    share_of = F.greatest(F.size("s") / F.lit(piece / 2), F.lit(2 / piece_docs))
+    share_of = F.greatest(F.col("w") / F.lit(piece / 2), F.lit(2 / piece_docs))
     bins = 512
     centre = far.groupBy("region", "cell").agg(F.avg("far").alias("mean")).groupBy("region").agg(F.min_by("cell", F.struct("mean", "cell")).alias("cell"))
     placed = (
         stuck.join(far.join(centre, ["region", "cell"]).select("region", "doc_id", "far"), ["region", "doc_id"])
         .withColumn("bin", F.floor(F.col("far") * bins))
     )
-    weights = placed.groupBy("region", "bin").agg(F.sum(share_of).alias("w"))
-    before = weights.withColumn("c", F.sum("w").over(Window.partitionBy("region").orderBy("bin")) - F.col("w"))
+    weights = placed.groupBy("region", "bin").agg(F.sum(share_of).alias("load"))
+    before = weights.withColumn("c", F.sum("load").over(Window.partitionBy("region").orderBy("bin")) - F.col("load"))
     share = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / (1 << 20)
-    blocked = placed.join(before, ["region", "bin"]).withColumn("block", F.floor(F.col("c") + share * F.col("w")))
-    blocked = materialise(blocked.select("region", "block", "doc_id", "s", "far"), "blocks")
+    blocked = placed.join(before, ["region", "bin"]).withColumn("block", F.floor(F.col("c") + share * F.col("load")))
+    blocked = materialise(blocked.select("region", "block", "doc_id", "far"), "blocks")
     span = blocked.groupBy("region", "block").agg(F.min("far").alias("low"), F.max("far").alias("high"))
     right = span.select("region", F.col("block").alias("other"), F.col("low").alias("low2"))
     pairs = (
@@ -330,26 +332,28 @@ def _rings(stuck: DataFrame, far: DataFrame, piece: int, piece_docs: int, t: flo
     use = pairs.select("region", "block", "piece", F.when(same, 0).otherwise(1).alias("side")).union(
         pairs.where(~same).select("region", F.col("other").alias("block"), "piece", F.lit(2).alias("side"))
     )
-    return blocked.join(use, ["region", "block"]).select("piece", "side", "doc_id", "s")
+    return blocked.join(use, ["region", "block"]).select("piece", "side", "doc_id")
 
 
-def _pieces(members: DataFrame, percent: int, piece: int, piece_docs: int, pivots_per_region: int) -> DataFrame:
-    """Pieces ``(piece, side, doc_id, s)`` that together hold every linked pair of a region.
+def _pieces(members: DataFrame, sets: DataFrame, percent: int, piece: int, piece_docs: int, pivots_per_region: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Pieces ``(piece, side, doc_id)`` that together hold every linked pair of a region, and the tables they are read from.
 
-    A region is cut by new cells of the universe, else by pivots, as long as that halves
-    the comparisons; what cannot be cut so is split into rings.
+    ``members`` are ``(region, doc_id, w)`` with the number of shingles, ``sets`` the shingles themselves. A region is
+    cut by new cells of the universe, else by pivots, as long as that halves
+    the comparisons; what cannot be cut so is split into rings. Only regions that are cut carry
+    sets from step to step.
     """
     t = 1 - percent / 100
-    out, salt = None, 0
+    out, salt, read = None, 0, []
     while True:
         salt += 1
         sized = members.join(_weights(members, piece, piece_docs), "region")
-        small = sized.where("fits").select(F.xxhash64("region", F.lit(salt)).alias("piece"), F.lit(0).alias("side"), "doc_id", "s")
+        small = sized.where("fits").select(F.xxhash64("region", F.lit(salt)).alias("piece"), F.lit(0).alias("side"), "doc_id")
         out = small if out is None else out.union(small)
-        large = materialise(sized.where("not fits"), "large")
+        large = materialise(sized.where("not fits").join(sets, "doc_id"), "large")
         if large.limit(1).count() == 0:
-            return out
-        inside = lambda cells, chosen, rows: rows.join(cells.join(chosen, "region", "left_semi"), ["region", "doc_id"]).select(F.col("cell").alias("region"), "doc_id", "s")
+            return out, read
+        inside = lambda cells, chosen, rows: rows.join(cells.join(chosen, "region", "left_semi"), ["region", "doc_id"]).select(F.col("cell").alias("region"), "doc_id", "w")
         by_cells = _by_cells(large, percent, salt)
         good = _worthwhile(large, by_cells)
         parts = inside(by_cells, good, large)
@@ -358,8 +362,10 @@ def _pieces(members: DataFrame, percent: int, piece: int, piece_docs: int, pivot
         by_pivots = materialise(_voronoi(rest, far, t), "cells")
         good = _worthwhile(rest, by_pivots)
         parts = parts.union(inside(by_pivots, good, rest))
-        out = out.union(_rings(rest.join(good, "region", "left_anti"), far, piece, piece_docs, t))
-        members = materialise(parts, "members")
+        out = out.union(materialise(_rings(rest.join(good, "region", "left_anti"), far, piece, piece_docs, t), "rings"))
+        members = materialise(parts.distinct(), "members")
+        read.append(members)
+        release(large)
 
 
 def jaccard_links(
@@ -373,7 +379,7 @@ def jaccard_links(
     Of documents with equal sets the smallest id stands for all.
     """
     keyed = materialise(keyed_documents(docs, n, percent, lower), "keyed")
-    rows = keyed.select("doc_id", "n_shingles", "set_key")
+    rows = materialise(keyed.select("doc_id", "n_shingles", "set_key"), "rows")
     met = (
         keyed.select("doc_id", F.explode("keys").alias("key"))
         .withColumn("first", F.min("doc_id").over(Window.partitionBy("key")))
@@ -392,17 +398,22 @@ def jaccard_links(
         .select(F.col("component").alias("region"), "doc_id", "set_key")
     )
     sets = materialise(sets, "sets")
+    release(keyed)
     several = sets.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region")
-    chosen = materialise(sets.join(several, "region", "left_semi").select("region", "doc_id"), "chosen")
+    chosen_ids = chosen = materialise(sets.join(several, "region", "left_semi").select("region", "doc_id"), "chosen")
     # a list of ids of checked size spares the texts a shuffle; a longer one is joined
     if chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = _shingled(chosen.join(texts, "doc_id"), n, lower).where("size(s) > 0")
     # rows that repeat an id: the set of the chosen one may come twice
-    members = materialise(members.groupBy("region", "doc_id", F.xxhash64("s").alias("h")).agg(F.first("s").alias("s")).drop("h"), "members")
-    pieces = _pieces(members, percent, piece, piece_docs, pivots_per_region)
-    return materialise(pieces.groupBy("piece").applyInArrow(_links_within(percent), "a long, b long").distinct(), "found"), rows
+    shingles = materialise(members.groupBy("region", "doc_id", F.xxhash64("s").alias("h")).agg(F.first("s").alias("s")).drop("h"), "members")
+    placed = shingles.select("region", "doc_id", F.size("s").alias("w"))
+    of_id = shingles.select("doc_id", "s")
+    pieces, read = _pieces(placed, of_id, percent, piece, piece_docs, pivots_per_region)
+    found = materialise(pieces.join(of_id, "doc_id").groupBy("piece").applyInArrow(_links_within(percent), "a long, b long").distinct(), "found")
+    release(shingles, chosen_ids, *read)
+    return found, rows
 
 
 def jaccard_components(docs: DataFrame, **options) -> DataFrame:

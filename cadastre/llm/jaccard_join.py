@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastre.llm.graph import connected_components
-from cadastre.llm.words import U, Words, blocks, mix, mix_int, shingle_sets
+from cadastre.llm.words import U, Words, blocks, mix, mix_int, shingle_sets, tidy
 from cadastre.session import materialise, release
 
 SEEDS = 3
@@ -174,7 +174,7 @@ def keyed_documents(docs: DataFrame, n: int, percent: int, lower: bool, fold: in
             yield _folded(ids, sizes, sets, keys)
 
     schema = "doc_id long, n_shingles long, set_key long, keys array<long>, peers array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def _shingled(members: DataFrame, n: int, lower: bool) -> DataFrame:
@@ -191,7 +191,7 @@ def _shingled(members: DataFrame, n: int, lower: bool) -> DataFrame:
                     names=["region", "doc_id", "s"],
                 )
 
-    return members.select("region", "doc_id", "text").mapInArrow(run, "region long, doc_id long, s array<long>")
+    return members.select("region", "doc_id", "text").mapInArrow(tidy(run), "region long, doc_id long, s array<long>")
 
 
 def _links_within(percent: int):
@@ -256,7 +256,7 @@ def _by_cells(large: DataFrame, percent: int, salt: int) -> DataFrame:
             values = pa.array(_signed(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("doc_id"), pa.ListArray.from_arrays(offsets, values)], names=["region", "doc_id", "keys"])
 
-    keyed = materialise(large.select("region", "doc_id", "s").mapInArrow(run, "region long, doc_id long, keys array<long>"), "keyed")
+    keyed = materialise(large.select("region", "doc_id", "s").mapInArrow(tidy(run), "region long, doc_id long, keys array<long>"), "keyed")
     rows = keyed.select("region", "doc_id", F.explode("keys").alias("key"))
     mark = lambda n: F.sum(F.xxhash64("doc_id", F.lit(n)).cast("decimal(20,0)"))
     groups = rows.groupBy("region", "key").agg(F.count("*").alias("n"), mark(1).alias("x"), mark(2).alias("y")).where("n > 1")

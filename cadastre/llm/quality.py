@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadastre.llm.words import U, Words, _LOWER, blocks, mix, span_hashes
+from cadastre.llm.words import U, Words, _LOWER, blocks, mix, span_hashes, tidy
 
 BITS = 18
 SHARDS = 8
@@ -147,7 +147,7 @@ def score(docs: DataFrame, weights: np.ndarray, out: str = "score") -> DataFrame
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return text.select(*(f"`{f.name}`" for f in schema)).mapInArrow(run, StructType([*schema, StructField(out, DoubleType())]))
+    return text.select(*(f"`{f.name}`" for f in schema)).mapInArrow(tidy(run), StructType([*schema, StructField(out, DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

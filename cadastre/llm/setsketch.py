@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastre.llm.graph import connected_components
-from cadastre.llm.words import U, Words, blocks, mix, mix_int, shingle_sets
+from cadastre.llm.words import U, Words, blocks, mix, mix_int, shingle_sets, tidy
 from cadastre.session import materialise
 
 M, BASE, RATE, Q = 256, 1.001, 20.0, 65534
@@ -168,7 +168,7 @@ def sketched(docs: DataFrame, n: int) -> DataFrame:
                 )
 
     schema = "doc_id long, n_shingles long, set_key long, lead long, registers binary, bands array<long>"
-    return _texts(docs).mapInArrow(run, schema)
+    return _texts(docs).mapInArrow(tidy(run), schema)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def _shingles(docs: DataFrame, ids: DataFrame, n: int, broadcast_bytes: int) ->
 
     if ids.count() * 8 <= broadcast_bytes:
         ids = F.broadcast(ids)
-    rows = _texts(docs).join(ids.select(F.col("rid").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "rid long, s array<long>")
+    rows = _texts(docs).join(ids.select(F.col("rid").alias("doc_id")), "doc_id", "left_semi").mapInArrow(tidy(run), "rid long, s array<long>")
     return materialise(rows.where("size(s) > 0"), "shingles")
 
 
@@ -209,7 +209,7 @@ def verified(pairs: DataFrame, reps: DataFrame, shingles: DataFrame, percent: in
     side = lambda x: reps.select(F.col("rid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
     close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(close)
-    likely = materialise(both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long").distinct(), "likely")
+    likely = materialise(both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(tidy(run), "a long, b long").distinct(), "likely")
     sets = lambda x: shingles.select(F.col("rid").alias(x), F.col("s").alias(f"s_{x}"))
     common = F.size(F.array_intersect("s_a", "s_b"))
     met = likely.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", common.alias("c"), (F.size("s_a") + F.size("s_b")).alias("n"))

@@ -10,6 +10,7 @@ depends on the word only, never on the batch.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
@@ -73,6 +74,25 @@ def blocks(batch: pa.RecordBatch, column: str, size: int = 1 << 20):
         begin = end
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker outlives its tasks, and what it keeps is missing to the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # a C library without it
+
+
+def tidy(run):
+    """A task over Arrow batches that gives back its memory at the end."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 class Words:
     """Words of a column: ``start`` and ``end`` in ``data``, and ``row`` they belong to."""
 

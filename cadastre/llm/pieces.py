@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadastre.llm.words import U, blocks, buffers, mix, mix_int, span_hashes
+from cadastre.llm.words import U, blocks, buffers, give_back, mix, mix_int, span_hashes
 
 BLANK = "▁"
 _built: dict[bytes, Lattice] = {}
@@ -102,10 +102,19 @@ class Lattice:
             ends[at] = i
             if len(p) > 1:
                 joined[list(p)] = True
-        self.step = np.zeros((len(nodes), 256), dtype=np.int32)
-        for at, kids in enumerate(nodes):
-            for b, k in kids.items():
-                self.step[at, b] = k
+        # rows for nodes that go on and columns for bytes in use only; row and column 0 lead nowhere
+        inner = [at for at, kids in enumerate(nodes) if kids]
+        self.row = np.zeros(len(nodes), dtype=np.int32)
+        self.row[inner] = np.arange(1, len(inner) + 1)
+        used = sorted({b for at in inner for b in nodes[at]})
+        self.column = np.zeros(256, dtype=np.int32)
+        self.column[used] = np.arange(1, len(used) + 1)
+        self.step = np.zeros((len(inner) + 1, len(used) + 1), dtype=np.int32)
+        for at in inner:
+            for b, k in nodes[at].items():
+                self.step[self.row[at], self.column[b]] = k
+        del nodes
+        give_back()
         self.ends = np.array(ends, dtype=np.int32)
         self.alone = ~joined
         self.alone[32] = False
@@ -145,7 +154,7 @@ class Lattice:
         froms, tos, ids = [], [], []
         where, state, k = np.flatnonzero(lead), np.zeros(int(lead.sum()), dtype=np.int32), 0
         while len(where):
-            state = self.step[state, body[where + k]]
+            state = self.step[self.row[state], self.column[body[where + k]]]
             ok = state > 0
             where, state = where[ok], state[ok]
             k += 1

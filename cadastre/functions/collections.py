@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cadastre.functions.validators import IPV4
+from cadastre.functions.validators import IPV4, ipv4_number
 
 # Settings that the platform manages itself, tier order, and special versions.
 MANAGED_SETTINGS = (
@@ -42,22 +38,64 @@ def hash_ipv4(text: Column) -> Column:
     return hash_key(F.when(text.rlike(IPV4), F.concat(text, F.lit("/32"))).otherwise(text))
 
 
-def canonical_ipv6(text: Column) -> Column:
-    """Shortest form of an IPv6 address; text that is no address stays."""
+def _with(value: Column, fn) -> Column:
+    """``fn(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _without_zeros(groups: Column) -> Column:
+    """Groups joined by colons; the first of the longest runs of two or more zero groups becomes ``::``."""
+    def shorten(text: Column) -> Column:
+        out = text
+        for zeros in range(2, 9):
+            pattern = r"^(?:((?:[0-9a-f]+:)*?[0-9a-f]+):)??0(?::0){%d}(?::(.*))?$" % (zeros - 1)
+            out = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, "$1::$2")).otherwise(out)
+        return out
+
+    return _with(F.array_join(groups, ":"), shorten)
+
+
+def _ipv6_groups(text: Column) -> Column:
+    """The eight groups of an IPv6 address, lower case and without leading zeros; null for other text."""
+    def expanded(halves: Column) -> Column:
+        left, right = (
+            F.when(F.coalesce(F.get(halves, F.lit(i)), F.lit("")) == "", F.array().cast("array<string>")).otherwise(
+                F.split(F.get(halves, F.lit(i)), ":")
+            )
+            for i in (0, 1)
+        )
+        lacking = F.lit(8) - F.size(left) - F.size(right)
+        fits = ((F.size(halves) == 1) & (lacking == 0)) | ((F.size(halves) == 2) & (lacking > 0))
+        return F.when(fits, F.concat(left, F.array_repeat(F.lit("0"), F.greatest(lacking, F.lit(0))), right))
+
+    # an IPv4 address at the end stands for the last two groups
+    tail = F.regexp_extract(text, "([^:]*)$", 1)
+    number = ipv4_number(tail)
+    last = F.format_string("%x:%x", F.floor(number / 65536).cast("long"), (number % 65536).cast("long"))
+    plain = F.when(~F.contains(tail, F.lit(".")), text).when(
+        number.isNotNull(), F.concat(F.substr(text, F.lit(1), F.length(text) - F.length(tail)), last)
+    )
+    return _with(
+        _with(F.split(plain, "::"), expanded),
+        lambda g: F.when(
+            F.forall(g, lambda x: x.rlike("^[0-9A-Fa-f]{1,4}$")),
+            F.transform(g, lambda x: F.lower(F.regexp_replace(x, "^0+(?=.)", ""))),
+        ),
+    )
 
-    @F.pandas_udf(T.StringType())
-    def shorten(addresses: pd.Series) -> pd.Series:
-        def one(address):
-            try:
-                parsed = ipaddress.ip_address(address)
-            except ValueError:
-                return address
-            mapped = getattr(parsed, "ipv4_mapped", None)
-            return str(mapped or parsed)
 
-        return addresses.map(one, na_action="ignore")
+def canonical_ipv6(text: Column) -> Column:
+    """Shortest form of an IPv6 address, dotted for a mapped IPv4 address; text that is no address stays.
+
+    An address with a zone is text of another kind and stays.
+    """
+    def shortest(groups: Column) -> Column:
+        mapped = F.slice(groups, 1, 6) == F.array(*(F.lit(x) for x in ("0", "0", "0", "0", "0", "ffff")))
+        high, low = (F.conv(F.get(groups, F.lit(i)), 16, 10).cast("int") for i in (6, 7))
+        dotted = F.format_string("%d.%d.%d.%d", F.shiftright(high, 8), high % 256, F.shiftright(low, 8), low % 256)
+        return F.when(mapped, dotted).when(groups.isNotNull(), _without_zeros(groups))
 
-    return shorten(text)
+    return F.coalesce(_with(_ipv6_groups(text), shortest), text)
 
 
 def hash_ipv6(text: Column) -> Column:

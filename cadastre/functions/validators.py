@@ -7,12 +7,10 @@ which is an error of its own, given by the caller.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from cadastre.functions.patterns import is_pattern
 
 # Patterns of the format and network rules.
 UUID = r"^[a-fA-F0-9]{8}-[a-fA-F0-9]{4}-[a-fA-F0-9]{4}-[a-fA-F0-9]{4}-[a-fA-F0-9]{12}$"
@@ -64,26 +62,6 @@ def _starts(value: Column, args: dict) -> Column:
     return out
 
 
-def _compiles(value: Column) -> Column:
-    """Whether each text is a regular expression; Spark has no test that does not raise.
-
-    The function is nested so that executors get it by value.
-    """
-
-    @F.pandas_udf(T.BooleanType())
-    def good(patterns: pd.Series) -> pd.Series:
-        def compiles(pattern) -> bool:
-            try:
-                re.compile(pattern)
-            except (re.error, TypeError):
-                return False
-            return True
-
-        return patterns.map(compiles).astype(bool)
-
-    return good(value)
-
-
 def ipv4_number(address: Column) -> Column:
     """IPv4 address as a number, null if it is none."""
     parts = F.split(address, "[.]")
@@ -156,7 +134,7 @@ RULES = {
     "uuid": _text(lambda v, a: v.rlike(UUID), "must be a UUID"),
     "json": _text(lambda v, a: F.try_parse_json(v).isNotNull(), "must be JSON"),
     "base64": _text(lambda v, a: (v != "") & v.rlike(BASE64), "must be base64"),
-    "regex": _text(lambda v, a: _compiles(v), "must be a regular expression"),
+    "regex": _text(lambda v, a: is_pattern(v), "must be a regular expression"),
     "email": _text(lambda v, a: v.rlike(EMAIL), "must be a valid email address"),
     "rfc3339": _text(lambda v, a: v.rlike(RFC3339) & F.try_to_timestamp(v).isNotNull(), "must be an RFC3339 time"),
     "weekday": _text(

@@ -42,7 +42,13 @@ def parsed_id(id_column: Column) -> Column:
         F.array_join(F.concat(F.array(provider), types), "/").alias("full_resource_type"),
         F.coalesce(F.try_element_at(names, F.size(types)), F.lit("")).alias("resource_name"),
         scope.alias("resource_scope"),
-        F.map_from_entries(F.filter(parents, lambda p: p["v"].isNotNull())).alias("parent_resources"),
+        # of several parents of one type the last counts
+        F.map_from_entries(
+            F.filter(
+                parents,
+                lambda p, i: p["v"].isNotNull() & ~F.exists(F.slice(parents, i + 2, F.size(parents)), lambda q: q["k"] == p["k"]),
+            )
+        ).alias("parent_resources"),
     )
 
 
@@ -204,12 +210,19 @@ def data_plane_ids(urls: DataFrame, item_type: str, require_version: bool = Fals
     )
 
 
+# a format text, given to a variable or a constant, or straight to the formatter
+TEMPLATE = r'(?m)^(?!\s*//).*?(?:=\s*|Sprintf\(\s*)"([^"\n]*%[a-z][^"\n]*)"'
+
+
 def template_catalogue(texts: DataFrame, column: str = "body") -> DataFrame:
-    """ID templates named in declaration texts, counted per provider namespace."""
-    template = F.regexp_extract(column, r'fmtString := "([^"]+)"', 1)
+    """ID templates named in declaration texts, counted per provider namespace.
+
+    Every format text of a declaration counts once, whatever its variable is called;
+    comments do not count.
+    """
+    template = F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(TEMPLATE), F.lit(1))))
     return (
         texts.select(template.alias("template"))
-        .where("template <> ''")
         .groupBy(F.regexp_extract("template", r"/providers/([^/]+)/", 1).alias("namespace"), "template")
         .agg(F.count("*").alias("uses"))
     )
@@ -240,10 +253,27 @@ def register_functions(spark: SparkSession, known: list[str]) -> None:
         "array_join(transform(split(id, '/'), (s, i) -> CASE WHEN i % 2 = 1 OR lower(get(split(id, '/'), i - 1)) = 'providers' "
         f"THEN coalesce(try_element_at(map({keys}), lower(s)), s) ELSE s END), '/')"
     )
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION parse_resource_id(id STRING) "
-        "RETURNS STRUCT<subscription_id: STRING, resource_group_name: STRING, resource_provider: STRING> RETURN "
-        "named_struct('subscription_id', regexp_extract(id, '(?i)^/subscriptions/([^/]*)', 1), "
-        "'resource_group_name', regexp_extract(id, '(?i)^/(?:subscriptions/[^/]*/)?resourceGroups/([^/]*)', 1), "
-        "'resource_provider', regexp_extract(id, '(?i)^.*/providers/([^/]+)', 1))"
-    )
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION parse_resource_id(id STRING) RETURNS {PARSED_TYPE} RETURN {_PARSED_SQL}")
+
+
+PARSED_TYPE = (
+    "STRUCT<subscription_id: STRING, resource_group_name: STRING, resource_provider: STRING, resource_type: STRING, "
+    "full_resource_type: STRING, resource_name: STRING, resource_scope: STRING, parent_resources: MAP<STRING, STRING>>"
+)
+# the fields of ``parsed_id`` as one SQL expression; the list of one binds the parts of the ID
+_PARSED_SQL = """transform(
+  transform(array(split(regexp_extract(id, '(?i)^.*/providers/[^/]+/(.+)$', 1), '/')), tail -> named_struct(
+    'provider', regexp_extract(id, '(?i)^.*/providers/([^/]+)', 1),
+    'types', filter(tail, (s, i) -> i % 2 = 0),
+    'names', filter(tail, (s, i) -> i % 2 = 1))),
+  p -> named_struct(
+    'subscription_id', regexp_extract(id, '(?i)^/subscriptions/([^/]*)', 1),
+    'resource_group_name', regexp_extract(id, '(?i)^/(?:subscriptions/[^/]*/)?resourceGroups/([^/]*)', 1),
+    'resource_provider', p.provider,
+    'resource_type', coalesce(try_element_at(p.types, -1), ''),
+    'full_resource_type', array_join(concat(array(p.provider), p.types), '/'),
+    'resource_name', coalesce(try_element_at(p.names, size(p.types)), ''),
+    'resource_scope', regexp_extract(id, '(?i)^(.*/providers/.*)/providers/[^/]+', 1),
+    'parent_resources', map_from_entries(filter(
+      transform(slice(p.names, 1, greatest(size(p.names) - 1, 0)), (n, i) -> struct(get(p.types, i) AS k, n AS v)),
+      (e, i) -> NOT exists(slice(p.types, i + 2, greatest(size(p.names) - 2 - i, 0)), t -> t = e.k)))))[0]"""

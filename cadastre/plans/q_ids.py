@@ -106,12 +106,20 @@ def normalise_resource_id(spark, sf):
 
 @query(
     "rid06_sql_functions",
-    IDS + "SELECT row_key, CASE WHEN lower(s[1]) = 'subscriptions' THEN s[2] ELSE '' END AS subscription_id FROM seg",
+    IDS + """SELECT row_key, CASE WHEN lower(s[1]) = 'subscriptions' THEN s[2] ELSE '' END AS subscription_id,
+  CASE WHEN lower(s[1]) = 'subscriptions' AND lower(s[3]) = 'resourcegroups' THEN s[4] WHEN lower(s[1]) = 'resourcegroups' THEN s[2] ELSE '' END AS resource_group_name,
+  CASE WHEN p > 0 THEN 'Sample.Org' ELSE '' END AS resource_provider,
+  CASE WHEN p = 0 OR len(s) < p + 2 THEN '' WHEN len(s) >= p + 4 THEN s[p + 4] ELSE 'customers' END AS resource_type,
+  CASE WHEN p = 0 THEN '/' WHEN len(s) < p + 2 THEN 'Sample.Org/' WHEN len(s) >= p + 4 THEN 'Sample.Org/customers/' || s[p + 4] ELSE 'Sample.Org/customers' END AS full_resource_type,
+  CASE WHEN p = 0 OR len(s) < p + 3 THEN '' WHEN len(s) >= p + 5 THEN s[p + 5] ELSE s[p + 3] END AS resource_name, '' AS resource_scope,
+  CASE WHEN p > 0 AND len(s) >= p + 5 THEN 'customers=' || s[p + 3] ELSE '' END AS parents
+FROM (SELECT *, coalesce(list_position(list_transform(s, lambda x: lower(x)), 'providers'), 0) AS p FROM seg)""",
 )
 def sql_functions(spark, sf):
     op.register_functions(spark, ["customers", "Sample.Org"])
     return spark.sql(
-        "SELECT row_key, parse_resource_id(normalise_resource_id(id)).subscription_id AS subscription_id FROM {ids}",
+        "SELECT row_key, p.* EXCEPT (parent_resources), array_join(transform(map_entries(p.parent_resources), e -> e.key || '=' || e.value), ',') AS parents "
+        "FROM (SELECT row_key, parse_resource_id(normalise_resource_id(id)) AS p FROM {ids})",
         ids=load(spark, sf, "resource_ids"),
     )
 
@@ -158,11 +166,15 @@ def data_plane_ids(spark, sf):
 
 @query(
     "rid10_template_catalogue",
-    "SELECT 'Sample.' || p_type AS namespace, '/subscriptions/%s/resourceGroups/%s/providers/Sample.' || p_type || '/' || replace(p_name, ' ', '') || '/%s' AS template, count(*) AS uses FROM part GROUP BY ALL",
+    """SELECT 'Sample.' || p_type AS namespace, (CASE WHEN p_size % 3 = 0 THEN '' ELSE '/subscriptions/%s/resourceGroups/%s' END) || '/providers/Sample.' || p_type || '/' || replace(p_name, ' ', '') || '/%s' AS template, count(*) AS uses
+FROM part WHERE p_size % 7 <> 0 GROUP BY ALL""",
 )
 def template_catalogue(spark, sf):
+    """Texts given to variables of two names, straight to the formatter, and in comments."""
     bodies = load(spark, sf, "part").selectExpr(
-        "'func (id X) ID() string {' || chr(10) || '  fmtString := \"/subscriptions/%s/resourceGroups/%s/providers/Sample.'"
+        "'func (id X) ID() string {' || chr(10) || CASE WHEN p_size % 7 = 0 THEN '  // fmtString := \"' WHEN p_size % 3 = 0 THEN '  xIdFmt := \"'"
+        " WHEN p_size % 3 = 1 THEN '  fmtString := \"' ELSE '  return fmt.Sprintf(\"' END"
+        " || CASE WHEN p_size % 3 = 0 THEN '' ELSE '/subscriptions/%s/resourceGroups/%s' END || '/providers/Sample.'"
         " || p_type || '/' || replace(p_name, ' ', '') || '/%s\"' || chr(10) || '}' AS body"
     )
     return op.template_catalogue(bodies)

@@ -11,6 +11,7 @@ from cadastre.functions import collections as c
 from cadastre.functions import compare as cmp
 from cadastre.functions import names
 from cadastre.functions import validators as v
+from cadastre.functions.patterns import is_pattern
 from cadastre.operators import collections as sets
 from cadastre.operators import ids, migrate, validate
 
@@ -196,3 +197,52 @@ def test_tiers_and_versions(spark):
 def test_duplicates_ignore_case(spark):
     rows = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "B", 3), (1, "A", 4), (2, "a", 1)], "p int, v string, o int")
     assert [tuple(r) for r in sets.first_duplicates(rows, "p", "v", "o").collect()] == [(1, 3, "B")]
+
+
+def test_ipv6_short_form_against_another_library(spark):
+    rng = random.Random(3)
+
+    def address():
+        groups = [rng.choice(["0", "0", "0000", "1", "00Ab", "ffff"]) for _ in range(8)]
+        if rng.random() < 0.5:
+            at, size = rng.randint(0, 6), rng.randint(1, 8)
+            groups[at : at + size] = [""]
+            text = ":".join(groups)
+            return (":" if text.startswith(":") else "") + text + (":" if text.endswith(":") else "")
+        return ":".join(groups)
+
+    texts = [address() for _ in range(300)] + [
+        "::", "::1", "1::", "::ffff:1.2.3.4", "::FFFF:0102:0304", "1:2:3:4:5:6:1.2.3.4", "::1.2.3", "1.2.3.4", "", "x", ":", ":::", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "12345::", "::256.1.1.1",
+    ]
+
+    def wanted(text):
+        try:
+            parsed = ipaddress.ip_address(text)
+        except ValueError:
+            return text
+        return str(getattr(parsed, "ipv4_mapped", None) or parsed)
+
+    rows = spark.createDataFrame(list(enumerate([*texts, None])), "i int, x string").select("i", c.canonical_ipv6(F.col("x")).alias("y"))
+    assert [r["y"] for r in rows.orderBy("i").collect()] == [*map(wanted, texts), None]
+
+
+def test_regular_expressions_of_the_linear_dialect(spark):
+    good = ["", "a+?b*", r"\z", r"\pL\p{Greek}\PN", "(?i)a", "(?P<x>a)(?<y>b)", "(?i:a)|b", "[[:alpha:]_-]", "[]a]", "[^]]", r"[\]\[]", r"\Q(\E", "a{2,3}", "a{,3}", "{", "^*", "()", r"\x{10FFFF}\x41", "a|", r"\.\-", "}"]
+    bad = ["(", ")", "a)(", "[a", "*", "a**", "a*+", "(?=a)", "(?!a)", "(?<=a)", r"(a)\1", "a{3,2}", "a{1001}", "[z-a]", "(?P<x>a)(?P<x>b)", "\\", r"\Z", r"\h", "|*", "(?i)*", "[[:nope:]]", None]
+    assert errors(spark, "regex", good) == [True] * len(good)
+    assert [r["g"] for r in spark.createDataFrame(list(enumerate(bad)), "i int, x string").select("i", is_pattern(F.col("x")).alias("g")).orderBy("i").collect()] == [False] * len(bad)
+
+
+def test_templates_whatever_holds_them(spark):
+    bodies = ['x := "/providers/A.B/c/%s"\nreturn fmt.Sprintf(x, r)', 'return fmt.Sprintf("%s/k/%s", a, b)', '// y := "/z/%s"\nz := "no template"', None]
+    got = ids.template_catalogue(spark.createDataFrame([(b,) for b in bodies], "body string")).collect()
+    assert {tuple(r) for r in got} == {("A.B", "/providers/A.B/c/%s", 1), ("", "%s/k/%s", 1)}
+
+
+def test_sql_function_gives_what_the_column_gives(spark):
+    texts = ["/subscriptions/s/resourceGroups/g/providers/P.Q/a/1/b/2/c/3", "/subscriptions/s/providers/P.Q/a/1/a/2/a/3", "/x/providers/P.Q/a/1/providers/R.S/b/2", "/providers/P.Q", "", "/a", None]
+    ids.register_functions(spark, [])
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, id string")
+    got = rows.select("i", F.expr("parse_resource_id(id)").alias("p"), ids.parsed_id(F.col("id")).alias("q")).orderBy("i").collect()
+    assert all(r["p"] == r["q"] for r in got)
+    assert got[1]["q"]["parent_resources"] == {"a": "2"} and got[0]["p"]["resource_name"] == "3"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadastre.functions.collections import LATEST, version_key
 from cadastre.functions.validators import CIDR, ipv4_number
+from cadastre.session import materialise
 
 TIERS = ("none", "core", "extended", "all")
 
@@ -71,11 +72,35 @@ def set_delta(old: DataFrame, new: DataFrame, ignore_case: bool = False) -> Data
     )
 
 
+def plan_positions(delta: DataFrame) -> DataFrame:
+    """Linked members (group, position, member, action), kept ones first, each group from 1.
+
+    The step that adds the member at a position links all members up to it, so the whole plan
+    is one row a member. Members are sorted into ranges, ranked inside a range, and the sizes of the
+    ranges before are added: a group of any size is ranked by many tasks.
+    """
+    linked = delta.where("action <> 'remove'").select("group", (F.col("action") == "add").alias("added"), "member", "action")
+    ranges = materialise(linked.repartitionByRange("group", "added", "member").withColumn("range", F.spark_partition_id()), "plan")
+    before = Window.partitionBy("group").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        ranges.groupBy("group", "range").agg(F.count("*").alias("n"))
+        .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .drop("n")
+    )
+    inside = Window.partitionBy("group", "range").orderBy("added", "member")
+    return (
+        ranges.withColumn("rank", F.row_number().over(inside))
+        .join(offsets, ["group", "range"])
+        .select("group", (F.col("offset") + F.col("rank")).alias("position"), "member", "action")
+    )
+
+
 def link_plan(delta: DataFrame) -> DataFrame:
     """One step per added member with all members linked so far, in member order.
 
     Kept members come first. The running list is the result itself, so a step is
-    as long as its group of linked members.
+    as long as its group of linked members; ``plan_positions`` gives the same plan in
+    one row a member, for groups of any size.
     """
     order = Window.partitionBy("group").orderBy(F.col("action") == "add", "member").rowsBetween(Window.unboundedPreceding, 0)
     return (
@@ -126,28 +151,40 @@ def cidr_bounds(rows: DataFrame, column: str = "cidr") -> DataFrame:
     )
 
 
-def cidr_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
+def cidr_overlaps(left: DataFrame, right: DataFrame, most: int = 100_000) -> DataFrame:
     """All pairs (l, r) of overlapping blocks from two columns ``cidr``.
 
     Two blocks overlap if and only if one holds the other. So every block is
-    listed under the networks that hold it, and looked up there by equality:
-    no range join, and no more than 33 keys per distinct block.
+    listed under the networks that hold it, as far as the other side has blocks of that length,
+    and looked up there by equality: no range join, and no more than 33 keys per distinct block. A
+    network that holds more than ``most`` blocks is dealt in parts, and the blocks of that very
+    network go to each part.
     """
     def blocks(df: DataFrame, name: str) -> DataFrame:
         found = cidr_bounds(df.select("cidr").distinct()).where("error IS NULL")
         return found.select(F.col("cidr").alias(name), "network", "bits")
 
-    def holders(df: DataFrame, name: str) -> DataFrame:
+    def holders(df: DataFrame, name: str, others: DataFrame) -> DataFrame:
         size = F.pow(F.lit(2), F.lit(32) - F.col("at")).cast("long")
-        return df.select(name, "network", F.col("bits").alias("own"), F.explode(F.sequence(F.lit(0), F.col("bits"))).alias("at")).select(
+        listed = df.select(name, "network", F.col("bits").alias("own"), F.explode(F.sequence(F.lit(0), F.col("bits"))).alias("at"))
+        # at most 33 lengths
+        lengths = F.broadcast(others.select(F.col("bits").alias("at")).distinct())
+        return listed.join(lengths, "at").select(
             name, (F.col("network") - F.col("network") % size).alias("network"), F.col("at").alias("bits"), "own"
         )
 
+    def meet(held: DataFrame, name: str, holding: DataFrame) -> DataFrame:
+        key = ["network", "bits"]
+        large = held.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > most)
+        parts = large.select(*key, F.ceil(F.col("n") / most).cast("int").alias("parts"))
+        one = F.coalesce("parts", F.lit(1))
+        dealt = held.join(parts, key, "left").withColumn("part", F.pmod(F.xxhash64(name), one).cast("int"))
+        copied = holding.join(parts, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), one - 1)))
+        return dealt.drop("parts").join(copied.drop("parts"), [*key, "part"]).select("l", "r")
+
     a, b = blocks(left, "l"), blocks(right, "r")
-    inside_right = holders(a, "l").join(b, ["network", "bits"]).select("l", "r")
-    # equal blocks were found above already
-    inside_left = holders(b, "r").where("bits < own").join(a, ["network", "bits"]).select("l", "r")
-    return inside_right.unionByName(inside_left)
+    # equal blocks are found on the first way
+    return meet(holders(a, "l", b), "l", b).unionByName(meet(holders(b, "r", a).where("bits < own"), "r", a))
 
 
 def semver_sort(rows: DataFrame, column: str) -> DataFrame:

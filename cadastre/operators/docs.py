@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastre.functions import pages as px
-from cadastre.session import materialise
+from cadastre.session import materialise, release, scratch_path
 
 # Section patterns (the last that matches wins) and expected headings.
 SECTION_PATTERNS = {
@@ -332,35 +332,68 @@ def possible_values_diff(rows: DataFrame, ignore_case: bool = False) -> DataFram
     )
 
 
+def _required_miss() -> Column:
+    said = F.coalesce("requirement", F.lit(""))
+    return (
+        F.when(F.col("required") & (said != "required"), "should_be_required")
+        .when(F.col("optional") & (said != "optional"), "should_be_optional")
+        .when(F.col("computed") & ~F.col("optional") & ~F.col("required") & (said != ""), "should_be_computed")
+    )
+
+
 def required_diff(pairs: DataFrame) -> DataFrame:
     """What the mark of a documented property should be, where it is not right.
 
     ``pairs`` has the schema's required/optional/computed and the page's
     ``requirement``. Inferred from the enum and the fixer.
     """
-    said = F.coalesce("requirement", F.lit(""))
-    miss = (
-        F.when(F.col("required") & (said != "required"), "should_be_required")
-        .when(F.col("optional") & (said != "optional"), "should_be_optional")
-        .when(F.col("computed") & ~F.col("optional") & ~F.col("required") & (said != ""), "should_be_computed")
-    )
-    return pairs.withColumn("miss", miss).where("miss IS NOT NULL")
+    return pairs.withColumn("miss", _required_miss()).where("miss IS NOT NULL")
+
+
+def _defaults() -> tuple[Column, Column]:
+    return F.coalesce("schema_default", F.lit("")), F.coalesce("page_default", F.lit(""))
 
 
 def default_diff(pairs: DataFrame) -> DataFrame:
     """Documented default against the schema's; an empty wanted value means there should be none."""
-    want, got = F.coalesce("schema_default", F.lit("")), F.coalesce("page_default", F.lit(""))
+    want, got = _defaults()
     return pairs.where(want != got).withColumn("default_value", want).withColumn("current_value", got)
 
 
+def _forces_new() -> tuple[Column, Column]:
+    return F.coalesce("schema_force_new", F.lit(False)), F.coalesce("page_force_new", F.lit(False))
+
+
 def force_new_diff(pairs: DataFrame) -> DataFrame:
     """Pages that should, or should not, say that a change forces a new resource."""
-    want, got = F.coalesce("schema_force_new", F.lit(False)), F.coalesce("page_force_new", F.lit(False))
+    want, got = _forces_new()
     return pairs.where(want != got).withColumn(
         "miss", F.when(want, "should_be_force_new").otherwise("should_be_not_force_new")
     )
 
 
+def pair_fixes(correct_name: Column) -> Column:
+    """The fixes (seq, kind, arg, arg2) of a documented property, as an array in their order.
+
+    Takes the columns of ``pairs`` (name, and those of the three diffs above); ``correct_name`` is the name
+    that was meant, null where ``name`` is right. All kinds come from one pass over the pairs.
+    """
+    (default, said), (forces, says) = _defaults(), _forces_new()
+
+    def fix(seq: int, kind: str, when: Column, arg: Column, arg2: Column | None = None) -> Column:
+        second = F.lit("") if arg2 is None else arg2
+        return F.when(when, F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), arg.alias("arg"), second.alias("arg2")))
+
+    return F.array_compact(
+        F.array(
+            fix(1, "required", _required_miss().isNotNull(), _required_miss()),
+            fix(2, "default", default != said, default),
+            fix(3, "force_new", forces != says, forces.cast("string")),
+            fix(4, "misspelling", correct_name.isNotNull(), F.col("name"), correct_name),
+        )
+    )
+
+
 def page_timeouts(lines: DataFrame) -> DataFrame:
     """Timeout in seconds per (page, action); the last line of an action counts."""
     rows = lines.select(
@@ -415,27 +448,75 @@ def duplicate_fields(fields: DataFrame) -> DataFrame:
     )
 
 
+def _on_ways(edges: DataFrame) -> DataFrame:
+    """Edges whose blocks all have a way in and a way out, written; others lie on no cycle."""
+    while True:
+        inner = edges.join(
+            edges.select("page", F.col("child").alias("block")).distinct(), ["page", "block"], "left_semi"
+        ).join(edges.select("page", F.col("block").alias("child")).distinct(), ["page", "child"], "left_semi")
+        kept = materialise(inner.select("page", "block", "child"), "blocks")
+        same = kept.count() == edges.count()
+        release(edges)
+        if same:
+            return kept
+        edges = kept
+
+
+def _least_origins(edges: DataFrame) -> DataFrame:
+    """The least block (label) that leads to each block (page, node), itself included; grown one edge a round."""
+    labels = materialise(
+        edges.select("page", F.col("block").alias("node")).distinct().withColumn("label", F.col("node")), "labels"
+    )
+    while True:
+        led = edges.join(labels.withColumnRenamed("node", "block"), ["page", "block"]).select(
+            "page", F.col("child").alias("node"), "label", F.lit(None).cast("string").alias("old")
+        )
+        grown = labels.withColumn("old", F.col("label")).unionByName(led).groupBy("page", "node").agg(
+            F.min("label").alias("label"), F.max("old").alias("old")
+        )
+        next_labels = materialise(grown, "labels")
+        release(labels)
+        if next_labels.where("label < old").isEmpty():
+            return next_labels.drop("old")
+        labels = _dropping(next_labels, "old")
+
+
+def _dropping(table: DataFrame, column: str) -> DataFrame:
+    """A written table without a column, still to be released."""
+    out = table.drop(column)
+    out._written = table._written
+    return out
+
+
 def circular_blocks(edges: DataFrame) -> DataFrame:
     """First block (least name) of each page that contains itself at any depth.
 
-    ``edges`` has (page, block, child). Grows the reach of each block one level
-    a round, each pair once, so cycles end by themselves.
+    ``edges`` has (page, block, child). Blocks without a way in or out go first, so pages
+    without a cycle are done with. Then each block takes the least block that leads to it: all
+    blocks of a cycle take the same, and a block that one of its followers takes is on a cycle, the
+    least of those it takes. Such followers go together, other origins go alone, and the rest is
+    looked through again. State is a row a block, never a pair of blocks.
     """
+    spark = edges.sparkSession
     edges = materialise(edges.select("page", "block", "child").distinct(), "blocks")
-    frontier = materialise(edges.withColumnRenamed("child", "node"), "blocks")
-    reach = frontier
+    folder, number = scratch_path(spark, "cycles"), 0
+    schema = edges.select("page", "block").schema
     while True:
-        grown = (
-            frontier.where("node <> block")
-            .join(edges.select("page", F.col("block").alias("node"), "child"), ["page", "node"])
-            .select("page", "block", F.col("child").alias("node"))
-            .distinct()
-            .join(reach, ["page", "block", "node"], "left_anti")
-        )
-        frontier = materialise(grown, "blocks")
-        if frontier.isEmpty():
-            return reach.where("node = block").groupBy("page").agg(F.min("block").alias("block"))
-        reach = reach.unionByName(frontier)
+        edges = _on_ways(edges)
+        labels = _least_origins(edges)
+        closing = edges.join(labels.withColumnRenamed("node", "block"), ["page", "block"]).where("label = child")
+        closing.select("page", F.col("child").alias("block")).distinct().write.parquet(f"{folder}/round={number}")
+        number += 1
+        if edges.isEmpty():
+            return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder).groupBy("page").agg(F.min("block").alias("block"))
+        cycles = spark.read.schema(schema).parquet(f"{folder}/round={number - 1}").withColumnRenamed("block", "label")
+        gone = labels.join(cycles, ["page", "label"], "left_semi").unionByName(labels.where("node = label").select("page", "label", "node"))
+        gone = gone.select("page", "node").distinct()
+        left = edges.join(gone.withColumnRenamed("node", "block"), ["page", "block"], "left_anti")
+        left = left.join(gone.withColumnRenamed("node", "child"), ["page", "child"], "left_anti")
+        rest = materialise(left.select("page", "block", "child"), "blocks")
+        release(edges)
+        edges = rest
 
 
 def missing_pages(resources: DataFrame, pages: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cadastre.session import materialise
+from cadastre.session import materialise, scratch_path
 
 # What an import line, a call, and a struct field look like.
 IMPORT_LINE = r'(?m)^[ \t(]*(?:([\w.]+)[ \t]+)?"([^"]+)"'
@@ -99,27 +100,29 @@ def reachability(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """Every node reached from the entry nodes, with its least depth.
 
     Breadth-first: each round joins the frontier to the edges and drops nodes
-    seen before, which is also the cycle guard. Edges and rounds are written to
-    the shared folder, so edges are derived once and a lost executor costs one
-    round at most.
+    seen before, which is also the cycle guard. Edges are written once, and the rounds to one
+    folder with a subfolder a depth, so the plan of a round is the same however many there were,
+    and a lost executor costs one round at most.
     """
+    spark = edges.sparkSession
     edges = materialise(edges.select("src", "dst").distinct(), "edges")
-    frontier = materialise(entries.select("node").distinct().withColumn("depth", F.lit(0)), "reach")
-    seen = frontier
+    folder = scratch_path(spark, "reach")
+    found = entries.select("node").distinct()
+    schema = T.StructType([*found.schema.fields, T.StructField("depth", T.IntegerType(), False)])
     depth = 0
     while True:
+        found.write.parquet(f"{folder}/depth={depth}")
+        frontier = spark.read.schema(found.schema).parquet(f"{folder}/depth={depth}")
+        seen = spark.read.schema(schema).parquet(folder)
+        if frontier.isEmpty():
+            return seen
         depth += 1
         found = (
             edges.join(frontier, edges.src == frontier.node)
             .select(F.col("dst").alias("node"))
             .distinct()
             .join(seen, "node", "left_anti")
-            .withColumn("depth", F.lit(depth))
         )
-        frontier = materialise(found, "reach")
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
 
 
 def _statements(body: Column) -> Column:

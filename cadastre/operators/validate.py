@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastre.functions.validators import NAME_RULES, UUID_V4, check
@@ -54,19 +54,52 @@ def violation_counts(violations: DataFrame) -> DataFrame:
     return violations.groupBy("column", "rule_id").agg(F.count("*").alias("violations"))
 
 
-def validate_names(rows: DataFrame, key: str) -> DataFrame:
-    """Check names (key, kind, name) by the rule set of their kind; kinds without a set pass."""
-    found = []
-    for kind, rules in NAME_RULES.items():
-        for number, (rule, args) in enumerate(rules, start=1):
-            error = check(rule, F.col("name"), "name", args)
-            found.append(
-                F.when(
-                    (F.col("kind") == kind) & error.isNotNull(),
-                    F.struct(F.lit(f"{kind}-{number}").alias("rule_id"), error.alias("message")),
-                )
-            )
-    return rows.select(key, "kind", F.inline(F.array_compact(F.array(*found))))
+NAME_RULE = "kind string, rule_id string, rule string, pattern string, least int, most int, message string"
+
+
+def name_rules(spark: SparkSession, rules: dict[str, list[tuple[str, dict]]] = NAME_RULES) -> DataFrame:
+    """The table of name rules, from rule lists by kind; any table of these columns serves as well."""
+    rows = []
+    for kind, listed in rules.items():
+        for number, (rule, args) in enumerate(listed, start=1):
+            pattern = args.get("pattern", args.get("chars"))
+            message = args.get("text") or NAME_MESSAGES[rule].format(**args)
+            rows.append((kind, f"{kind}-{number}", rule, pattern, args.get("min"), args.get("max"), message))
+    return spark.createDataFrame(rows, NAME_RULE)
+
+
+NAME_MESSAGES = {
+    "not_white_space": "must not be empty or white space",
+    "length_between": "must have a length from {min} to {max}",
+    "contains_none_of": "must not contain any of {chars}",
+    "match": "must match {pattern}",
+    "not_match": "must not match {pattern}",
+}
+
+
+def validate_names(rows: DataFrame, key: str, rules: DataFrame) -> DataFrame:
+    """Check names (key, kind, name) by the rules of their kind; kinds without rules pass, as do null names.
+
+    ``rules`` is a table as ``name_rules`` gives it: kind, rule_id, the rule (match, not_match,
+    not_white_space, length_between in bytes, contains_none_of), its pattern or characters, bounds and message.
+    A rule that is none of these breaks every name. The rules of a kind are gathered, so names are joined once
+    and never multiplied.
+    """
+    per_kind = rules.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("rule_id", "rule", "pattern", "least", "most", "message"))).alias("rules"))
+
+    def broken(rule: Column) -> Column:
+        name, pattern = F.col("name"), rule["pattern"]
+        passes = (
+            F.when(rule["rule"] == "match", F.rlike(name, pattern))
+            .when(rule["rule"] == "not_match", ~F.rlike(name, pattern))
+            .when(rule["rule"] == "not_white_space", name.rlike(r"\S"))
+            .when(rule["rule"] == "length_between", F.octet_length(name).between(rule["least"], rule["most"]))
+            .when(rule["rule"] == "contains_none_of", F.call_function("translate", name, pattern, F.lit("")) == name)
+        )
+        return name.isNotNull() & ~F.coalesce(passes, F.lit(False))
+
+    found = F.transform(F.filter("rules", broken), lambda r: F.struct(r["rule_id"].alias("rule_id"), F.concat(F.lit("name "), r["message"]).alias("message")))
+    return rows.select(key, "kind", "name").join(per_kind, "kind").select(key, "kind", F.inline(found))
 
 
 def validate_maps(

@@ -122,6 +122,14 @@ def link_plan(spark, sf):
     return op.link_plan(_delta(spark, sf)).withColumn("ids", F.array_join("ids", ","))
 
 
+@query(
+    "set08_plan_positions",
+    DELTA + """SELECT g AS "group", row_number() OVER (PARTITION BY g ORDER BY action = 'add', member) AS position, member, action FROM d WHERE action <> 'remove'""",
+)
+def plan_positions(spark, sf):
+    return op.plan_positions(_delta(spark, sf))
+
+
 @query(
     "set08_unlink_plan",
     DELTA + """SELECT r.g AS "group", k.id, r.member AS ids FROM d r JOIN (SELECT g, min(member) AS id FROM d WHERE action = 'keep' GROUP BY g) k USING (g) WHERE r.action = 'remove'""",

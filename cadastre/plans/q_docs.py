@@ -389,26 +389,46 @@ def sort_possible_values(spark, sf):
     return days.unionByName(other).select("k", px.values_text(F.col("vals")).alias("shown"))
 
 
+def _stopped(text: str) -> str:
+    """SQL of a line that ends with a full stop."""
+    return f"CASE WHEN regexp_replace({text}, ' $', '') <> '' AND NOT regexp_matches(regexp_replace({text}, ' $', ''), '[.?]$') THEN regexp_replace({text}, ' $', '') || '.' ELSE {text} END"
+
+
+_VALUE = "CASE WHEN want > 3600 AND want % 3600 = 0 THEN (want // 3600) || ' hours' WHEN want // 60 > 1 THEN (want // 60) || ' minutes' ELSE (want // 60) || ' minute' END"
+
+
 @query(
     "doc22_fix_lines",
-    PAIRS.rstrip() + f""",
-fixed AS (SELECT page, line_no, CASE WHEN NOT schema_force_new AND page_force_new THEN regexp_replace(a, {q(px.FORCE_NEW)}, '', 'g') ELSE a END AS b
-  FROM (SELECT *, CASE WHEN miss = 'should_be_computed' THEN regexp_replace(regexp_replace(text, ' \\(Required\\) ', ' '), ' \\(Optional\\) ', ' ')
-   WHEN miss = 'should_be_required' THEN CASE WHEN contains(text, '(Optional)') THEN regexp_replace(text, '\\(Optional\\)', '(Required)') ELSE regexp_replace(text, ' - ', ' - (Required) ') END
-   WHEN miss = 'should_be_optional' THEN CASE WHEN contains(text, '(Required)') THEN regexp_replace(text, '\\(Required\\)', '(Optional)') ELSE regexp_replace(text, ' - ', ' - (Optional) ') END ELSE text END AS a0,
-   CASE WHEN miss IS NULL THEN a0 WHEN regexp_matches(regexp_replace(a0, ' $', ''), '[.?]$') OR a0 = '' THEN a0 ELSE regexp_replace(a0, ' $', '') || '.' END AS a FROM req))
-SELECT l.page, l.line_no, coalesce(CASE WHEN f.b IS NULL OR regexp_matches(regexp_replace(f.b, ' $', ''), '[.?]$') OR NOT EXISTS (SELECT 1 FROM req r WHERE r.page = l.page AND r.line_no = l.line_no AND (r.miss IS NOT NULL OR (r.page_force_new AND NOT r.schema_force_new)))
-   THEN f.b ELSE regexp_replace(f.b, ' $', '') || '.' END, l.text) AS text FROM page_lines l LEFT JOIN fixed f USING (page, line_no)""",
+    PAIRS.rstrip() + ", " + TIMEOUTS.removeprefix(LINES.rstrip()).strip().removeprefix(",").strip() + ", w AS (" + _WANTED.replace("{documents}", "documents") + f"""),
+g0 AS (SELECT page, line_no, {_VALUE} AS t FROM w JOIN touts USING (page, action) WHERE seconds <> want),
+g1 AS (SELECT l.page, l.line_no, CASE WHEN t IS NULL THEN l.text ELSE regexp_replace(l.text, '[0-9]+ (hours?|minutes?)', t) END AS x FROM page_lines l LEFT JOIN g0 USING (page, line_no)),
+g2 AS (SELECT g1.*, r.name, r.miss, r.schema_default, r.page_default, r.page_force_new, r.schema_force_new, CASE WHEN miss IS NULL THEN x
+   WHEN miss = 'should_be_computed' THEN regexp_replace(regexp_replace(x, ' \\(Required\\) ', ' '), ' \\(Optional\\) ', ' ')
+   WHEN miss = 'should_be_required' THEN CASE WHEN contains(x, '(Optional)') THEN regexp_replace(x, '\\(Optional\\)', '(Required)') ELSE regexp_replace(x, ' - ', ' - (Required) ') END
+   ELSE CASE WHEN contains(x, '(Required)') THEN regexp_replace(x, '\\(Required\\)', '(Optional)') ELSE regexp_replace(x, ' - ', ' - (Optional) ') END END AS y FROM g1 LEFT JOIN req r USING (page, line_no)),
+g3 AS (SELECT * REPLACE (CASE WHEN miss IS NULL THEN y ELSE {_stopped('y')} END AS y) FROM g2),
+g4 AS (SELECT *, name IS NOT NULL AND coalesce(schema_default, '') <> page_default AS dd,
+   CASE WHEN regexp_matches(y, {q(px.DEFAULT)}) THEN CASE WHEN schema_default IS NULL THEN replace(y, regexp_extract(y, {q(px.DEFAULT)}, 0), left(regexp_extract(y, {q(px.DEFAULT)}, 0), 1))
+          ELSE replace(y, regexp_extract(y, {q(px.DEFAULT)}, 1), '`' || schema_default || '`') END
+     WHEN schema_default IS NOT NULL THEN trim(y) || ' Defaults to `' || schema_default || '`.' ELSE y END AS z FROM g3),
+g5 AS (SELECT *, CASE WHEN dd THEN {_stopped('z')} ELSE y END AS u FROM g4),
+g6 AS (SELECT *, CASE WHEN page_force_new AND NOT schema_force_new THEN regexp_replace(u, {q(px.FORCE_NEW)}, '', 'g')
+   ELSE CASE WHEN suffix(rtrim(u), ',') THEN left(rtrim(u), length(rtrim(u)) - 1) || '.' WHEN suffix(rtrim(u), '.') THEN rtrim(u) ELSE rtrim(u) || '.' END || ' Changing this forces a new resource to be created.' END AS v FROM g5),
+g7 AS (SELECT *, CASE WHEN name IS NOT NULL AND page_force_new <> schema_force_new THEN {_stopped('v')} ELSE u END AS m FROM g6),
+g8 AS (SELECT *, replace(m, '`' || name || '`', '`' || name || '_id`') AS n FROM g7)
+SELECT page, line_no, CASE WHEN name IS NOT NULL AND line_no % 7 = 0 THEN {_stopped('n')} ELSE m END AS text FROM g8""",
 )
 def fix_lines(spark, sf):
-    pairs = _pairs(spark, sf)
-    required = op.required_diff(pairs).selectExpr("page", "line_no", "1 AS seq", "'required' AS kind", "miss AS arg", "'' AS arg2")
-    force_new = (
-        op.force_new_diff(pairs)
-        .where("miss = 'should_be_not_force_new'")
-        .selectExpr("page", "line_no", "2 AS seq", "'force_new' AS kind", "'false' AS arg", "'' AS arg2")
-    )
-    return op.fix_lines(_lines(spark, sf), required.unionByName(force_new))
+    """All five kinds of fix; a timeout is mended first."""
+    pairs, lines = _pairs(spark, sf), _lines(spark, sf)
+    wanted = spark.sql(_WANTED, documents=load(spark, sf, "documents"))
+    timeouts = op.timeout_diff(wanted, op.page_timeouts(lines)).where("line_no IS NOT NULL")
+    fixes = [
+        timeouts.selectExpr("page", "line_no", "0 AS seq", "'timeout' AS kind", "CAST(want AS STRING) AS arg", "'' AS arg2"),
+        # the kinds of one pair, in one pass over the pairs
+        pairs.select("page", "line_no", F.inline(op.pair_fixes(F.when(F.col("line_no") % 7 == 0, F.concat("name", F.lit("_id")))))),
+    ]
+    return op.fix_lines(lines, fixes[0].unionByName(fixes[1]))
 
 
 @query(

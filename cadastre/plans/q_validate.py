@@ -214,7 +214,8 @@ UNION ALL SELECT row_key, kind, 'storage_account-1' FROM x WHERE kind = 'storage
 UNION ALL SELECT row_key, kind, 'image_version-1' FROM x WHERE kind = 'image_version' AND name <> '1.2.3'""",
 )
 def name_rule_catalogue(spark, sf):
-    return op.validate_names(spark.sql(_NAMES, customer=load(spark, sf, "customer")), "row_key").select("row_key", "kind", "rule_id")
+    names = spark.sql(_NAMES, customer=load(spark, sf, "customer"))
+    return op.validate_names(names, "row_key", op.name_rules(spark)).select("row_key", "kind", "rule_id")
 
 
 @query(

@@ -257,3 +257,32 @@ def test_changelog_ranks_over_segments(spark):
     entries = spark.createDataFrame(rows, "log int, line_no int, section string, text string")
     small = {tuple(r) for r in docs.changelog_group(entries, "log", segment=3).collect()}
     assert small == {tuple(r) for r in docs.changelog_group(entries, "log").collect()} and len(small) == 40
+
+
+def test_circular_blocks_against_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(f"p{p}", f"b{rng.randint(0, 7)}", f"b{rng.randint(0, 7)}") for p in range(40) for _ in range(rng.randint(1, 11))]
+    # a long chain from a cycle into another of lesser names
+    rows += [("q", "y", "z"), ("q", "z", "y"), ("q", "z", "x"), ("q", "x", "c"), ("q", "c", "b"), ("q", "b", "c")]
+    want = {}
+    for page in {r[0] for r in rows}:
+        follow = {}
+        for p, a, b in rows:
+            if p == page:
+                follow.setdefault(a, set()).add(b)
+
+        def reached(block, follow=follow):
+            seen, todo = set(), [block]
+            while todo:
+                for child in follow.get(todo.pop(), ()):
+                    if child not in seen:
+                        seen.add(child)
+                        todo.append(child)
+            return seen
+
+        cyclic = [b for b in follow if b in reached(b)]
+        if cyclic:
+            want[page] = min(cyclic)
+    got = docs.circular_blocks(spark.createDataFrame(rows, "page string, block string, child string")).collect()
+    assert {r["page"]: r["block"] for r in got} == want and len(got) == len(want)
+    assert docs.circular_blocks(spark.createDataFrame([], "page string, block string, child string")).count() == 0

@@ -246,3 +246,35 @@ def test_sql_function_gives_what_the_column_gives(spark):
     got = rows.select("i", F.expr("parse_resource_id(id)").alias("p"), ids.parsed_id(F.col("id")).alias("q")).orderBy("i").collect()
     assert all(r["p"] == r["q"] for r in got)
     assert got[1]["q"]["parent_resources"] == {"a": "2"} and got[0]["p"]["resource_name"] == "3"
+
+
+def test_cidr_overlaps_with_a_network_that_holds_all(spark):
+    left = [f"10.{i}.0.{j}/{b}" for i in range(12) for j, b in ((1, 32), (2, 16), (0, 0))]
+    right = ["0.0.0.0/0", "9.9.9.9/0", "10.3.0.0/16", "10.0.0.0/8", "11.0.0.0/8"]
+    frames = [spark.createDataFrame([(x,) for x in side], "cidr string") for side in (left, right)]
+    net = lambda t: ipaddress.ip_network(t, strict=False)
+    want = sorted((a, b) for a in set(left) for b in right if net(a).overlaps(net(b)))
+    assert sorted(tuple(r) for r in sets.cidr_overlaps(*frames, most=3).collect()) == want
+
+
+def test_plan_positions(spark):
+    rows = [("g", f"m{i:03}", ("add", "keep", "remove")[i % 3]) for i in range(200)] + [("h", "x", "add"), ("i", "x", "remove")]
+    got = sets.plan_positions(spark.createDataFrame(rows, "group string, member string, action string")).collect()
+    want = {}
+    for group in "gh":
+        linked = sorted((a == "add", m) for g, m, a in rows if g == group and a != "remove")
+        want |= {(group, i): m for i, (_, m) in enumerate(linked, start=1)}
+    assert {(r["group"], r["position"]): r["member"] for r in got} == want and len(got) == len(want)
+
+
+def test_name_rules_of_the_user(spark):
+    rules = spark.createDataFrame(
+        [("a", "r1", "match", "^x", None, None, "must start with x"), ("a", "r2", "length_between", None, 2, 3, "too long"), ("a", "r3", "contains_none_of", "/]", None, None, "odd"),
+         ("a", "r4", "not_match", "y$", None, None, "end"), ("a", "r5", "not_white_space", None, None, None, "blank"), ("b", "r6", "unknown", None, None, None, "?")],
+        validate.NAME_RULE,
+    )
+    names = spark.createDataFrame([(1, "a", "xab"), (2, "a", "q/]y"), (3, "a", " "), (4, "a", None), (5, "b", "z"), (6, "c", "z"), (7, None, "z")], "k int, kind string, name string")
+    got = {}
+    for r in validate.validate_names(names, "k", rules).collect():
+        got.setdefault(r["k"], set()).add(r["rule_id"])
+    assert got == {2: {"r1", "r2", "r3", "r4"}, 3: {"r1", "r2", "r5"}, 5: {"r6"}}

@@ -39,7 +39,8 @@ class Mix:
     """What a mix consists of.
 
     ``sources``: k, source_size, target; ``slots``: slot, k, rank, first, n (words of the
-    stream); ``taken``: doc_id, k, size, tie, taken, one row for each document.
+    stream); ``taken``: doc_id, k, size, tie, taken, first_slot, n_slots, one row for each document: the
+    words that its slots take, the first of these slots (null: none) and their number.
     """
 
     sources: DataFrame
@@ -97,8 +98,11 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
     ranked = running(drawn, ["k"], F.col("slot") / scale, [F.col("slot")], F.lit(1), total, "rank")
     known = materialise(ranked.select("slot", "k", "rank"), "slots")
     got = needs.join(known.groupBy("k").agg(F.count("*").alias("got")), "k", "left").withColumn("got", F.coalesce("got", F.lit(0)))
-    missing = got.where("got < need").select(F.lit(total).alias("slot"), "k", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("rank"))
-    missing = missing.withColumn("slot", F.col("slot") + F.col("rank"))
+    # the appended slots go on where the schedule ends, source after source
+    short = got.where("got < need").withColumn("lack", F.col("need") - F.col("got"))
+    short = short.withColumn("begin", F.lit(total) + F.sum("lack").over(order) - F.col("lack"))
+    missing = short.select("begin", "got", "k", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("rank"))
+    missing = missing.select((F.col("begin") + F.col("rank") - F.col("got")).alias("slot"), "k", "rank")
     first = F.col("rank") * block
     return (
         known.union(missing).join(needs, "k").where("rank < need")
@@ -114,7 +118,8 @@ def mix(
     count = rows.count()
     sources = materialise(targets(rows, weights, share, most), "sources")
     slots = materialise(schedule(sources, block), "slots")
-    h = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed))
+    # rows of one id, or without, are spread by their size and text
+    h = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "size", "tie", F.lit(seed))
     stream = running(rows.where("size > 0"), ["k"], unit(h), [F.col("doc_id"), F.col("size"), F.col("tie")], F.col("size"), count, "begin")
     stream = materialise(stream.select("doc_id", "k", "size", "tie", "begin"), "stream")
     passes = (
@@ -126,9 +131,16 @@ def mix(
         .select("k", "begin", "at", "size", "rank")
     )
     overlap = F.least(F.col("at") + F.col("size"), F.col("first") + F.col("n")) - F.greatest("at", "first")
-    taken = passes.join(slots.select("k", "rank", "first", "n"), ["k", "rank"]).groupBy("k", "begin").agg(F.sum(F.greatest(overlap, F.lit(0).cast("long"))).alias("taken"))
-    out = stream.join(taken, ["k", "begin"], "left").select("doc_id", "k", "size", "tie", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    none = rows.where("size = 0").select("doc_id", "k", "size", "tie", F.lit(0).cast("long").alias("taken"))
+    met = passes.join(slots.select("slot", "k", "rank", "first", "n"), ["k", "rank"]).withColumn("words", overlap).where("words > 0")
+    # each slot of each pass that takes words of the document
+    taken = met.groupBy("k", "begin").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_slots"))
+    no = F.lit(0).cast("long")
+    out = stream.join(taken, ["k", "begin"], "left").select(
+        "doc_id", "k", "size", "tie", F.coalesce("taken", no).cast("long").alias("taken"), "first_slot", F.coalesce("n_slots", no).alias("n_slots")
+    )
+    none = rows.where("size = 0").select(
+        "doc_id", "k", "size", "tie", no.alias("taken"), F.lit(None).cast("long").alias("first_slot"), no.alias("n_slots")
+    )
     return Mix(sources, slots, out.union(none))
 
 

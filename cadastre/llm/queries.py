@@ -41,9 +41,9 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document."""
+    """Words that the mix takes of every document, and where in its order: the first slot and the number of slots."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
-    return mixed.taken.join(mixed.sources, "k").select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.taken.join(mixed.sources, "k").select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 @_query

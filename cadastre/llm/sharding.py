@@ -1,7 +1,7 @@
 """Sharding by balanced label propagation: documents move towards the shards of those they are linked with.
 
 Documents of equal text are linked. They are interchangeable, so the propagation runs on
-one row a text: how many of its documents each shard holds. A round lets every text ask
+one row a text: how many of its documents each shard holds. Texts begin laid end to end over the shards. A round lets every text ask
 to move its smaller parts to the open shard that holds most of it; requests are summed per
 pair of shards, and the quota of a pair is what comes back the other way: requests first,
 then documents without a link. A part in a full shard may also follow a smaller part out of
@@ -20,6 +20,8 @@ columns are not read.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,22 +29,24 @@ from cadastre.llm.ranks import running, unit
 from cadastre.session import materialise
 
 
-def _even(position: Column, n: Column, shards: int) -> Column:
-    """Per shard how many of n documents from a position on it gets, dealt in turn."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(shards - 1)),
-        lambda j: (F.floor((position + n - 1 - j) / shards) - F.floor((position - 1 - j) / shards)).cast("long"),
-    )
+def _stretch(begin: Column, n: Column, ends: list[int]) -> Column:
+    """Per shard how many of n documents from a position on it gets, the shards filled one after another."""
+    bounds = zip([0, *ends[:-1]], ends)
+    none = F.lit(0).cast("long")
+    return F.array(*(F.greatest(F.least(begin + n, F.lit(high)) - F.greatest(begin, F.lit(low)), none).cast("long") for low, high in bounds))
+
 
+def _quotas(wants: dict[tuple[int, int], int], free: list[int], exchange: bool = True) -> dict[tuple[int, int], int]:
+    """What each pair of shards may move so that counts stay; ``free`` changes along.
 
-def _quotas(wants: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[int, int], int]:
-    """What each pair of shards may move so that counts stay; ``free`` changes along."""
+    Without ``exchange`` a move counts on documents without a link only, not on what is asked for the other way.
+    """
     allowed = {}
     shards = range(len(free))
     for a in shards:
         for b in range(a + 1, len(free)):
             ab, ba = wants.get((a, b), 0), wants.get((b, a), 0)
-            both = min(ab, ba)
+            both = min(ab, ba) if exchange else 0
             for x, y, more in ((a, b, ab - both), (b, a, ba - both)):
                 swap = min(more, free[y])
                 free[y] -= swap
@@ -56,11 +60,17 @@ def _sums(moves: DataFrame, amount: str) -> dict[tuple[int, int], int]:
     return {(r["from"], r["to"]): r.n for r in moves.groupBy("from", "to").agg(F.sum(amount).alias("n")).collect()}
 
 
-def propagate(groups: DataFrame, shards: int, total: int, free: list[int], rounds: int) -> tuple[DataFrame, list[int]]:
-    """``(g1, g2, parts)`` after the rounds, and the unlinked documents of each shard."""
+def propagate(groups: DataFrame, shards: int, total: int, free: list[int]) -> tuple[DataFrame, list[int]]:
+    """``(g1, g2, parts)`` when nothing moves any more, and the unlinked documents of each shard.
+
+    Every move brings a part to one that is at least as large, or a part as a whole to another: the sum of the
+    squares of all parts rises with each, so the rounds end.
+    """
     spark = groups.sparkSession
-    state, whole = groups, False
-    for _ in range(rounds):
+    # the ways to move, tried one after another until one moves something: any part to a larger one; parts as a whole; such against free documents only
+    state, way = groups, 0
+    while way < 3:
+        whole = way > 0
         open_now = [j for j in range(shards) if free[j] > 0] or list(range(shards))
         open_shards = F.array(*(F.lit(j) for j in open_now))
         best = F.array_max(F.transform(open_shards, lambda j: F.struct(F.get("parts", j).alias("n"), (-j).alias("j"))))
@@ -77,23 +87,22 @@ def propagate(groups: DataFrame, shards: int, total: int, free: list[int], round
         asks = materialise(asks.select("g1", "g2", "from", "to", "m"), "asks")
         wants = _sums(asks, "m")
         left = list(free)
-        allowed = {k: v for k, v in _quotas(wants, left).items() if v > 0}
+        allowed = {k: v for k, v in _quotas(wants, left, way < 2).items() if v > 0}
         if not allowed:
-            if whole:
-                break
-            whole = True
+            way += 1
             continue
         quota = spark.createDataFrame([(a, b, n) for (a, b), n in allowed.items()], "from int, to int, quota long")
         served = running(asks, ["from", "to"], unit(F.xxhash64("g1", "g2")), [F.col("g1"), F.col("g2")], F.col("m"), total, "before").join(quota, ["from", "to"])
         moved = served.withColumn("x", F.least(F.col("m"), F.col("quota") - F.col("before"))).where("x = m" if whole else "x > 0")
         moved = materialise(moved.select("g1", "g2", "from", "to", "x"), "moved")
-        after = list(free)
-        for (x, y), n in _sums(moved, "x").items():
+        after, done = list(free), _sums(moved, "x")
+        for (x, y), n in done.items():
             after[x] += n
             after[y] -= n
-        if min(after) < 0:
-            break  # parts that had to go whole found no room, and what was to go against them is too much
-        free, whole = after, False
+        if not done or min(after) < 0:
+            way += 1  # parts that had to go whole found no room, and what was to go against them is too much
+            continue
+        free, way = after, 0
         change = moved.groupBy("g1", "g2").agg(F.collect_list(F.struct("from", "to", "x")).alias("moves"))  # at most one a shard
         state = materialise(
             state.join(change, ["g1", "g2"], "left").select(
@@ -108,7 +117,7 @@ def propagate(groups: DataFrame, shards: int, total: int, free: list[int], round
     return state, free
 
 
-def shard(docs: DataFrame, shards: int = 8, rounds: int = 12) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.col("text").cast("string")
     rows = materialise(
@@ -125,11 +134,13 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 12) -> DataFrame:
     counts = materialise(rows.groupBy("g1", "g2").agg(F.count("*").alias("n")), "counts")
     linked = counts.where("n > 1")
     placed = running(linked, [], unit(F.xxhash64("g1", "g2")), [F.col("g1"), F.col("g2")], F.col("n"), max(total, 1), "p")
-    start = materialise(placed.select("g1", "g2", _even(F.col("p"), F.col("n"), shards).alias("parts")), "parts")
     n_linked = linked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # texts are laid end to end over even shares of the shards, so that a text is cut at a bound only
+    share = [(n_linked - 1 - j) // shards + 1 for j in range(shards)]
+    start = materialise(placed.select("g1", "g2", _stretch(F.col("p"), F.col("n"), list(accumulate(share))).alias("parts")), "parts")
     # the unlinked go on where the linked end, in turn
-    free = [(total - 1 - j) // shards - (n_linked - 1 - j) // shards for j in range(shards)]
-    parts, free = propagate(start, shards, total, free, rounds)
+    free = [(total - 1 - j) // shards + 1 - share[j] for j in range(shards)]
+    parts, free = propagate(start, shards, total, free)
     single = F.col("n") == 1
     known = (
         rows.join(counts, ["g1", "g2"]).join(parts, ["g1", "g2"], "left")
@@ -137,7 +148,8 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 12) -> DataFrame:
         .withColumn("g1", F.when(single, 0).otherwise(F.col("g1"))).withColumn("g2", F.when(single, 0).otherwise(F.col("g2")))
         .withColumn("single", single)
     )
-    h = unit(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(3)))
+    # rows of one id, or without, are spread by their text
+    h = unit(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text_crc32", "size", F.lit(3)))
     tie = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     ranked = running(known, ["single", "g1", "g2"], h, tie, F.lit(1), total, "r")
     ends = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda j: F.aggregate(F.slice("parts", 1, j), F.lit(0).cast("long"), lambda s, x: s + x))

@@ -18,6 +18,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,11 @@ _SMALL[97:123] = _SMALL[128:] = True
 
 
 class Texts:
-    """A column of texts with what the rules measure; each measure is of chosen rows only."""
+    """A column of texts with what the rules measure.
+
+    What is returned of every row (word_chars, symbols, lines) is measured once and read by the rules; what only
+    rules need (words without a kind of byte) is of chosen rows only.
+    """
 
     def __init__(self, column: pa.Array):
         self.words = Words(column)
@@ -51,10 +56,11 @@ class Texts:
         begin = np.repeat(self.words.first[:-1][rows] - np.concatenate(([0], np.cumsum(count)[:-1])) if len(rows) else np.zeros(0, dtype=np.int64), count)
         return np.arange(len(owner)) + begin, owner
 
-    def bytes_in_rows(self, kind: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Bytes of a kind in each whole text."""
+    @cached_property
+    def symbols(self) -> np.ndarray:
+        """Symbols in each whole text."""
         at, data = self.words.at, self.words.data
-        return np.array([int(np.count_nonzero(kind[data[at[r] : at[r + 1]]])) for r in rows.tolist()], dtype=np.int64)
+        return np.array([int(np.count_nonzero(_SYMBOL[data[at[r] : at[r + 1]]])) for r in range(self.words.n_rows)], dtype=np.int64)
 
     def words_without(self, kind: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Words of each row that hold no byte of a kind."""
@@ -68,6 +74,7 @@ class Texts:
             out += np.bincount(owner[none], minlength=len(rows))
         return out
 
+    @cached_property
     def word_chars(self) -> np.ndarray:
         """Code points in the words of every row."""
         w = self.words
@@ -77,6 +84,7 @@ class Texts:
         each = np.concatenate(([0], np.cumsum(sums[w.end] - sums[w.start])))
         return each[w.first[1:]] - each[w.first[:-1]]
 
+    @cached_property
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         """Per row its lines with a word, and those equal to an earlier one."""
         w = self.words
@@ -129,16 +137,16 @@ class Rule:
 
 
 def _lines_repeat(texts: Texts, rows: np.ndarray) -> np.ndarray:
-    n, again = texts.lines()
+    n, again = texts.lines
     return 100 * again[rows] > 50 * n[rows]
 
 
 RULES = (
-    Rule("symbols", lambda t, rows: 100 * t.bytes_in_rows(_SYMBOL, rows) > 25 * t.n_words[rows]),
+    Rule("symbols", lambda t, rows: 100 * t.symbols[rows] > 25 * t.n_words[rows]),
     Rule("letters", lambda t, rows: 100 * t.words_without(_LETTER, rows) > 35 * t.n_words[rows]),
     Rule("shouting", lambda t, rows: 100 * t.words_without(_SMALL, rows) > 50 * t.n_words[rows]),
     Rule("lines", _lines_repeat),
-    Rule("word_length", lambda t, rows: (t.word_chars()[rows] < 2 * t.n_words[rows]) | (t.word_chars()[rows] > 15 * t.n_words[rows])),
+    Rule("word_length", lambda t, rows: (t.word_chars[rows] < 2 * t.n_words[rows]) | (t.word_chars[rows] > 15 * t.n_words[rows])),
 )
 
 
@@ -156,6 +164,8 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int =
             for part in blocks(batch, "text"):
                 texts = Texts(part.column("text"))
                 rows = np.flatnonzero(texts.n_words > 0)
+                # measured for every text anyway, so no cost of a rule
+                _ = texts.symbols, texts.word_chars, texts.lines
                 times, hits = [], []
                 for rule in rules:
                     begun = time.perf_counter()
@@ -174,7 +184,10 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int =
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> DataFrame:
-    """Per row: doc_id, the measures, base_failed, the first rule that failed (null if none) and kept."""
+    """Per row: doc_id, the measures, base_failed and kept.
+
+    Which rule a text fails first hangs on the order, so it is not told; ``failures`` names all of them.
+    """
     by_name = {r.name: r for r in rules}
     ordered = [by_name[name] for name, _, _ in order_rules(docs, rules, sample)]
 
@@ -185,26 +198,41 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE
                 n, repeat = t.n_words, t.repeat_words()
                 every = np.arange(part.num_rows)
                 base = (n < 20) | (100 * repeat > 30 * n)
-                failed = np.full(part.num_rows, None, dtype=object)
                 alive = every[~base]
                 for rule in ordered:
                     if not len(alive):
                         break
-                    bad = rule.fails(t, alive)
-                    failed[alive[bad]] = rule.name
-                    alive = alive[~bad]
+                    alive = alive[~rule.fails(t, alive)]
                 kept = np.zeros(part.num_rows, dtype=bool)
                 kept[alive] = True
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), pa.array(n), pa.array(t.word_chars()), pa.array(t.bytes_in_rows(_SYMBOL, every)),
-                        pa.array(t.lines()[1].astype(np.int64)), pa.array(repeat), pa.array(base), pa.array(kept), pa.array(failed, pa.string()),
+                        part.column("doc_id"), pa.array(n), pa.array(t.word_chars), pa.array(t.symbols),
+                        pa.array(t.lines[1].astype(np.int64)), pa.array(repeat), pa.array(base), pa.array(kept),
                     ],
-                    names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule"],
+                    names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
                 )
 
     schema = (
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-        "base_failed boolean, kept boolean, failed_rule string"
+        "base_failed boolean, kept boolean"
     )
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def failures(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Per row that a rule rejects: doc_id and the names of all rules it fails, in the order of ``rules``; for reports."""
+
+    def run(batches):
+        for batch in batches:
+            for part in blocks(batch, "text"):
+                t = Texts(part.column("text"))
+                every = np.flatnonzero(t.n_words > 0)
+                hits = np.array([r.fails(t, every) for r in rules]).T if len(rules) else np.zeros((len(every), 0), dtype=bool)
+                some = hits.any(axis=1)
+                names = [[r.name for r, bad in zip(rules, row) if bad] for row in hits[some].tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(pa.array(every[some])), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "failed"]
+                )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, failed array<string>")

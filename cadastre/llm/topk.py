@@ -32,6 +32,7 @@ from cadastre.session import materialise
 BLOCK = 2048
 COSINE = 0.8
 FOCUS = 3
+PARTS = 64
 
 
 def _pack(matrix: np.ndarray) -> bytes:
@@ -198,9 +199,12 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK) ->
                 })
 
     floors = materialise(first.mapInArrow(floor, "q_block long, floors binary, need double"), "floors")
+    # names of blocks meet by dimension; it is one key, so it is dealt in parts
+    part = F.pmod("block", F.lit(PARTS)).alias("part")
+    asking = queries.select("q_block", "dim").join(floors.select("q_block", "need"), "q_block")
     met = (
-        queries.select("q_block", "dim").join(floors.select("q_block", "need"), "q_block")
-        .join(candidates.select("block", "dim", "longest"), "dim").where("longest >= need")
+        asking.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
+        .join(candidates.select("block", "dim", "longest", part), ["dim", "part"]).where("longest >= need")
         .select("q_block", "block")
     )
     work = (

@@ -53,6 +53,27 @@ def test_mix(spark, cluttered, rows):
     assert Counter((r.doc_id, r.k, r.taken) for r in again) == Counter((r.doc_id, r.k, r.taken) for r in got)
 
 
+def test_schedule_reaches_the_documents(spark, monkeypatch):
+    """Each row's slots are those that the schedule gives its words; appended slots are numbered on."""
+    rng = random.Random(4)
+    rows = [(i, " ".join("w" * rng.randint(1, 40)), rng.choice("aaab")) for i in range(60)] + [(None, "x y z", "c")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    m = mixing.mix(docs, block=16)
+    slots = m.slots.collect()
+    assert len({s.slot for s in slots}) == len(slots)
+    got = m.taken.collect()
+    names = {s.slot for s in slots}
+    assert all((r.first_slot is None) == (r.taken == 0) == (r.n_slots == 0) for r in got)
+    assert {r.first_slot for r in got if r.taken} <= names and all(r.taken <= 16 * r.n_slots for r in got)
+    taken = defaultdict(int)
+    for r in got:
+        taken[r.k] += r.taken
+    assert taken == {k: sum(s.n for s in slots if s.k == k) for k in taken}
+    monkeypatch.setattr(mixing, "GOLDEN", 1)
+    other = mixing.mix(docs, block=16).taken.collect()
+    assert Counter((r.doc_id, r.first_slot) for r in other) != Counter((r.doc_id, r.first_slot) for r in got)
+
+
 def test_mixed_documents(spark, cluttered, nothing):
     out = mixing.mixed_documents(cluttered, block=16)
     assert out.columns == cluttered.columns and out.count() > 0
@@ -100,6 +121,17 @@ def test_shards_of_a_text_that_fills_several(spark, nothing):
     assert sharding.shard(nothing).collect() == []
 
 
+def test_shards_of_linked_texts_only(spark):
+    rng = random.Random(8)
+    rows = [(t * 100 + i, f"text {t}") for t in range(60) for i in range(rng.randint(2, 33))] + [(None, None)] * 9
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=8).collect()
+    counts, where = Counter(r.shard for r in got), defaultdict(set)
+    for r in got:
+        where[(r.text_crc32, r["size"])].add(r.shard)
+    assert len(got) == len(rows) and max(counts.values()) - min(counts[s] for s in range(8)) <= 1
+    assert sum(len(w) > 1 for w in where.values()) <= 7
+
+
 def levenshtein(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a):

@@ -70,9 +70,16 @@ def test_rules(spark, cluttered, rows):
     assert have == sorted(((r[0], *measures(r[1])) for r in rows + extra), key=key)
     for r in got:
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
-        assert r.kept == (not r.base_failed and r.failed_rule is None)
+    # the cascade keeps what no rule rejects
+    failed = Counter((r.doc_id, tuple(r.failed)) for r in rules.failures(df).collect())
+    bad = Counter(i for i, _ in failed.elements())
+    rejected = Counter(r.doc_id for r in got if not r.kept and not r.base_failed)
+    assert all(rejected[i] <= bad[i] for i in rejected)
+    assert all(i not in bad or any(r.base_failed for r in got if r.doc_id == i) for i in {r.doc_id for r in got if r.kept} if sum(r.doc_id == i for r in got) == 1)
     verdict = {r.doc_id: r for r in got}
-    assert verdict[901].failed_rule == "symbols" and verdict[900].base_failed and verdict[0].kept
+    assert (901, ("symbols",)) in failed and not verdict[901].kept and verdict[900].base_failed and verdict[0].kept
+    backwards = rules.judge(df, rules.RULES[::-1]).collect()
+    assert Counter(backwards) == Counter(got)
 
 
 def test_rule_order_puts_rejections_per_second_first(spark):

@@ -7,18 +7,27 @@ neighbours in the page, and blocks under one parent, are joined by smoothness ed
 weigh less the further apart their elements are. The minimum cut, found by augmenting
 paths, is the cheapest labelling; blocks on the source's side are the main text.
 
-Markup, scripts, styles, comments and the head are no text. Character references are
+The classifier is naive Bayes over binned features of a block and its neighbours (length,
+links, words, punctuation, element). Its counts come from the blocks of all pages whose markup
+says what they are (``article`` and ``main``, or navigation, adverts and so on), so it carries
+what marked pages show to blocks without marks. A block's cost is what its markup says plus
+the classifier's bounded log-odds; clear markup outweighs two edges, so the cut decides where
+markup is silent or the text speaks weakly.
+
+Markup, scripts, styles, comments and the head are no text. A header inside an article is the
+article's own and stays with it; a page's header goes. Character references are
 decoded, white space inside a block becomes one blank, blocks are joined by an empty
 line. Unclosed, stray and broken tags are taken as a browser takes them, roughly. Null,
 empty and text-free pages give an empty text; a repeated page is read each time; a very
-long page costs time about in proportion to its blocks. Extra columns are not read.
+long or deeply nested page costs time in proportion to its length. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
-from collections import deque
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +43,9 @@ RAW_ELEMENTS = frozenset("script style textarea noscript template iframe svg mat
 NO_TEXT = frozenset("script style noscript template iframe svg math object canvas audio video head title select option button textarea label input".split())
 BOILERPLATE_ELEMENTS = frozenset("nav header footer aside form menu dialog search fieldset".split())
 CONTENT_ELEMENTS = frozenset("article main".split())
+RAW_TO_THE_END = frozenset("script style textarea title".split())
+SIBLINGS = (frozenset({"li"}), frozenset({"dt", "dd"}), frozenset({"td", "th"}))
+ELEMENT_KINDS = {"p": 1, "pre": 1, "blockquote": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "li": 3, "dt": 3, "dd": 3, "td": 4, "th": 4}
 CLOSES_P = BLOCK_ELEMENTS - {"option", "legend", "caption", "summary"}
 # Words of class, id and role that mark what is not the article, or what is.
 BOILERPLATE_WORDS = re.compile(
@@ -43,170 +55,317 @@ BOILERPLATE_WORDS = re.compile(
 )
 CONTENT_WORDS = re.compile(r"(?i)(?:^|[\s_-])(?:article\w*|post|post-?body|entry|entry-content|story|main|main-?content|content|body|text)(?=$|[\s_-])")
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"([^\s=\"'/<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_ATTR = re.compile(r"([^\s=\"'/<>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+_UNSEEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
+_ENDS = re.compile(r"[.!?:;…。！？][\"'”’»)\]]*$")
+_NOTICE = re.compile(r"(?i)©|(?:copyright|all rights reserved)\b")
 _END_OF = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW_ELEMENTS}
 
+# Costs and edges are of one order: what markup says outweighs two edges, what the text alone says does not.
+FOR, AGAINST, HIDDEN = 3.0, -7.0, -12.0
+TEXT_LIMIT = 1.5
+NEXT, FOLLOWER, FAR = 0.8, 0.5, 32
+TEMPER, ALPHA = 0.1, 50.0
+
+Model = dict[tuple[str, int], float]
+
+
+class Place:
+    """A block element on the way from the root."""
+
+    __slots__ = ("above", "depth")
+
+    def __init__(self, above: Place | None):
+        self.above, self.depth = above, 0 if above is None else above.depth + 1
+
+
+class Open:
+    """An open element, with what it and all above it say of their text."""
+
+    __slots__ = ("name", "place", "good", "bad", "dropped", "link")
+
+    def __init__(self, name: str, place: Place, good: float, bad: float, dropped: bool, link: bool):
+        self.name, self.place, self.good, self.bad, self.dropped, self.link = name, place, good, bad, dropped, link
+
 
 class Block:
-    """Text of a block; ``way`` holds the numbers of its elements from the root, ``bias`` the elements' evidence."""
+    """Text of a block, the element it stands in, what markup says for it and against it, and its linked characters."""
 
-    __slots__ = ("text", "way", "bias", "linked", "name")
+    __slots__ = ("text", "place", "good", "bad", "linked", "name")
 
-    def __init__(self, text: str, way: tuple[int, ...], bias: float, linked: int, name: str):
-        self.text, self.way, self.bias, self.linked, self.name = text, way, bias, linked, name
+    def __init__(self, text: str, place: Place, good: float, bad: float, linked: int, name: str):
+        self.text, self.place, self.good, self.bad, self.linked, self.name = text, place, good, bad, linked, name
 
 
-def _evidence(name: str, attributes: str) -> float:
-    """What an element says of the text below it: over 0 for content, below for boilerplate."""
-    score = -6.0 if name in BOILERPLATE_ELEMENTS else 4.0 if name in CONTENT_ELEMENTS else 0.0
-    if attributes and "=" in attributes:
+def _evidence(name: str, attributes: str, in_article: bool) -> tuple[float, float]:
+    """What an element says for the text below it, and against it; the page's own root says nothing."""
+    if name in ("html", "body"):
+        return 0.0, 0.0
+    good = FOR if name in CONTENT_ELEMENTS else 0.0
+    bad = AGAINST if name in BOILERPLATE_ELEMENTS and not (in_article and name == "header") else 0.0
+    if attributes:
         for key, a, b, c in _ATTR.findall(attributes):
             key, value = key.lower(), html.unescape(a or b or c)
             if key in ("class", "id", "role", "itemprop"):
                 if BOILERPLATE_WORDS.search(value):
-                    score -= 8.0
+                    bad += AGAINST
                 elif CONTENT_WORDS.search(value):
-                    score += 2.0
-            elif key == "aria-hidden" and value == "true" or key == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
-                score -= 12.0
-    elif attributes and re.search(r"(?i)(?:^|\s)hidden(?:\s|$)", attributes):
-        score -= 12.0
-    return score
+                    good += FOR / 2
+            elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _UNSEEN.search(value):
+                bad += HIDDEN
+    return good, bad
 
 
-def read_blocks(page: str) -> list[Block]:
-    """Blocks of a page in order."""
-    # element on the stack: (name, number, evidence of it and all above, whether its text is dropped, whether it is a link)
-    stack: list[tuple[str, int, float, bool, bool]] = [("", 0, 0.0, False, False)]
-    blocks: list[Block] = []
-    pieces: list[str] = []
-    linked = number = at = 0
-
-    def flush() -> None:
-        nonlocal linked
-        text = " ".join("".join(pieces).split())
-        pieces.clear()
+class Reader:
+    """One pass over a page. Every step costs constant time but for the characters it consumes."""
+
+    def __init__(self, page: str):
+        self.page, self.blocks, self.pieces, self.linked = page, [], [], 0
+        self.stack = [Open("", Place(None), 0.0, 0.0, False, False)]
+        self.block_at = [0]  # where block elements stand on the stack
+        self.where: dict[str, list[int]] = {}  # the same by name
+        self.endless: set[str] = set()  # marks that do not come again
+
+    def flush(self) -> None:
+        text = " ".join("".join(self.pieces).split())
+        self.pieces.clear()
         if text:
-            inner = [e for e in stack if e[0] == "" or e[0] in BLOCK_ELEMENTS]
-            blocks.append(Block(text, tuple(e[1] for e in inner), stack[-1][2], min(linked, len(text)), inner[-1][0]))
-        linked = 0
+            top, block = self.stack[-1], self.stack[self.block_at[-1]]
+            self.blocks.append(Block(text, block.place, min(top.good, FOR), top.bad, min(self.linked, len(text)), block.name))
+        self.linked = 0
 
-    def take(raw: str) -> None:
-        nonlocal linked
-        if raw and not stack[-1][3]:
+    def take(self, raw: str) -> None:
+        top = self.stack[-1]
+        if raw and not top.dropped:
             text = html.unescape(raw) if "&" in raw else raw
-            pieces.append(text)
-            if stack[-1][4]:
-                linked += len(text.strip())
-
-    size = len(page)
-    while at < size:
-        lt = page.find("<", at)
-        if lt < 0:
-            take(page[at:])
-            break
-        m = _TAG.match(page, lt)
-        if not m:
-            take(page[at : lt + 1])
-            at = lt + 1
-            continue
-        take(page[at:lt])
-        at = m.end()
-        if m[1] is not None:
-            take(m[1])
-        name = m[3] or m[6]
-        if not name:
-            continue
-        name = name.lower()
-        closing = (m[2] if m[3] else m[5]) == "/"
-        attributes = (m[4] if m[3] else m[7]) or ""
-        if closing:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if name not in BLOCK_ELEMENTS and any(e[0] in BLOCK_ELEMENTS for e in stack[depth + 1 :]):
-                # an inline element ends; the blocks inside it go on
-                if depth:
-                    stack[depth] = ("", *stack[depth][1:4], False)
-                continue
-            if depth:
-                if any(e[0] in BLOCK_ELEMENTS for e in stack[depth:]):
-                    flush()
-                del stack[depth:]
-            continue
+            self.pieces.append(text)
+            if top.link:
+                self.linked += len(text.strip())
+
+    def push(self, name: str, attributes: str) -> None:
+        top = self.stack[-1]
+        good, bad = _evidence(name, attributes, bool(self.where.get("article")))
+        block = name in BLOCK_ELEMENTS
+        if block:
+            self.block_at.append(len(self.stack))
+        self.where.setdefault(name, []).append(len(self.stack))
+        place = Place(top.place) if block else top.place
+        self.stack.append(Open(name, place, top.good + good, top.bad + bad, top.dropped or name in NO_TEXT, top.link or name == "a"))
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            gone = self.stack.pop()
+            if gone.name:
+                self.where[gone.name].pop()
+        while self.block_at[-1] >= depth:
+            self.block_at.pop()
+
+    def close(self, name: str) -> None:
+        if not self.where.get(name):
+            return
+        depth = self.where[name][-1]
+        if name not in BLOCK_ELEMENTS and self.block_at[-1] > depth:
+            # an inline element ends; the blocks inside it go on
+            self.where[name].pop()
+            self.stack[depth].name, self.stack[depth].link = "", False
+            return
+        if self.block_at[-1] >= depth:
+            self.flush()
+        self.pop_to(depth)
+
+    def open(self, name: str, attributes: str, at: int) -> int:
+        """Take an opening tag; where to read on."""
         if name == "br":
-            take(" ")
-            continue
+            self.take(" ")
+            return at
         if name in BLOCK_ELEMENTS:
-            flush()
-            if name in CLOSES_P:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in BLOCK_ELEMENTS), 0)
-                if depth and stack[depth][0] == "p":
-                    # an open paragraph ends, with the inline elements in it
-                    del stack[depth:]
-            top = stack[-1][0]
-            if name == top == "li" or name in ("dt", "dd") and top in ("dt", "dd") or name in ("td", "th") and top in ("td", "th"):
-                stack.pop()
+            self.flush()
+            last = self.block_at[-1]
+            if name in CLOSES_P and self.stack[last].name == "p":
+                # an open paragraph ends, with the inline elements in it
+                self.pop_to(last)
+            top = self.stack[-1].name
+            if any(name in kind and top in kind for kind in SIBLINGS):
+                self.pop_to(len(self.stack) - 1)
         if name in VOID_ELEMENTS or attributes.endswith("/") and name not in BLOCK_ELEMENTS:
-            continue
+            return at
         if name in RAW_ELEMENTS and name != "head":
-            end = _END_OF[name].search(page, at)
-            if name in ("script", "style", "textarea", "iframe", "noscript", "template", "svg", "math", "object", "canvas", "audio", "video", "title"):
-                at = end.end() if end else (size if name in ("script", "style", "textarea", "title") else at)
+            end = None if name in self.endless else _END_OF[name].search(self.page, at)
+            if end:
+                return end.end()
+            self.endless.add(name)
+            return len(self.page) if name in RAW_TO_THE_END else at
+        if name == "body" and self.where.get("head"):
+            self.pop_to(self.where["head"][-1])
+        self.push(name, attributes)
+        return at
+
+    def read(self) -> list[Block]:
+        page, size, at = self.page, len(self.page), 0
+        last = page.rfind(">")  # beyond it no tag ends
+        while at < size:
+            lt = page.find("<", at)
+            if lt < 0:
+                lt = size
+            self.take(page[at:lt])
+            at = lt
+            if at == size:
+                break
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = size if end < 0 else end + 3
+                continue
+            if page.startswith("<![CDATA[", at) and "]]>" not in self.endless:
+                end = page.find("]]>", at)
+                if end >= 0:
+                    self.take(page[at + 9 : end])
+                    at = end + 3
+                    continue
+                self.endless.add("]]>")
+            if page.startswith(("<!", "<?"), at):
+                end = page.find(">", at)
+                at = size if end < 0 else end + 1
                 continue
-        if name == "body":
-            # an open head ends here
-            stack[:] = [e for e in stack if e[0] != "head"]
-        number += 1
-        top = stack[-1]
-        stack.append((name, number, top[2] + _evidence(name, attributes), top[3] or name in NO_TEXT, top[4] or name == "a"))
-    flush()
-    return blocks
-
-
-def costs(block: Block) -> tuple[float, float]:
-    """Cost of calling the block boilerplate, and of calling it content."""
-    n = len(block.text)
-    links = block.linked / n
-    score = 0.5 + min(n, 400) / 200 - 5.0 * max(0.0, links - 0.4) / 0.6 + block.bias
-    if block.text[0] in "©" or re.match(r"(?i)(?:copyright|all rights reserved)\b", block.text):
-        score -= 4.0
-    if block.name in ("h1", "h2", "h3", "h4", "p", "pre", "blockquote"):
-        score += 0.7
-    return (score, 0.0) if score > 0 else (0.0, -score)
+            tag = _NAME.match(page, at) if at < last else None
+            if not tag:
+                self.take("<")
+                at += 1
+                continue
+            rest = _REST.match(page, tag.end())
+            end = rest.end() if rest else page.find(">", tag.end()) + 1
+            name, attributes = tag[2].lower(), page[tag.end() : end - 1]
+            if tag[1]:
+                self.close(name)
+                at = end
+            else:
+                at = self.open(name, attributes, end)
+        self.flush()
+        return self.blocks
+
+
+def read_blocks(page: str) -> list[Block]:
+    """Blocks of a page in order."""
+    return Reader(page).read()
+
+
+def features(blocks: list[Block]) -> list[list[tuple[str, int]]]:
+    """What the classifier sees of every block: binned values of its text, its element and its neighbours' texts."""
+    plain, coarse = [], []
+    for b in blocks:
+        n, words = len(b.text), b.text.split()
+        long, links = min(n.bit_length(), 11), 4 * b.linked // n
+        low = sum(w.islower() for w in words)
+        short = sum(len(w) < 4 for w in words)
+        plain.append([
+            ("length", long), ("links", links), ("ends", 1 if _ENDS.search(b.text, max(0, n - 8)) else 0), ("lower", 4 * low // len(words)),
+            ("short", 4 * short // len(words)), ("element", ELEMENT_KINDS.get(b.name, 0)),
+        ])
+        coarse.append((0 if n < 40 else 1 if n < 160 else 2) + 3 * (links > 1))
+    edge = [6]
+    around = edge + coarse + edge
+    return [f + [("before", around[i]), ("after", around[i + 2])] for i, f in enumerate(plain)]
+
+
+def counts(page: str) -> Counter:
+    """(feature, bin, label) of a page's blocks of which markup alone says what they are."""
+    blocks, out = read_blocks(page), Counter()
+    for b, seen in zip(blocks, features(blocks)):
+        if b.bad < 0 or b.good >= FOR:
+            out.update((*f, int(b.bad == 0)) for f in seen)
+    return out
+
+
+def fit(pages: DataFrame) -> Model:
+    """Log-odds of every feature's bins, counted over the marked blocks of all pages.
+
+    Counts fold in the tasks and on the map side; the driver gets one row per feature and bin, of which there are
+    under a hundred whatever the input. Bins are drawn towards no evidence by ``ALPHA`` blocks, so few or no
+    marked blocks give a model that says little or nothing.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = Counter()
+            for page in batch.column("html").to_pylist():
+                if page:
+                    out.update(counts(page))
+            keys = list(out)
+            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([out[k] for k in keys], pa.int64())], names=["feature", "bin", "label", "n"])
+
+    parts = pages.select(F.col("html").cast("string").alias("html")).mapInArrow(run, "feature string, bin int, label int, n long")
+    seen = {(r.feature, r.bin, r.label): r.n for r in parts.groupBy("feature", "bin", "label").agg(F.sum("n").alias("n")).collect()}
+    total = Counter()
+    for (feature, _, label), n in seen.items():
+        total[feature, label] += n
+    model = {}
+    for feature, kind, _ in seen:
+        rate = []
+        whole = sum(total[feature, x] for x in (0, 1))
+        here = sum(seen.get((feature, kind, x), 0) for x in (0, 1)) / whole
+        for label in (0, 1):
+            rate.append((seen.get((feature, kind, label), 0) + ALPHA * here) / (total[feature, label] + ALPHA))
+        model[feature, kind] = math.log(rate[1] / rate[0])
+    return model
+
+
+def costs(blocks: list[Block], model: Model) -> list[tuple[float, float]]:
+    """Per block the cost of calling it boilerplate, and of calling it content."""
+    out = []
+    for b, seen in zip(blocks, features(blocks)):
+        n = len(b.text)
+        words = 0.5 + min(n, 400) / 800 - 1.6 * max(0.0, b.linked / n - 0.4) / 0.6 + TEMPER * sum(model.get(f, 0.0) for f in seen)
+        score = max(-TEXT_LIMIT, min(TEXT_LIMIT, words)) + b.good + b.bad
+        if _NOTICE.match(b.text):
+            score -= FOR
+        out.append((score, 0.0) if score > 0 else (0.0, -score))
+    return out
+
+
+def _apart(a: Place, b: Place) -> int:
+    """Steps between two elements, as far as ``FAR``."""
+    steps = 0
+    while a is not b and steps < FAR:
+        if a.depth >= b.depth:
+            a = a.above
+        else:
+            b = b.above
+        steps += 1
+    return steps
 
 
 def edges(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges between neighbours in the page and between followers under one parent."""
+    """Smoothness edges between neighbours in the page, and between followers under one parent."""
     out, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            a = blocks[i - 1].way
-            shared = 0
-            for x, y in zip(a, b.way):
-                if x != y:
-                    break
-                shared += 1
-            apart = len(a) + len(b.way) - 2 * shared
-            out.append((i - 1, i, 1.2 / (1 + apart) if apart > 2 else 0.8))
-        parent = b.way[-2] if len(b.way) > 1 else -1
-        if parent in last and last[parent] != i - 1:
-            out.append((last[parent], i, 0.5))
-        last[parent] = i
+            apart = _apart(blocks[i - 1].place, b.place)
+            if apart < FAR:
+                out.append((i - 1, i, NEXT if apart <= 2 else 1.2 / (1 + apart)))
+        above = last.get(b.place.above, i - 1)
+        if b.place.above is not None and above != i - 1:
+            out.append((above, i, FOLLOWER))
+        last[b.place.above] = i
     return out
 
 
 def minimum_cut(source: list[float], sink: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes stay on the source's side of a minimum cut (of several, the one with the fewest nodes there)."""
+    """Which nodes stay on the source's side of a minimum cut (of several, the one with the fewest nodes there).
+
+    Nodes that a search without result has passed can get no flow any more, so no later search enters them.
+    """
     n = len(source)
     near: list[dict[int, float]] = [{} for _ in range(n)]
     for a, b, c in links:
         near[a][b] = near[a].get(b, 0.0) + c
         near[b][a] = near[b].get(a, 0.0) + c
     spare = [a - b for a, b in zip(source, sink)]  # over 0: left from the source; below: left to the sink
+    dry = [False] * n
     eps = 1e-9
-    # pages hold fewer blocks of boilerplate than of content: search from the sink
     for t in range(n):
-        while spare[t] < -eps:
+        while spare[t] < -eps and not dry[t]:
             # breadth-first search against the flow for a node with something left
             goes = {t: -1}
             queue = deque((t,))
@@ -214,13 +373,15 @@ def minimum_cut(source: list[float], sink: list[float], links: list[tuple[int, i
             while queue and begin < 0:
                 v = queue.popleft()
                 for w in near[v]:
-                    if w not in goes and near[w][v] > eps:
+                    if w not in goes and not dry[w] and near[w][v] > eps:
                         goes[w] = v
                         if spare[w] > eps:
                             begin = w
                             break
                         queue.append(w)
             if begin < 0:
+                for v in goes:
+                    dry[v] = True
                 break
             flow, v = min(spare[begin], -spare[t]), begin
             while v != t:
@@ -244,22 +405,23 @@ def minimum_cut(source: list[float], sink: list[float], links: list[tuple[int, i
     return side
 
 
-def main_text(page: str | None) -> str:
-    """Main text of one page."""
+def main_text(page: str | None, model: Model | None = None) -> str:
+    """Main text of one page; without a model the classifier knows length and links only."""
     found = read_blocks(page) if page else []
     if not found:
         return ""
-    price = [costs(b) for b in found]
+    price = costs(found, model or {})
     side = minimum_cut([p[0] for p in price], [p[1] for p in price], edges(found))
     return "\n\n".join(b.text for b, kept in zip(found, side) if kept)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
+    """page_id, url, text and n_chars of every page, by ``model`` or one fitted on these pages."""
+    model = fit(pages) if model is None else model
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(p) for p in batch.column("html").to_pylist()]
+            texts = [main_text(p, model) for p in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],

@@ -34,6 +34,67 @@ def test_extraction_of_a_very_long_page():
     assert html_extract.main_text(page).count("\n\n") == 4999
 
 
+LONG = "A paragraph that goes on for a while and tells of this and of that, as paragraphs of an article do. "
+
+
+def test_the_cut_turns_labels():
+    # a paragraph that is one link, between long ones; a short line without a link, between menu entries
+    page = f"<body><div><a href=a>Home</a></div><div>Menu</div><div><a href=b>News</a></div><section><p>{LONG * 3}<p><a href=c>All of it in the archive of the town</a><p>{LONG * 3}</section>"
+    blocks = html_extract.read_blocks(page)
+    price = html_extract.costs(blocks, {})
+    side = html_extract.minimum_cut([p[0] for p in price], [p[1] for p in price], html_extract.edges(blocks))
+    assert [p[0] > 0 for p in price] == [False, True, False, True, False, True]
+    assert side == [False, False, False, True, True, True]
+    assert html_extract.main_text(page) == "\n\n".join([(LONG * 3).strip(), "All of it in the archive of the town", (LONG * 3).strip()])
+
+
+def test_clear_marks_are_not_turned():
+    page = f"<main class=content><article><header><h1>Title</h1></header><p>{LONG}<div class=ad><p>{LONG}</div><p>{LONG}<div class=x hidden><p>{LONG}</div><p><a href=x>link</a></article></main><footer>{LONG}</footer>"
+    assert html_extract.main_text(page).split("\n\n") == ["Title", LONG.strip(), LONG.strip(), "link"]
+
+
+def test_marked_pages_teach_the_classifier(spark):
+    """What marks say of 200 pages is found on pages without marks by the text alone."""
+    import random
+
+    rng = random.Random(5)
+    words = lambda n: " ".join(rng.choice(["stone", "river", "of", "a", "the", "town", "light"]) for _ in range(n)).capitalize()
+
+    def page(marked):
+        notes = [words(rng.randint(5, 9)) for _ in range(3)]
+        story = [words(rng.randint(20, 60)) + "." for _ in range(4)]
+        a, b, c, d = ("article", "/article", "aside", "/aside") if marked else ("div", "/div", "div", "/div")
+        return f"<{c}>" + "".join(f"<div>{x}</div>" for x in notes) + f"<{d}><{a}>" + "".join(f"<p>{x}</p>" for x in story) + f"<{b}>", "\n\n".join(story)
+
+    model = html_extract.fit(spark.createDataFrame([(page(True)[0],) for _ in range(200)], "html string").repartition(3))
+    tests = [page(False) for _ in range(50)]
+    assert sum(html_extract.main_text(x, model) == want for x, want in tests) >= 49
+    assert sum(html_extract.main_text(x) == want for x, want in tests) < 10
+
+
+@pytest.mark.parametrize(
+    "page, tail",
+    [
+        ("<ul>" + "<li><a href=x>entry</a>" * 20_000 + "</ul><p>" + LONG * 9, (LONG * 9).strip()),
+        (f"<p>{LONG * 9}" + "<a " * 100_000, None),
+        (f"<p>{LONG * 9}" + '<a b="' * 100_000 + ">", None),
+        ("<div>" * 50_000 + f"<p>{LONG * 9}", (LONG * 9).strip()),
+        ("<b><div>" * 50_000 + f"<p>{LONG * 9}" + "</b>" * 50_000, (LONG * 9).strip()),
+        ("<noscript><![CDATA[" * 50_000 + f"<p>{LONG * 9}", (LONG * 9).strip()),
+        ("<div>word" * 30_000 + f"<p>{LONG * 9}", None),
+    ],
+    ids=["menu", "open tags", "open quotes", "depth", "inline", "endless", "deep text"],
+)
+def test_time_grows_with_the_page(page, tail):
+    import time
+
+    start = time.perf_counter()
+    text = html_extract.main_text(page)
+    assert time.perf_counter() - start < 10
+    assert LONG.strip() in text
+    assert tail is None or text.endswith(tail)
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_minimum_cut_is_minimal(seed):
     import itertools

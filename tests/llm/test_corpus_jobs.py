@@ -293,6 +293,36 @@ def test_top_k(spark, scale, block):
     assert got == best(vectors, 50, 5)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_partial_products_lose_nothing(seed):
+    rng = np.random.default_rng(seed)
+    dim = [1, 3, 4, 7, 64, 64][seed]
+    a, b = (rng.normal(size=(n, dim)) * rng.choice([1, 40, 3000], size=(n, 1)) for n in (20, 400))
+    a, b = np.floor(a).astype(np.int64), np.floor(b).astype(np.int64)
+    full = a @ b.T
+    floors = np.sort(full, axis=1)[:, -7].astype(np.float64)
+    floors[0] = -np.inf
+    q, c, s = topk.surviving(a, floors, b)
+    assert (s == full[q, c]).all()
+    assert {(i, j) for i, j in zip(*np.nonzero(full >= floors[:, None]))} <= set(zip(q, c))
+
+
+def test_partial_products_leave_out_most_of_the_given_table(spark):
+    """On vectors of one length without clusters, such as the given ones, most pairs end before their whole product."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 64))
+    v = np.floor(256 * v / np.linalg.norm(v, axis=1)[:, None]).astype(np.int64)
+    floors = np.sort(v[:50] @ v[50:].T, axis=1)[:, -5].astype(np.float64)
+    q, _, _ = topk.surviving(v[:50], floors, v[50:])
+    assert len(q) < 0.5 * 50 * 2950
+
+
+def test_top_k_beyond_a_long(spark):
+    df = spark.createDataFrame([(0, [1e15, 1.0]), (50, [-1e15, 2.0]), (7, [1e15, 1e14]), (8, [2e15, 0.0])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df).collect()}
+    assert got[0, 1] == (7, 2**63 - 1) and got[0, 2] == (8, 2**63 - 1) and got[0, 3] == (50, -(2**63))
+
+
 def test_top_k_of_few(spark):
     df = spark.createDataFrame([(0, [1.0]), (50, [2.0]), (7, [-1.0])], "vec_id long, embedding array<float>")
     assert len(topk.top_k(df).collect()) == 4

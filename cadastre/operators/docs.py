@@ -530,22 +530,26 @@ def skip_rules(findings: DataFrame, entries: DataFrame, patterns: list[str]) ->
     """Findings (resource, path) that no skip entry covers.
 
     An entry is ``resource``, ``resource.path``, ``resource.*`` or ``all.leaf``.
-    ``patterns`` are searched for in ``resource.path``.
+    ``patterns`` are searched for in ``resource.path``. Entries are cut at each of their
+    dots, so that one join by resource answers the first three forms, and one by leaf the last.
     """
     listed = entries.select("entry").distinct()
-    full = F.concat_ws(".", "resource", "path")
-    keys = [
-        F.col("resource"),
-        full,
-        F.concat(F.col("resource"), F.lit(".*")),
-        F.concat(F.lit("all."), _leaf("path")),
-    ]
+    parts = F.split("entry", r"\.")
+    cut = F.transform(
+        F.sequence(F.lit(1), F.size(parts)),
+        lambda i: F.struct(
+            F.array_join(F.slice(parts, 1, i), ".").alias("head"),
+            F.when(i < F.size(parts), F.array_join(F.slice(parts, i + 1, F.size(parts)), ".")).alias("rest"),
+        ),
+    )
+    by_resource = listed.select(F.inline(cut)).distinct()
+    leaves = listed.where(F.col("entry").startswith("all.")).select(F.expr("substring(entry, 5)").alias("skipped_leaf"))
     out = findings
     for pattern in patterns:
         out = out.where(~F.concat_ws(".", "resource", "path").rlike(pattern))
-    for key in keys:
-        out = out.withColumn("entry", key).join(listed, "entry", "left_anti").drop("entry")
-    return out
+    covers = F.col("rest").isNull() | (F.col("rest") == "*") | (F.col("rest") == F.col("path"))
+    out = out.join(by_resource, (F.col("resource") == F.col("head")) & covers, "left_anti")
+    return out.join(leaves, _leaf("path") == F.col("skipped_leaf"), "left_anti")
 
 
 CLASSES = ("cross_check", "possible_values", "required", "default", "timeout", "force_new")

@@ -331,20 +331,33 @@ def apply_renames(files: DataFrame, renames: DataFrame) -> DataFrame:
     Renames of a file are applied in order, and the first one of a name that
     changed something wins. Returns (file, text, applied) of changed files.
 
-    Only a file's own renames are gathered, and repeats of a rename are folded
-    first unless its name is also the target of another, where the order of the
-    repeats matters.
+    Only a file's own renames are gathered. Repeats of a rename are folded first unless its
+    name can come from another rename, where the order of the repeats matters. Names between the
+    marks of a text are met with the names of its renames as sets, so a rename
+    whose name is neither in the text nor made by another costs no pass over the text.
     """
+    marks = r'[".]'
     wanted = renames.where("rename_from <> '' AND rename_to <> '' AND rename_from <> rename_to")
-    targets = wanted.select("file", F.col("rename_to").alias("rename_from")).distinct()
+    made = F.concat(F.array("rename_to"), F.split("rename_to", marks))
+    targets = wanted.select("file", F.explode(made).alias("rename_from")).distinct()
     key = ["file", "rename_from", "rename_to"]
-    once = wanted.join(targets, ["file", "rename_from"], "left_anti").groupBy(*key).agg(F.min("seq").alias("seq"))
-    chained = wanted.join(targets, ["file", "rename_from"], "left_semi").select(*key, "seq")
-    per_file = (
-        once.unionByName(chained)
-        .groupBy("file")
+    plain = ~F.col("rename_from").rlike(marks)
+    once = (
+        wanted.where(plain).join(targets, ["file", "rename_from"], "left_anti")
+        .groupBy(*key).agg(F.min("seq").alias("seq")).withColumn("chained", F.lit(False))
+    )
+    chained = wanted.where(plain).join(targets, ["file", "rename_from"], "left_semi").unionByName(wanted.where(~plain))
+    per_name = (
+        once.unionByName(chained.select(*key, "seq", F.lit(True).alias("chained")))
+        .groupBy("file", "chained", "rename_from")
         .agg(F.sort_array(F.collect_list(F.struct("seq", "rename_from", "rename_to"))).alias("renames"))
     )
+    per_file = per_name.groupBy("file").agg(
+        F.map_from_entries(F.collect_list(F.when(~F.col("chained"), F.struct("rename_from", "renames")))).alias("by_name"),
+        F.flatten(F.collect_list(F.when(F.col("chained"), F.col("renames")))).alias("always"),
+    )
+    present = F.array_intersect(F.map_keys("by_name"), F.split("text", marks))
+    found = F.flatten(F.transform(present, lambda name: F.element_at("by_name", name)))
 
     def step(state: Column, rename: Column) -> Column:
         old, new = rename["rename_from"], rename["rename_to"]
@@ -366,6 +379,8 @@ def apply_renames(files: DataFrame, renames: DataFrame) -> DataFrame:
     )
     return (
         files.join(per_file, "file")
+        .withColumn("renames", F.sort_array(F.concat("always", found)))
+        .where(F.size("renames") > 0)
         .select("file", F.aggregate("renames", start, step).alias("out"))
         .where(F.size("out.applied") > 0)
         .select("file", "out.text", "out.applied")

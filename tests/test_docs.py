@@ -286,3 +286,15 @@ def test_circular_blocks_against_brute_force(spark):
     got = docs.circular_blocks(spark.createDataFrame(rows, "page string, block string, child string")).collect()
     assert {r["page"]: r["block"] for r in got} == want and len(got) == len(want)
     assert docs.circular_blocks(spark.createDataFrame([], "page string, block string, child string")).count() == 0
+
+
+def test_skip_entries_of_every_form(spark):
+    found = [("r", "a"), ("r", "b.c"), ("s.t", "a"), ("s", "t.a"), ("s", "t"), ("u", "x.leaf"), ("u", "leaf.x"), ("v", "p"), ("w", "*"), ("y", None), ("y", "")]
+    entries = [("r.b.c",), ("s.t",), ("all.leaf",), ("v.*",), ("y",), ("r.b.c",), ("w.q",), (None,)]
+    named = {e for (e,) in entries}
+    kept = [
+        (r, p) for r, p in found
+        if not named & {r, f"{r}.{p}", f"{r}.*", "all." + (p or "-").split(".")[-1]} and not (p or "").startswith("leaf")
+    ]
+    out = docs.skip_rules(spark.createDataFrame(found, "resource string, path string"), spark.createDataFrame(entries, "entry string"), [r"\.leaf\."])
+    assert sorted(tuple(r) for r in out.collect()) == sorted(kept)

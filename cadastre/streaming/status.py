@@ -28,13 +28,11 @@ BITS = 60
 
 
 def event_stream(spark: SparkSession, path: str, schema, glob: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(path)
-    )
+    """Parquet files of a folder as a stream; what ``glob`` names may also be a table's folder of part files.
+
+    Braces make a plain name a pattern too: without a pattern, Spark takes the path to be a folder.
+    """
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path.rstrip('/')}/{{{glob}}}")
 
 
 def run_to_end(stream: DataFrame, output_mode: str, label: str, progress: list | None = None) -> DataFrame:
@@ -42,12 +40,15 @@ def run_to_end(stream: DataFrame, output_mode: str, label: str, progress: list |
 
     A micro-batch overwrites its own folder, so one that is run again after a
     failure leaves no copies. ``progress`` takes the reports of the last micro-batches.
+    A feed without files gives no rows.
     """
     spark = stream.sparkSession
     base = scratch_path(spark, label)
+    written = set()
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
+        written.add(batch_id)
 
     query = (
         stream.writeStream.outputMode(output_mode)
@@ -60,7 +61,7 @@ def run_to_end(stream: DataFrame, output_mode: str, label: str, progress: list |
     if progress is not None:
         progress.extend(query.recentProgress)
     schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.IntegerType())])
-    return spark.read.schema(schema).parquet(f"{base}/out")
+    return spark.read.schema(schema).parquet(f"{base}/out") if written else spark.createDataFrame([], schema)
 
 
 def last_update(updates: DataFrame, *keys: str) -> DataFrame:

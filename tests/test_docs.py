@@ -298,3 +298,25 @@ def test_skip_entries_of_every_form(spark):
     ]
     out = docs.skip_rules(spark.createDataFrame(found, "resource string, path string"), spark.createDataFrame(entries, "entry string"), [r"\.leaf\."])
     assert sorted(tuple(r) for r in out.collect()) == sorted(kept)
+
+
+def test_a_table_that_is_a_folder_of_part_files_streams(spark, tmp_path):
+    """``documents.parquet`` may be one file or a folder of them; a table without rows gives none."""
+    from cadastre.plans import QUERIES
+
+    row = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(1, "> a", "en", "s", 3), (2, "plain\n> **note** b", "de", "s", 18), (3, None, "de", "s", None)], row)
+    docs.repartition(3).write.parquet(str(tmp_path / "folder/documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (tmp_path / "file").mkdir()
+    (part,) = (tmp_path / "parts").glob("*.parquet")
+    part.rename(tmp_path / "file/documents.parquet")
+    got = [sorted(map(tuple, QUERIES["str06_incremental_validation"](spark, str(tmp_path / d)).collect())) for d in ("folder", "file")]
+    assert got[0] == got[1]
+    assert [(r[0], r[1]) for r in got[0]] == [(1, 0), (1, 2), (2, 0), (2, 3)]
+
+
+def test_a_feed_without_files_gives_no_rows(spark, tmp_path):
+    schema = "page long, text string"
+    feed = stream.event_stream(spark, str(tmp_path), schema, "*.parquet")
+    assert stream.run_to_end(stream.page_findings(feed), "append", "pages").collect() == []

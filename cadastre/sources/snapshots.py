@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadastre.session import materialise
+
 _RESOURCES = T.MapType(T.StringType(), T.VariantType())
 WRAPPER = T.StructType(
     [
@@ -64,10 +66,15 @@ def read_schema_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def merge_snapshot_parts(parts: DataFrame) -> DataFrame:
-    """Rows of ``read_snapshot_parts`` folded by resource."""
+    """Rows of ``read_snapshot_parts`` folded by resource.
+
+    The parts are written once, for the JSON they come from is slow to read. Which resources stand
+    in several documents is found by their names alone; where these are few, no node is shuffled but theirs.
+    """
     keys = ["provider", "version", "kind", "resource"]
-    counted = parts.groupBy(*keys).agg(F.count("*").alias("n"), F.first("node").alias("node"))
-    split = parts.join(counted.where("n > 1").select(*keys), keys, "left_semi")
+    found = materialise(parts, "parts").withColumn("at", F.struct(*keys))
+    several = materialise(found.groupBy("at").agg(F.count("*").alias("n")).where("n > 1").select("at"), "several")
+    split = found.join(several, "at", "left_semi").drop("at")
     timeouts = [F.max(F.expr(f"try_variant_get(node, '$.timeouts.{t}', 'int')")).alias(t) for t in TIMEOUTS]
     properties = (
         split.select(*keys, F.explode(F.expr("try_variant_get(node, '$.schema', 'map<string,variant>')")).alias("name", "p"))
@@ -83,7 +90,7 @@ def merge_snapshot_parts(parts: DataFrame) -> DataFrame:
         )
     )
     merged = split.groupBy(*keys).agg(*timeouts).join(properties, keys, "left").select(*keys, F.parse_json(node).alias("node"))
-    return counted.where("n = 1").select(*keys, "node").unionByName(merged)
+    return found.join(several, "at", "left_anti").select(*keys, "node").unionByName(merged)
 
 
 def _typed(field: str, sql_type: str, variant_type: str, zero: str) -> str:

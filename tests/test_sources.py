@@ -210,3 +210,21 @@ def test_snapshot_round_trip(spark, tmp_path):
     wanted = spark.createDataFrame([("resource", "a"), ("resource", "nope")], "kind string, resource string")
     found = schema_ops.lookup_schema(back.where("version = '7'"), wanted).collect()
     assert sorted((r["resource"], r["error"]) for r in found) == [("a", None), ("nope", "resource not found")]
+
+
+def test_snapshot_documents_are_read_once(spark, tmp_path):
+    """Whole resources come without a shuffle of nodes or a second look at the JSON; those in parts are folded, without a provider's name too."""
+    def text(resource, schema, provider='"providerName":"p",'):
+        return f'{{{provider}"schemaVersion":"1","providerSchema":{{"resources":{{"{resource}":{schema}}}}}}}'
+
+    whole = '{"schema":{"a":{"type":"TypeInt"}},"timeouts":{"create":30}}'
+    texts = [text("whole", whole), text("split", '{"schema":{"a":{"type":"TypeInt"}}}'), text("split", '{"schema":{"b":{"type":"TypeInt"}},"timeouts":{"create":5}}')]
+    spark.createDataFrame([(t,) for t in texts], "text string").write.text(str(tmp_path / "few"))
+    found = snapshots.read_schema_snapshot(spark, str(tmp_path / "few"))
+    assert not any("/few/" in f for f in found.inputFiles())
+    names = F.expr("array_sort(map_keys(variant_get(node, '$.schema', 'map<string,variant>')))").alias("names")
+    got = found.select("resource", names, F.expr("variant_get(node, '$.timeouts.create', 'int')").alias("create"))
+    assert sorted(map(tuple, got.collect())) == [("split", ["a", "b"], 5), ("whole", ["a"], 30)]
+    nameless = [text("r", '{"schema":{"a":{"type":"TypeInt"}}}', ""), text("r", '{"schema":{"b":{"type":"TypeInt"}}}', ""), text("s", whole, "")]
+    spark.createDataFrame([(t,) for t in nameless], "text string").write.text(str(tmp_path / "nameless"))
+    assert sorted(r.resource for r in snapshots.read_schema_snapshot(spark, str(tmp_path / "nameless")).collect()) == ["r", "s"]

@@ -32,6 +32,8 @@ POSITION_PATTERNS = {
 ARGUMENTS_HEADING = "Arguments Reference"
 ATTRIBUTES_HEADING = "Attributes Reference"
 MAX_MISSPELLING = 3
+#: Names of the smaller side of a resource up to which every pair is measured; a name has some forty keys.
+FEW_NAMES = 32
 
 
 def sectionise_page(lines: DataFrame) -> DataFrame:
@@ -271,22 +273,29 @@ def _short_keys(distance: int, one: str, other: str) -> Column:
 def close_names(left: DataFrame, right: DataFrame, distance: int = MAX_MISSPELLING) -> DataFrame:
     """Pairs (resource, l, r) of leaf names within an edit distance, inside one resource.
 
-    Of two names of more than ``distance`` letters the longer one holds one of the
-    ``distance`` + 1 pieces of the shorter one, shifted as far as their lengths and the edits
-    allow; a shorter name meets others by its subsequences. All ways are one join by
-    64-bit keys, none of them of an empty piece, and only what meets is measured.
+    Names are gathered by resource. Where one side has at most ``FEW_NAMES`` of them, all are measured: that
+    is less than the keys below would cost. Elsewhere keys tell what may meet: of two names of more than
+    ``distance`` letters the longer one holds one of the ``distance`` + 1 pieces of the shorter
+    one, shifted as far as their lengths and the edits allow; a shorter name meets others by its
+    subsequences. All ways are one join by 64-bit keys, none of them of an empty piece. Both ways are exact.
     """
-    def keyed(df: DataFrame, alias: str, *keys: Column) -> DataFrame:
-        # keys take far more time than names take space, so names are dealt over all tasks before they are folded
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        names = df.select("resource", "leaf").repartition(parts, "resource", "leaf").distinct()
-        return names.select("resource", F.col("leaf").alias(alias), F.explode(F.concat(*keys)).alias("key"))
+    def gathered(df: DataFrame, names: str) -> DataFrame:
+        return df.groupBy("resource").agg(F.collect_set("leaf").alias(names))
 
-    every, longer = range(distance + 1), range(1, distance + 1)
-    a = keyed(left, "l", _piece_keys(distance, "left", range(1), True), _piece_keys(distance, "right", longer), _short_keys(distance, "left short", "right short"))
-    b = keyed(right, "r", _piece_keys(distance, "right", range(1), True), _piece_keys(distance, "left", every), _short_keys(distance, "right short", "left short"))
+    def keyed(names: str, alias: str, *keys: Column) -> DataFrame:
+        # keys take far more time than names take space, so the names of a resource are dealt over all tasks
+        parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = met.where(~few).select("resource", F.explode(names).alias("leaf")).repartition(parts, "resource", "leaf")
+        return dealt.select("resource", F.col("leaf").alias(alias), F.explode(F.concat(*keys)).alias("key"))
+
+    met = materialise(gathered(left, "ls").join(gathered(right, "rs"), "resource"), "names")
+    few = F.least(F.size("ls"), F.size("rs")) <= FEW_NAMES
     near = F.levenshtein("l", "r", distance) >= 0
-    return a.join(b, ["resource", "key"]).where(near).select("resource", "l", "r").distinct()
+    measured = met.where(few).select("resource", F.explode("ls").alias("l"), "rs").select("resource", "l", F.explode("rs").alias("r")).where(near)
+    every, longer = range(distance + 1), range(1, distance + 1)
+    a = keyed("ls", "l", _piece_keys(distance, "left", range(1), True), _piece_keys(distance, "right", longer), _short_keys(distance, "left short", "right short"))
+    b = keyed("rs", "r", _piece_keys(distance, "right", range(1), True), _piece_keys(distance, "left", every), _short_keys(distance, "right short", "left short"))
+    return measured.unionByName(a.join(b, ["resource", "key"]).where(near).select("resource", "l", "r").distinct())
 
 
 def merge_misspellings(misses: DataFrame) -> DataFrame:

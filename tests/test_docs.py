@@ -320,3 +320,18 @@ def test_a_feed_without_files_gives_no_rows(spark, tmp_path):
     schema = "page long, text string"
     feed = stream.event_stream(spark, str(tmp_path), schema, "*.parquet")
     assert stream.run_to_end(stream.page_findings(feed), "append", "pages").collect() == []
+
+
+def test_names_of_few_are_measured_and_of_many_meet_by_keys(spark, monkeypatch):
+    """Both ways give the same pairs, also where a resource has more names than are measured one by one."""
+    rng = random.Random(5)
+    names = ["".join(rng.choice("ab_") for _ in range(rng.randint(1, 9))) for _ in range(160)]
+    rows = [("big" if i % 4 else "small", n) for i, n in enumerate(names)] + [(None, "a"), ("small", None)]
+    left, right = (spark.createDataFrame(rows[i::2], "resource string, leaf string") for i in (0, 1))
+    pairs = []
+    for few in (0, 12, 1000):
+        monkeypatch.setattr(docs, "FEW_NAMES", few)
+        found = [tuple(r) for r in docs.close_names(left, right).collect()]
+        assert len(found) == len(set(found))
+        pairs.append(set(found))
+    assert pairs[0] == pairs[1] == pairs[2] and len(pairs[0]) > 100

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Rule id -> (name, severity, fixable).
@@ -108,43 +108,47 @@ def active_rules(only: str = "", disable: str = "") -> list[str]:
 def with_tree_context(properties: DataFrame, children: bool = True, siblings: bool = True) -> DataFrame:
     """Add what rules need to know of children and of sku siblings.
 
-    Both come from aggregates that fold on the map side: children from nested
-    rows only, siblings from ``sku_`` rows only. They are joined back by own
-    path and by parent.
+    Properties are shuffled once, by resource. Levels are summed up over a window; the first
+    property of a level brings its sums to the property that holds the level, over a second window by path.
     """
-    out = properties
+    if not (children or siblings):
+        return properties.select("*", *(F.lit(zero).alias(c) for c, zero in _NO_CONTEXT.items()))
+    constrained = ~F.col("opaque") & (F.col("required") | F.col("at_least_one_of") | F.col("exactly_one_of"))
+    sku = F.col("top_level") & F.col("name").startswith("sku_")
+    # a number first: sorting by it takes far less time than by names that begin alike
+    one_resource = [F.xxhash64("kind", "resource"), "kind", "resource"]
+    by_path = Window.partitionBy(*one_resource, "parent_path").orderBy("path")
+    level = by_path.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    named = F.col("kind").isNotNull() & F.col("resource").isNotNull()
+    context = {c: F.lit(zero) for c, zero in _NO_CONTEXT.items()}
+    out = properties.repartition("kind", "resource")
     if siblings:
-        counted = (
-            properties.where(F.col("top_level") & F.col("name").startswith("sku_"))
-            .groupBy("kind", "resource", "parent_path")
-            .agg(F.count("*").alias("n_sku"))
-        )
-        out = out.join(counted, ["kind", "resource", "parent_path"], "left")
+        out = out.withColumn("n_sku", F.count(F.when(sku, 1)).over(level))
+        context["n_sku"] = F.when(named & F.col("parent_path").isNotNull(), F.col("n_sku")).otherwise(0)
     if children:
-        constrained = ~F.col("opaque") & (F.col("required") | F.col("at_least_one_of") | F.col("exactly_one_of"))
-        folded = (
-            properties.where("parent_path <> ''")
-            .groupBy("kind", "resource", F.col("parent_path").alias("path"))
-            .agg(
-                F.count("*").alias("n_children"),
-                F.min("name").alias("child"),
-                F.min("type").alias("child_type"),
-                F.bool_or("opaque").alias("child_opaque"),
-                F.bool_or(constrained).alias("constrained"),
-            )
-        )
-        out = out.join(folded, ["kind", "resource", "path"], "left")
-    for column, zero in _NO_CONTEXT.items():
-        out = out.withColumn(column, F.coalesce(column, F.lit(zero)) if column in out.columns else F.lit(zero))
-    return out
+        sums = {
+            "n_children": F.count("*"), "child": F.min("name"), "child_type": F.min("type"),
+            "child_opaque": F.bool_or("opaque"), "constrained": F.bool_or(constrained),
+        }
+        out = out.withColumns({c: f.over(level) for c, f in sums.items()} | {"at_level": F.row_number().over(by_path)})
+        brings = named & (F.col("parent_path") != "") & (F.col("at_level") == 1)
+        out = out.withColumn("brought", F.explode(F.when(brings, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+        out = out.withColumn("at", F.when(F.col("brought"), F.col("parent_path")).otherwise(F.col("path")))
+        own = F.max(F.when(F.col("brought"), F.struct(*sums))).over(Window.partitionBy(*one_resource, "at"))
+        out = out.withColumn("own", own).where(~F.col("brought"))
+        context |= {c: F.coalesce(F.col(f"own.{c}"), F.lit(_NO_CONTEXT[c])) for c in sums}
+    return out.select(*properties.columns, *(c.alias(n) for n, c in context.items()))
 
 
 def _say(rule: str, *values) -> Column:
-    return F.format_string(TEXTS[rule], *values)
+    """The text of a rule with its values; a null reads as the word, as in a format."""
+    first, *rest = TEXTS[rule].split("%s")
+    filled = [F.concat(F.coalesce(v, F.lit("null")), F.lit(t)) for v, t in zip((F.col(v) if isinstance(v, str) else v for v in values), rest, strict=True)]
+    return F.concat(F.lit(first), *filled)
 
 
 def _rule_hits() -> dict[str, Column]:
-    """Each rule as a column: null, or struct(message, fix, rename_to)."""
+    """Each rule as a column: null, or struct(rule_id, rule_name, severity, message, fix, rename_to). Reads ``spelt``."""
     path, name, kind = F.col("path"), F.col("name"), F.col("type")
     has_schema = ~F.col("opaque")
     settable = has_schema & (F.col("optional") | F.col("required"))
@@ -153,18 +157,20 @@ def _rule_hits() -> dict[str, Column]:
     validated = F.col("validate_func").isNotNull()
     tail = F.substring_index(name, "_", -1)
 
-    def hit(condition, message, fix=None, rename_to=None) -> Column:
+    def hit(rule, condition, message, fix=None, rename_to=None) -> Column:
+        rule_name, severity, _ = RULES[rule]
         return F.when(
             condition,
             F.struct(
+                F.lit(rule).alias("rule_id"), F.lit(rule_name).alias("rule_name"), F.lit(severity).alias("severity"),
                 message.alias("message"),
                 (F.lit(None).cast("string") if fix is None else fix).alias("fix"),
                 (F.lit(None).cast("string") if rename_to is None else rename_to).alias("rename_to"),
             ),
         )
 
-    def renaming(condition, message, preferred) -> Column:
-        return hit(condition, message, _say("rename", name, preferred), preferred)
+    def renaming(rule, condition, message, preferred) -> Column:
+        return hit(rule, condition, message, _say("rename", name, preferred), preferred)
 
     block_name = F.concat_ws("_", name, F.col("child"))
     enums = F.split("enum_values", ",")
@@ -173,59 +179,63 @@ def _rule_hits() -> dict[str, Column]:
         lambda v: F.exists(enums, lambda e: F.when(F.col("enum_literal"), e == v).otherwise(e.endswith(v))),
     )
     in_unit = F.concat(F.expr("left(name, length(name) - length(substring_index(name, '_', -1)))"), F.lit("in_"), tail)
-    words = F.split(name, "_")
-    # every key of the dictionary is one segment, but for one that can never match
-    full = F.create_map(*(F.lit(x) for pair in ABBREVIATIONS.items() for x in pair))
-    spelt = F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(full, w), w)), "_")
+    spelt = F.col("spelt")
     suffix = F.regexp_extract(name, "(" + "|".join(REDUNDANT_SUFFIXES) + ")$", 1)
     stem = F.expr("left(name, length(name) - length(regexp_extract(name, '(" + "|".join(REDUNDANT_SUFFIXES) + ")$', 1)))")
     return {
-        "SL001": hit(has_schema & (F.coalesce("description", F.lit("")) == ""), _say("SL001", path)),
+        "SL001": hit("SL001", has_schema & (F.coalesce("description", F.lit("")) == ""), _say("SL001", path)),
         "SL002": hit(
-            has_schema & (F.col("max_items") == 1) & (F.col("n_children") == 1),
+            "SL002", has_schema & (F.col("max_items") == 1) & (F.col("n_children") == 1),
             _say("SL002", path, "child"),
             F.when(
                 (F.col("child") == "enabled") & (F.col("child_type") == "TypeBool") & ~F.col("child_opaque"),
                 _say("SL002.fix.enabled", path, block_name),
             ).otherwise(_say("SL002.fix", path, block_name)),
         ),
-        "SL003": hit(has_schema & ~collection & limits, _say("SL003", path, kind), _say("SL003.fix", path)),
+        "SL003": hit("SL003", has_schema & ~collection & limits, _say("SL003", path, kind), _say("SL003.fix", path)),
         "SL004": hit(
-            settable & (F.col("validate_func") == "StringInSlice") & (F.size(accepted) > 0),
+            "SL004", settable & (F.col("validate_func") == "StringInSlice") & (F.size(accepted) > 0),
             _say("SL004", path, F.array_join(accepted, ", ")),
         ),
         "SL005": hit(
-            settable & ~validated & kind.isin("TypeString", "TypeInt", "TypeFloat"),
+            "SL005", settable & ~validated & kind.isin("TypeString", "TypeInt", "TypeFloat"),
             F.when(kind == "TypeString", _say("SL005.string", path)).otherwise(_say("SL005.number", path)),
         ),
         "SL006": hit(
-            settable & (F.col("n_children") > 0) & ~F.col("child_opaque") & ~F.col("constrained"), _say("SL006", path)
+            "SL006", settable & (F.col("n_children") > 0) & ~F.col("child_opaque") & ~F.col("constrained"), _say("SL006", path)
         ),
         "SL007": hit(
-            settable & collection & (F.col("elem") == "scalar") & (F.coalesce("max_items", F.lit(0)) == 0),
+            "SL007", settable & collection & (F.col("elem") == "scalar") & (F.coalesce("max_items", F.lit(0)) == 0),
             _say("SL007", path),
         ),
-        "SL008": hit(F.col("top_level") & name.startswith("sku_") & (F.col("n_sku") > 1), _say("SL008", path)),
+        "SL008": hit("SL008", F.col("top_level") & name.startswith("sku_") & (F.col("n_sku") > 1), _say("SL008", path)),
         "SL009": renaming(
-            name.rlike("._[a-z]+$") & tail.isin(*UNIT_SUFFIXES) & ~name.rlike("_in_[a-z]+$"),
+            "SL009", name.rlike("._[a-z]+$") & tail.isin(*UNIT_SUFFIXES) & ~name.rlike("_in_[a-z]+$"),
             _say("SL009", path, F.concat(F.lit("_in_"), tail), in_unit),
             in_unit,
         ),
-        "SL010": renaming(spelt != name, _say("SL010", path, spelt), spelt),
+        "SL010": renaming("SL010", spelt != name, _say("SL010", path, spelt), spelt),
         "SL011": renaming(
-            has_schema & (kind == "TypeBool") & name.rlike("^is_."),
+            "SL011", has_schema & (kind == "TypeBool") & name.rlike("^is_."),
             _say("SL011", path, F.substr(name, F.lit(4))),
             F.substr(name, F.lit(4)),
         ),
-        "SL012": renaming((suffix != "") & (stem != ""), _say("SL012", path, suffix, stem), stem),
+        "SL012": renaming("SL012", (suffix != "") & (stem != ""), _say("SL012", path, suffix, stem), stem),
         "SL013": hit(
-            settable & (kind == "TypeString") & name.endswith("_id")
+            "SL013", settable & (kind == "TypeString") & name.endswith("_id")
             & (~validated | (F.col("validate_func") == "StringIsNotEmpty")),
             F.when(~validated, _say("SL013.none", path)).otherwise(_say("SL013.weak", path)),
         ),
     }
 
 
+def _spelt() -> Column:
+    """The name in full words; several parts of a rule read it, so it is taken once for a row."""
+    # every key of the dictionary is one segment, but for one that can never match
+    full = F.create_map(*(F.lit(x) for pair in ABBREVIATIONS.items() for x in pair))
+    return F.array_join(F.transform(F.split("name", "_"), lambda w: F.coalesce(F.try_element_at(full, w), w)), "_")
+
+
 def lint_properties(properties: DataFrame, rules: list[str] | None = None) -> DataFrame:
     """Findings of the chosen rules, all tested in one pass over the table.
 
@@ -235,24 +245,14 @@ def lint_properties(properties: DataFrame, rules: list[str] | None = None) -> Da
     properties = with_tree_context(
         properties, children=bool({"SL002", "SL006"} & set(chosen)), siblings="SL008" in chosen
     )
+    if "SL010" in chosen:
+        properties = properties.withColumn("spelt", _spelt())
     hits = _rule_hits()
-    tagged = []
-    for rule in chosen:
-        rule_name, severity, _ = RULES[rule]
-        tagged.append(
-            F.when(
-                hits[rule].isNotNull(),
-                F.struct(
-                    F.lit(rule).alias("rule_id"), F.lit(rule_name).alias("rule_name"),
-                    F.lit(severity).alias("severity"), hits[rule].alias("h"),
-                ),
-            )
-        )
     return properties.select(
-        *LOCATION, "name", F.explode(F.array_compact(F.array(*tagged))).alias("r")
+        *LOCATION, "name", F.explode(F.array_compact(F.array(*(hits[rule] for rule in chosen)))).alias("r")
     ).select(
-        "r.rule_id", "r.rule_name", "r.severity", *LOCATION, "r.h.message", "r.h.fix",
-        F.when(F.col("r.h.rename_to").isNotNull(), F.col("name")).alias("rename_from"), "r.h.rename_to",
+        "r.rule_id", "r.rule_name", "r.severity", *LOCATION, "r.message", "r.fix",
+        F.when(F.col("r.rename_to").isNotNull(), F.col("name")).alias("rename_from"), "r.rename_to",
     )
 
 

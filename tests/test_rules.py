@@ -216,3 +216,39 @@ def test_dedupe_keeps_first(spark):
     df = spark.createDataFrame(rows, "seq int, rule_id string, file string, line int, col int, message string")
     assert {r["message"] for r in lint.dedupe_findings(df).collect()} == {"early", "other"}
     assert [r["line"] for r in lint.sort_findings(df.where(F.col("seq") > 1)).collect()] == [1, 2]
+
+
+def _property(path, parent="", kind="resource", resource="r", **more):
+    name = path.rsplit(".", 1)[-1] if path is not None else ""
+    row = BASE | dict(kind=kind, resource=resource, path=path, parent_path=parent, name=name, top_level=parent == "")
+    return row | more
+
+
+def test_tree_context_shuffles_properties_once(spark):
+    rows = [
+        _property("sku_a"), _property("sku_b"), _property("sku_b"), _property("box", type="TypeList"), _property("box", type="TypeList", line=9), _property("other"),
+        _property("box.x", "box", type="TypeInt"), _property("box.w", "box", required=True), _property("box.w.deep", "box.w", opaque=True),
+        _property("sku_a", resource="s"), _property("box", resource="s"), _property("box", kind="data source"),
+        _property("sku_a", resource=None), _property("sku_b", resource=None), _property("box", resource=None), _property("box.x", "box", resource=None),
+        _property("box.x", None, resource="s"), _property(None, resource="s"), _property("", resource="s"),
+    ]
+    fields = [t.split()[0] for t in SCHEMA.split(", ")]
+    frame = spark.createDataFrame([tuple(r[f] for f in fields) for r in rows], SCHEMA)
+    found = lint.with_tree_context(frame)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    want = []
+    for r in rows:
+        inside = [c for c in rows if None not in (r["kind"], r["resource"]) and (c["kind"], c["resource"]) == (r["kind"], r["resource"])]
+        kids = [c for c in inside if c["parent_path"] and c["parent_path"] == r["path"]]
+        level = [c for c in inside if c["parent_path"] is not None and c["parent_path"] == r["parent_path"] and c["top_level"] and c["name"].startswith("sku_")]
+        want.append((
+            r["kind"], r["resource"], r["path"], r["line"], len(level), len(kids), min((c["name"] for c in kids), default=""), min((c["type"] for c in kids), default=""),
+            any(c["opaque"] for c in kids), any(not c["opaque"] and c["required"] for c in kids),
+        ))
+    got = found.select("kind", "resource", "path", "line", "n_sku", "n_children", "child", "child_type", "child_opaque", "constrained").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_rule_texts_read_nulls_as_words(spark):
+    got = spark.range(1).select(lint._say("SL003", F.lit("p"), F.lit(None).cast("string"))).first()[0]
+    assert got == 'property "p" (null) sets MinItems/MaxItems, which only apply to TypeList/TypeSet'

@@ -8,7 +8,10 @@ narrows in three exact levels:
    their common shingles. Linked sets differ in at most D shingles (D follows from the
    sizes and the threshold), so of D + 1 or more disjoint cells at least one holds the
    same shingles of both. A document therefore goes into the region of each of its
-   cells' contents; linked documents always meet in a region.
+   cells' contents; linked documents always meet in a region. Contents that many documents
+   hold say little: a document leaves out its most frequent ones, as many as the distance
+   allows, and of those that still meet the most frequent shingles, in the same way. So a
+   passage that very many documents share makes none of them meet unless it is most of them.
 2. **Documents as pivots.** Documents that meet form a district. A district that is too
    large is cut again by other cells of the universe, where few meet twice, or by
    documents as pivots into Voronoi regions: a document lives in the region of its
@@ -84,31 +87,48 @@ def _edges(m: int) -> np.ndarray:
     return np.array([(k << 64) // m for k in range(m)], dtype=U)
 
 
-def signatures(s: np.ndarray, percent: int, salt: int = 0) -> np.ndarray:
-    """Keys of the regions that a set of shingles (sorted, distinct) belongs to; each ``salt`` cuts the universe anew."""
+def _families(s: np.ndarray, percent: int, salt: int = 0) -> tuple[np.ndarray, int]:
+    """Keys of a set of shingles (sorted, distinct), and how many of each family may be left out.
+
+    A family is the cells of one class and one cut of the universe; the last three bits of a key name it.
+    Of d + 1 cells of a family at least one is the same in every linked set, d being the shingles in which
+    linked sets may differ. So under one order of all keys the first d + 1 of either set hold a common one,
+    and the rest may go. The second result has that rest, 255 at most, in eight bits a family.
+    """
     n = len(s)
     if n == 0:
-        return s
+        return s, 0
     lows, cells = _classes(percent, 1 << max(10, n.bit_length() + 1))
     own = int(np.searchsorted(lows, n, side="right")) - 1
-    out = []
+    out, spare = [], 0
+
+    def add(keys, family):
+        out.append(keys & U(2**64 - 8) | U(family))
+
     with np.errstate(over="ignore"):
         for c in {own, max(own - 1, 0)}:
             m, shared, heavy = cells[c]
             for seed in range(SEEDS):
+                family = (c & 1) * 4 + seed
                 v = s if seed + salt == 0 else np.sort(mix(s ^ U(mix_int(seed + salt * SEEDS + 77))))
                 sums = np.zeros(n + 1, dtype=U)
                 np.cumsum(mix(v), out=sums[1:])
                 at = np.append(np.searchsorted(v, _edges(m)), n)
                 full = at[1:] - at[:-1] >= heavy
                 key = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(np.arange(m, dtype=U) + U(mix_int((c * SEEDS + seed) * 64 + salt))))
-                out.append(key[full])
+                add(key[full], family)
                 # a set with so many light cells may share only those with a linked one
                 if m - int(full.sum()) < shared:
+                    spare |= min(255, int(full.sum()) - (m - shared + 1)) << 8 * family
                     break
             else:
-                out.append(key[~full])
-    return np.concatenate(out)
+                add(key[~full], family - seed + SEEDS)
+    return np.concatenate(out), spare
+
+
+def signatures(s: np.ndarray, percent: int, salt: int = 0) -> np.ndarray:
+    """Keys of the regions that a set of shingles (sorted, distinct) belongs to; each ``salt`` cuts the universe anew."""
+    return _families(s, percent, salt)[0]
 
 
 def _set_key(s: np.ndarray) -> int:
@@ -120,65 +140,44 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-_DOC = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.int64()), ("keys", pa.list_(pa.int64())), ("peers", pa.list_(pa.int64()))])
-
-
-def _folded(ids, sizes, sets, keys) -> pa.RecordBatch:
-    """One output batch: of the documents of the batch that share a key, the first alone keeps it; the others name it as a peer."""
-    lens = np.array([len(k) for k in keys], dtype=np.int64)
-    flat = np.concatenate(keys) if keys else np.zeros(0, dtype=U)
-    owner = np.repeat(np.arange(len(keys)), lens)
-    keep = np.zeros(len(flat), dtype=bool)
-    order = np.argsort(flat, kind="stable")
-    new = np.ones(len(flat), dtype=bool)
-    new[1:] = flat[order][1:] != flat[order][:-1]
-    keep[order[new]] = True
-    leader = np.empty(len(flat), dtype=np.int64)
-    leader[order] = owner[order[new]][np.cumsum(new) - 1]
-    kept = np.bincount(owner[keep], minlength=len(keys))
-    pairs = np.unique(owner[~keep] * len(keys) + leader[~keep]) if len(flat) else np.zeros(0, dtype=np.int64)
-    who, peer = pairs // max(len(keys), 1), pairs % max(len(keys), 1)
-    ids_np = np.array([0 if i is None else i for i in ids], dtype=np.int64)
-    offsets = lambda counts: pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(ids, pa.int64()),
-            pa.array(sizes, pa.int64()),
-            pa.array(_signed(np.array(sets, dtype=U)), pa.int64()),
-            pa.ListArray.from_arrays(offsets(kept), pa.array(_signed(flat[keep]), pa.int64())),
-            pa.ListArray.from_arrays(offsets(np.bincount(who, minlength=len(keys))), pa.array(ids_np[peer], pa.int64())),
-        ],
-        schema=_DOC,
-    )
+_DOC = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.int64()), ("spare", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
-def keyed_documents(docs: DataFrame, n: int, percent: int, lower: bool, fold: int = 1 << 18) -> DataFrame:
-    """One row per document: size and key of its set, its region keys, and documents of the same task that it meets."""
+def keyed_documents(docs: DataFrame, n: int, percent: int, lower: bool) -> DataFrame:
+    """One row per document: size and key of its set, its region keys, and how many of them may be left out; of equal sets of a block the first alone has keys."""
 
     def run(batches):
-        ids, sizes, sets, keys, held = [], [], [], [], 0
         for batch in batches:
             for part in blocks(batch, "text"):
-                shingles = shingle_sets(Words(part.column("text")), n, lower)
-                for i, s in zip(part.column("doc_id").to_pylist(), shingles):
-                    k = signatures(s, percent) if i is not None else s[:0]
-                    ids.append(i)
+                ids, sizes, sets, spares, keys, seen = part.column("doc_id").to_pylist(), [], [], [], [], set()
+                for i, s in zip(ids, shingle_sets(Words(part.column("text")), n, lower)):
+                    name = _set_key(s)
+                    k, spare = _families(s, percent) if i is not None and name not in seen else (s[:0], 0)
+                    if i is not None:
+                        seen.add(name)
                     sizes.append(len(s))
-                    sets.append(_set_key(s))
+                    sets.append(name)
+                    spares.append(spare)
                     keys.append(k)
-                    held += len(k)
-                if held >= fold:
-                    yield _folded(ids, sizes, sets, keys)
-                    ids, sizes, sets, keys, held = [], [], [], [], 0
-        if ids:
-            yield _folded(ids, sizes, sets, keys)
-
-    schema = "doc_id long, n_shingles long, set_key long, keys array<long>, peers array<long>"
+                offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))), pa.int32())
+                flat = np.concatenate(keys) if keys else np.zeros(0, dtype=U)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids, pa.int64()),
+                        pa.array(sizes, pa.int64()),
+                        pa.array(_signed(np.array(sets, dtype=U)), pa.int64()),
+                        pa.array(_signed(np.array(spares, dtype=U)), pa.int64()),
+                        pa.ListArray.from_arrays(offsets, pa.array(_signed(flat), pa.int64())),
+                    ],
+                    schema=_DOC,
+                )
+
+    schema = "doc_id long, n_shingles long, set_key long, spare long, keys array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def _shingled(members: DataFrame, n: int, lower: bool) -> DataFrame:
-    """``(region, doc_id, text)`` to ``(region, doc_id, s)``, s sorted as unsigned numbers."""
+    """``(doc_id, text)`` to ``(doc_id, s)``, s sorted as unsigned numbers."""
 
     def run(batches):
         for batch in batches:
@@ -187,11 +186,50 @@ def _shingled(members: DataFrame, n: int, lower: bool) -> DataFrame:
                 at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
                 flat = np.concatenate(sets) if sets else np.zeros(0, dtype=U)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("region"), part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(_signed(flat), pa.int64()))],
-                    names=["region", "doc_id", "s"],
+                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(_signed(flat), pa.int64()))],
+                    names=["doc_id", "s"],
                 )
 
-    return members.select("region", "doc_id", "text").mapInArrow(tidy(run), "region long, doc_id long, s array<long>")
+    return members.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, s array<long>")
+
+
+def _shared(rows: DataFrame, who: str) -> DataFrame:
+    """Rows whose ``key`` more than one ``who`` has."""
+    of_key = Window.partitionBy("key")
+    ends = rows.withColumn("__low", F.min(who).over(of_key)).withColumn("__high", F.max(who).over(of_key))
+    return ends.where("__low <> __high").drop("__low", "__high")
+
+
+def _rarest(shared: DataFrame, who: list, spare) -> DataFrame:
+    """Rows of ``shared`` without the ``spare`` most frequent keys of each ``who``; a key that one alone has is rarer than all of these."""
+    counted = shared.join(shared.groupBy("key").agg(F.count("*").alias("__n")), "key")
+    place = F.row_number().over(Window.partitionBy(*who).orderBy(F.col("__n").desc(), "key"))
+    return counted.withColumn("__place", place).where(F.col("__place") > spare).drop("__place", "__n")
+
+
+def _meeting_sets(keyed: DataFrame) -> DataFrame:
+    """Names ``set_key`` of the sets that meet another in a cell of the universe."""
+    held = materialise(_shared(keyed.select("set_key", F.explode("keys").alias("key")), "set_key").distinct(), "held")
+    spares = keyed.where("spare <> 0").select("set_key", "spare").distinct()
+    family = F.col("key").bitwiseAND(F.lit(7).cast("long"))
+    spare = F.call_function("shiftrightunsigned", F.coalesce("spare", F.lit(0).cast("long")), (8 * family).cast("int")).bitwiseAND(F.lit(255).cast("long"))
+    kept = _rarest(held.join(spares, "set_key", "left"), ["set_key", family], spare)
+    met = materialise(_shared(kept.select("set_key", "key"), "set_key").select("set_key").distinct(), "meeting")
+    release(held)
+    return met
+
+
+def _meetings(shingles: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: documents of ``(doc_id, h, s)`` that share one of their rarest shingles, each with the smallest it so meets."""
+    # a linked set holds all but w - ceil(percent w / 100) of w shingles; of one more at least one is shared
+    spare = F.ceil(F.col("w") * percent / 100) - 1
+    rows = shingles.select("doc_id", "h", F.size("s").alias("w"), F.explode("s").alias("key"))
+    shared = materialise(_shared(rows.select("h", "w", "key"), "h"), "shared")
+    kept = _rarest(shared, ["h"], spare).select("h", "key")
+    first = kept.join(shingles.select("h", "doc_id"), "h").withColumn("first", F.min("doc_id").over(Window.partitionBy("key")))
+    met = materialise(first.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "met")
+    release(shared)
+    return met
 
 
 def _links_within(percent: int):
@@ -380,39 +418,27 @@ def jaccard_links(
     """
     keyed = materialise(keyed_documents(docs, n, percent, lower), "keyed")
     rows = materialise(keyed.select("doc_id", "n_shingles", "set_key"), "rows")
-    met = (
-        keyed.select("doc_id", F.explode("keys").alias("key"))
-        .withColumn("first", F.min("doc_id").over(Window.partitionBy("key")))
-        .where("doc_id <> first")
-        .select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-        .union(keyed.select(F.col("doc_id").alias("a"), F.explode("peers").alias("b")))
-        .distinct()
-    )
-    # whom a document meets hangs on the smallest of them: far fewer links, the same districts
-    hung = met.withColumn("least", F.min("b").over(Window.partitionBy("a")))
-    met = hung.select(F.col("a"), F.col("least").alias("b")).union(hung.select(F.col("b").alias("a"), F.col("least").alias("b"))).where("a <> b").distinct()
-    district = connected_components(met)
-    sets = (
-        rows.where("n_shingles > 0").join(district, F.col("doc_id") == F.col("node"))
-        .groupBy("component", "n_shingles", "set_key").agg(F.min("doc_id").alias("doc_id"))
-        .select(F.col("component").alias("region"), "doc_id", "set_key")
-    )
-    sets = materialise(sets, "sets")
+    meeting = _meeting_sets(keyed)
     release(keyed)
-    several = sets.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region")
-    chosen_ids = chosen = materialise(sets.join(several, "region", "left_semi").select("region", "doc_id"), "chosen")
+    named = rows.where("n_shingles > 0 and doc_id is not null").join(meeting, "set_key")
+    chosen_ids = chosen = materialise(named.groupBy("n_shingles", "set_key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "chosen")
     # a list of ids of checked size spares the texts a shuffle; a longer one is joined
     if chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = _shingled(chosen.join(texts, "doc_id"), n, lower).where("size(s) > 0")
-    # rows that repeat an id: the set of the chosen one may come twice
-    shingles = materialise(members.groupBy("region", "doc_id", F.xxhash64("s").alias("h")).agg(F.first("s").alias("s")).drop("h"), "members")
-    placed = shingles.select("region", "doc_id", F.size("s").alias("w"))
+    # rows that repeat an id: the set of the chosen one may come twice, and another one's beside it
+    shingles = materialise(members.groupBy(F.xxhash64("s").alias("h")).agg(F.first("s").alias("s"), F.min("doc_id").alias("doc_id")), "members")
+    met = _meetings(shingles, percent)
+    # whom a document meets hangs on the smallest of them: far fewer links, the same districts
+    hung = met.withColumn("least", F.min("b").over(Window.partitionBy("a")))
+    links = hung.select(F.col("a"), F.col("least").alias("b")).union(hung.select(F.col("b").alias("a"), F.col("least").alias("b"))).where("a <> b").distinct()
+    district = materialise(connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("region")), "districts")
     of_id = shingles.select("doc_id", "s")
+    placed = of_id.join(district, "doc_id").select("region", "doc_id", F.size("s").alias("w"))
     pieces, read = _pieces(placed, of_id, percent, piece, piece_docs, pivots_per_region)
     found = materialise(pieces.join(of_id, "doc_id").groupBy("piece").applyInArrow(_links_within(percent), "a long, b long").distinct(), "found")
-    release(shingles, chosen_ids, *read)
+    release(shingles, meeting, chosen_ids, met, district, *read)
     return found, rows
 
 

@@ -56,6 +56,35 @@ def test_linked_sets_share_a_key():
     assert seen > 500
 
 
+def test_a_shared_passage_makes_no_district(spark):
+    """Documents that share a passage, a quarter of each, do not meet; near copies among them are found all the same."""
+    import random
+
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"w{rng.randrange(10**9)}" for _ in range(180)]), None, None, None) for i in range(120)]
+    # the first five come again with the last words changed
+    rows += [(200 + i, rows[i][1].rsplit(" ", 4)[0] + " a b c d", None, None, None) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    keyed = J.keyed_documents(docs, 5, 80, True)
+    meeting = {r.set_key for r in J._meeting_sets(J.materialise(keyed, "keyed")).collect()}
+    pairs = {r.set_key for r in keyed.where("doc_id < 5 or doc_id >= 200").collect()}
+    assert pairs <= meeting and len(meeting) < 40
+    got = J.jaccard_components(docs, n=5, percent=80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 5, 80)
+
+
+def test_rarest_shingles_of_linked_sets_meet(spark):
+    """Of sets that all share most shingles those at the threshold still meet, and those that share common shingles only do not."""
+    common = list(range(1000, 1080))
+    sets = [common + list(range(20 * i, 20 * i + 20)) for i in range(1, 12)] + [list(range(1000, 1080)), [1, 2, 3]]
+    shingles = spark.createDataFrame([(i, i, s) for i, s in enumerate(sets)], "doc_id long, h long, s array<long>")
+    # 80 of 100 are shared: at 0.8 the set of the 80 alone is linked to each, these among themselves are not
+    met = {x for r in J._meetings(shingles, 80).collect() for x in (r.a, r.b)}
+    assert met == set(range(12))
+    assert {x for r in J._meetings(shingles, 85).collect() for x in (r.a, r.b)} == set()
+
+
 def test_one_of_each_group_keeps_columns(spark, cluttered, rows):
     got = J.one_of_each_group(cluttered, n=5, percent=80)
     assert got.columns == cluttered.columns

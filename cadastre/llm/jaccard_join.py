@@ -466,7 +466,7 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the document of smallest id of each component; rows without an id stay, of rows that repeat an id one stays."""
     found = jaccard_components(docs, **options)
-    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "followers")
     # a list of ids of checked size spares the texts a shuffle; a longer one is joined
     if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
